@@ -50,8 +50,8 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     Per column, independently: nulls first become ``missing`` (which may
     itself collapse), the share is ``rows with value / all rows`` in double
     precision and the test is inclusive (``share >= threshold`` is kept).
-    An existing ``other`` value merges with the collapsed ones.  Absent
-    columns are skipped.
+    An existing ``other`` value merges with the collapsed ones.  Collapsed
+    columns come out as text; absent columns are skipped.
 
     At most ``1/threshold`` values per column can be frequent, so the
     lookup is one row holding at most ``len(columns)/threshold`` keys,
@@ -61,9 +61,9 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
-    if missing is not None:
-        df = df.select(*[F.coalesce(col(c), F.lit(missing)).alias(c) if c in cols else col(c)
-                         for c in df.columns])
+    text = (lambda c: F.coalesce(col(c).cast("string"), F.lit(missing))) if missing is not None \
+        else (lambda c: col(c).cast("string"))
+    df = df.select(*[text(c).alias(c) if c in cols else col(c) for c in df.columns])
     lookup = (frequent_values(df, cols, threshold)
               .agg(F.collect_set(F.concat(F.col("column"), F.lit(_SEP), F.col("value")))
                    .alias("__frequent")))
@@ -71,7 +71,7 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     mapped = []
     for c in df.columns:
         if c in cols:
-            key = F.concat(F.lit(c + _SEP), col(c).cast("string"))
+            key = F.concat(F.lit(c + _SEP), col(c))
             mapped.append(F.when(F.array_contains("__frequent", key), col(c))
                           .otherwise(F.lit(other)).alias(c))
         else:

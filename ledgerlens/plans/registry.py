@@ -12,9 +12,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import apply_required_conf
+from ..functions.hexgrid import hex_cell, hex_centroid
+from ..operators.aggregates import category_share
+from ..operators.categories import collapse_rare
+from ..session import apply_required_conf, scratch_path
+from ..sources.sinks import materialize
 from ..sources import testdata as td
 from . import cube as cb
+from . import star as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +106,114 @@ def q_slicer_years(spark, sf_dir):
 @query("cube_preview")
 def q_cube_preview(spark, sf_dir):
     return cb.preview(_sliced(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- survey
+def _survey(spark, sf_dir):
+    return td.sme_survey(spark, sf_dir)
+
+
+def _star(spark, sf_dir):
+    return st.build_star(_survey(spark, sf_dir))
+
+
+@query("rare_category_collapse")
+def q_rare_category_collapse(spark, sf_dir):
+    """5 % collapse of part brands (all rare) and types (none rare)."""
+    part = td.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return collapse_rare(part, ["p_brand", "p_type"])
+
+
+@query("category_share")
+def q_category_share(spark, sf_dir):
+    """Share of each document source (value_counts(normalize=True))."""
+    return category_share(td.table(spark, sf_dir, "documents").select("source"), "source")
+
+
+@query("operating_hours")
+def q_operating_hours(spark, sf_dir):
+    raw = _survey(spark, sf_dir).select("id", "horaApertura", "horaCierre")
+    return st.operating_hours(raw)
+
+
+@query("clean_sme")
+def q_clean_sme(spark, sf_dir):
+    return st.clean_sme(_survey(spark, sf_dir))
+
+
+@query("hex_bin")
+def q_hex_bin(spark, sf_dir):
+    s = _survey(spark, sf_dir)
+    return s.select("id", "latitud", "longitud", hex_cell("latitud", "longitud").alias("h3_hex_id"))
+
+
+@query("hex_centroid")
+def q_hex_centroid(spark, sf_dir):
+    cells = (_survey(spark, sf_dir).select(hex_cell("latitud", "longitud").alias("h3_hex_id"))
+             .where(F.col("h3_hex_id").isNotNull()).distinct())
+    c = hex_centroid("h3_hex_id")
+    return cells.select("h3_hex_id", c["lat"].alias("lat"), c["lon"].alias("lon"))
+
+
+@query("hex_boundary")
+def q_hex_boundary(spark, sf_dir):
+    cells = _survey(spark, sf_dir).select(hex_cell("latitud", "longitud").alias("h3_hex_id")).distinct()
+    return st.cell_boundaries(cells)
+
+
+@query("dim_emprendedor")
+def q_dim_emprendedor(spark, sf_dir):
+    return _star(spark, sf_dir).dim_emprendedor
+
+
+@query("dim_geografia")
+def q_dim_geografia(spark, sf_dir):
+    return _star(spark, sf_dir).dim_geografia
+
+
+@query("dim_negocio")
+def q_dim_negocio(spark, sf_dir):
+    return _star(spark, sf_dir).dim_negocio
+
+
+@query("dim_deseo")
+def q_dim_deseo(spark, sf_dir):
+    return _star(spark, sf_dir).dim_deseo
+
+
+@query("fact_sme")
+def q_fact_sme(spark, sf_dir):
+    return _star(spark, sf_dir).fact()
+
+
+@query("molap_flat")
+def q_molap_flat(spark, sf_dir):
+    return _star(spark, sf_dir).flat()
+
+
+@query("mv_sales_by_sector_cell")
+def q_mv_sales_by_sector_cell(spark, sf_dir):
+    """Materialized (written, re-read) sales per cell and sector."""
+    df = st.sales_by_sector_cell(_star(spark, sf_dir))
+    return materialize(spark, df, "mv_ventas_por_giro_h3", scratch_path(spark, "mv_ventas_por_giro_h3"))
+
+
+@query("mv_goal_profitability")
+def q_mv_goal_profitability(spark, sf_dir):
+    df = st.goal_profitability(_star(spark, sf_dir))
+    return materialize(spark, df, "mv_deseos_rentabilidad", scratch_path(spark, "mv_deseos_rentabilidad"))
+
+
+@query("sector_summary")
+def q_sector_summary(spark, sf_dir):
+    return st.sector_summary(_star(spark, sf_dir))
+
+
+@query("sme_kpis")
+def q_sme_kpis(spark, sf_dir):
+    return st.sme_kpis(_star(spark, sf_dir).fact())
+
+
+@query("cell_density_class")
+def q_cell_density_class(spark, sf_dir):
+    return st.cell_density_class(st.sales_by_sector_cell(_star(spark, sf_dir)))
