@@ -16,10 +16,11 @@ from ..functions.hexgrid import hex_cell, hex_centroid
 from ..operators.aggregates import category_share
 from ..operators.categories import collapse_rare
 from ..session import apply_required_conf, scratch_path
-from ..sources.sinks import materialize
+from ..sources.sinks import materialize, write_csv, write_parquet
 from ..sources import testdata as td
 from . import cube as cb
 from . import star as st
+from . import warehouse as wh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,3 +218,59 @@ def q_sme_kpis(spark, sf_dir):
 @query("cell_density_class")
 def q_cell_density_class(spark, sf_dir):
     return st.cell_density_class(st.sales_by_sector_cell(_star(spark, sf_dir)))
+
+
+# ------------------------------------------------------------- warehouse
+# Parameters of the registered runs: two states compared, the HAVING
+# floor (the reference's floor of 100,000 is below every total here),
+# the shard range, the taxi.
+STATE_A, STATE_B, MIN_TOTAL = "NATION_1", "NATION_2", 8_000_000
+SHARDS = ("20240108", "20240121")
+TAXI_ID = 7
+
+
+@query("names_top50")
+def q_names_top50(spark, sf_dir):
+    return wh.state_totals(spark, td.names(spark, sf_dir))
+
+
+@query("names_full_outer")
+def q_names_full_outer(spark, sf_dir):
+    return wh.compare_states(td.names(spark, sf_dir), STATE_A, STATE_B, MIN_TOTAL)
+
+
+@query("wildcard_events")
+def q_wildcard_events(spark, sf_dir):
+    return wh.events_by_suffix(spark, td.ga_events(spark, sf_dir),
+                               scratch_path(spark, "events_shards"), *SHARDS)
+
+
+def _taxis(spark, sf_dir):
+    return wh.taxi_subset(spark, td.taxi_trips(spark, sf_dir), TAXI_ID, "prueba.taxis",
+                          scratch_path(spark, "prueba_taxis"))
+
+
+@query("ctas_taxis")
+def q_ctas_taxis(spark, sf_dir):
+    return _taxis(spark, sf_dir)
+
+
+@query("monthly_growth")
+def q_monthly_growth(spark, sf_dir):
+    return wh.monthly_growth(_taxis(spark, sf_dir))
+
+
+# ------------------------------------------------------------ round trips
+@query("parquet_roundtrip")
+def q_parquet_roundtrip(spark, sf_dir):
+    """Cube written as zstd Parquet, read back through the cube loader."""
+    path = write_parquet(_cube(spark, sf_dir), scratch_path(spark, "bi_cube"), "zstd")
+    return cb.load_cube(spark, path)
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """Raw transactions written as CSV text, then the full ETL from CSV:
+    tolerant scan -> clean -> cube."""
+    path = write_csv(td.transactions(spark, sf_dir), scratch_path(spark, "credit_card_csv"))
+    return cb.build_cube(cb.clean_transactions(cb.read_transactions_csv(spark, path)))

@@ -66,7 +66,9 @@ def create_table_as(spark: SparkSession, df: DataFrame, name: str, path: str) ->
     """``CREATE OR REPLACE TABLE name AS SELECT …``: overwrite the files at
     ``path``, (re)register ``name`` over them and return the table."""
     if "." in name:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name.split('.')[0]}`")
+        db = name.split(".")[0]
+        # keep the database folder next to the table, not in the local cwd
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` LOCATION '{path.rstrip('/')}.db'")
     df.write.mode("overwrite").option("path", path).saveAsTable(name)
     return spark.table(name)
 

@@ -169,4 +169,4 @@ def taxi_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("taxi_id"),
         F.col("l_shipdate").alias("trip_start_timestamp"),
         F.col("l_quantity").alias("trip_miles"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("trip_total"))
+        F.col("l_extendedprice").alias("trip_total"))
