@@ -5,4 +5,6 @@ from .columns import (  # noqa: F401
     date_from_parts, pct, period_label, default_to, density_class,
     parse_yyyymmdd, month_of, month_start, lenient_number, daily_hours,
 )
-from .hexgrid import hex_axial, hex_cell, hex_centroid, hex_boundary  # noqa: F401
+from .hexgrid import (  # noqa: F401
+    hex_axial, hex_cell, hex_centroid, hex_boundary, with_hex_cell, round_half_away,
+)

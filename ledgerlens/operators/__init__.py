@@ -6,6 +6,7 @@ from .relational import (  # noqa: F401
 )
 from .aggregates import n_unique, count_true, top_k, distinct_values, category_share  # noqa: F401
 from .categories import (  # noqa: F401
-    collapse_rare, frequent_values, max_frequent, CATEGORY_THRESHOLD, OTHER, MISSING,
+    collapse_rare, frequent_values, frequent_keys, fill_missing, map_rare, max_frequent,
+    CATEGORY_THRESHOLD, OTHER, MISSING,
 )
 from .keys import surrogate_key  # noqa: F401

@@ -28,23 +28,57 @@ def frequent_values(df: DataFrame, columns: Sequence[str],
     """(column, value, n, share) for every value with ``share >= threshold``.
 
     One scan emits (column, value) pairs into a partially aggregated count
-    (map-side combine: a hot value costs one row per task).  The total is
-    the sum of the counts of the first column (every column has one value
-    per row), so no second scan is needed.
+    (map-side combine: a hot value costs one row per task).  Every row
+    emits exactly one pair per column, so the row total is the sum of all
+    counts divided by the number of columns - read from the same counts,
+    no second scan.
     """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]))
     counts = (df.select(pairs.alias("p")).select("p.column", "p.value")
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.where(F.col("column") == F.lit(columns[0])).agg(F.sum("n").alias("__total"))
+    total = counts.agg((F.sum("n") / F.lit(len(columns))).alias("__total"))
     return (counts.crossJoin(F.broadcast(total))
             .withColumn("share", F.col("n") / F.col("__total"))
             .where(F.col("share") >= F.lit(float(threshold)))
             .drop("__total"))
 
 
+def fill_missing(df: DataFrame, columns: Sequence[str], missing: str | None = MISSING) -> DataFrame:
+    """Cast ``columns`` to text and replace null by ``missing``."""
+    text = (lambda c: F.coalesce(col(c).cast("string"), F.lit(missing))) if missing is not None \
+        else (lambda c: col(c).cast("string"))
+    return df.select(*[text(c).alias(c) if c in columns else col(c) for c in df.columns])
+
+
+def frequent_keys(filled: DataFrame, columns: Sequence[str],
+                  threshold: float = CATEGORY_THRESHOLD) -> DataFrame:
+    """One-column frame of ``column<SEP>value`` keys that are frequent
+    (at most ``len(columns)/threshold`` rows)."""
+    return frequent_values(filled, columns, threshold).select(
+        F.concat(F.col("column"), F.lit(_SEP), F.col("value")).alias("__fkey"))
+
+
+def map_rare(filled: DataFrame, keys: DataFrame, columns: Sequence[str],
+             other: str = OTHER) -> DataFrame:
+    """Replace each value of ``columns`` not listed in ``keys`` by ``other``.
+
+    The same tiny build side serves every column: it is broadcast once
+    (the plan shows it reused) and each column costs one hash probe in the
+    pipeline stage of the scan.
+    """
+    out = filled
+    for c in columns:
+        probe = F.concat(F.lit(c + _SEP), col(c))
+        out = (out.join(F.broadcast(keys), probe == F.col("__fkey"), "left")
+               .withColumn(c, F.when(F.col("__fkey").isNotNull(), col(c)).otherwise(F.lit(other)))
+               .drop("__fkey"))
+    return out.select(*[col(c) for c in filled.columns])
+
+
 def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATEGORY_THRESHOLD,
-                  other: str = OTHER, missing: str | None = MISSING) -> DataFrame:
+                  other: str = OTHER, missing: str | None = MISSING,
+                  materialize_keys: bool = False) -> DataFrame:
     """Replace values whose share of rows is below ``threshold`` by ``other``.
 
     Per column, independently: nulls first become ``missing`` (which may
@@ -53,27 +87,19 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     An existing ``other`` value merges with the collapsed ones.  Collapsed
     columns come out as text; absent columns are skipped.
 
-    At most ``1/threshold`` values per column can be frequent, so the
-    lookup is one row holding at most ``len(columns)/threshold`` keys,
-    whatever the data size: it is broadcast and every row is mapped in the
-    same pipeline stage as the scan.  No window, no collect.
+    Two passes over ``df`` (count, then map): pass a materialized frame when
+    its lineage is expensive.  At most ``1/threshold`` values per column can
+    be frequent, so the key table holds at most ``len(columns)/threshold``
+    rows whatever the data size (a proven bound) and is broadcast.  With
+    ``materialize_keys`` it is written to the shared folder first, so later reuses of the
+    result do not recount.  No window, no collect.
     """
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
-    text = (lambda c: F.coalesce(col(c).cast("string"), F.lit(missing))) if missing is not None \
-        else (lambda c: col(c).cast("string"))
-    df = df.select(*[text(c).alias(c) if c in cols else col(c) for c in df.columns])
-    lookup = (frequent_values(df, cols, threshold)
-              .agg(F.collect_set(F.concat(F.col("column"), F.lit(_SEP), F.col("value")))
-                   .alias("__frequent")))
-    out = df.crossJoin(F.broadcast(lookup))
-    mapped = []
-    for c in df.columns:
-        if c in cols:
-            key = F.concat(F.lit(c + _SEP), col(c))
-            mapped.append(F.when(F.array_contains("__frequent", key), col(c))
-                          .otherwise(F.lit(other)).alias(c))
-        else:
-            mapped.append(col(c))
-    return out.select(*mapped)
+    filled = fill_missing(df, cols, missing)
+    keys = frequent_keys(filled, cols, threshold)
+    if materialize_keys:
+        from ..session import cut_lineage
+        keys = cut_lineage(keys, "frequent_keys")
+    return map_rare(filled, keys, cols, other)

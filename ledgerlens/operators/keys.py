@@ -4,10 +4,12 @@
 Instead the distinct keys are range-partitioned and sorted, each row gets
 its position inside its partition from ``monotonically_increasing_id``
 (partition index in the upper 31 bits, position in the lower 33), the
-frame is checkpointed so the layout is fixed even if executors are lost,
+tagged rows are written to the shared folder so positions are fixed data
+(a lost executor re-reads them instead of re-sampling the range bounds),
 and each partition's offset comes from a tiny per-partition count table
 (one row per partition, broadcast).  Keys are ordered by the natural keys
-ascending, nulls first.
+ascending, nulls first.  The finished key table is written as well, so
+its users read a plain table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..session import checkpoint
+from ..session import cut_lineage
 
 _POS_BITS = 33
 
@@ -30,8 +32,8 @@ def surrogate_key(df: DataFrame, keys: Sequence[str], name: str,
     distinct = df.select(*[col(k) for k in keys]).distinct()
     ranged = (distinct.repartitionByRange(num_partitions, *order) if num_partitions
               else distinct.repartitionByRange(*order))
-    tagged = checkpoint(ranged.sortWithinPartitions(*order)
-                        .withColumn("__mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(ranged.sortWithinPartitions(*order)
+                         .withColumn("__mid", F.monotonically_increasing_id()), f"sk_{name}_tagged")
     tagged = (tagged.withColumn("__pid", F.shiftright(F.col("__mid"), _POS_BITS))
               .withColumn("__pos", F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     # one row per partition: a window over it is trivially small
@@ -39,6 +41,7 @@ def surrogate_key(df: DataFrame, keys: Sequence[str], name: str,
                .withColumn("__off", F.coalesce(F.sum("__n").over(
                    Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .select("__pid", "__off"))
-    return (tagged.join(F.broadcast(offsets), "__pid")
-            .select(*[col(k) for k in keys],
-                    (F.col("__off") + F.col("__pos") + F.lit(1)).cast("bigint").alias(name)))
+    keyed = (tagged.join(F.broadcast(offsets), "__pid")
+             .select(*[col(k) for k in keys],
+                     (F.col("__off") + F.col("__pos") + F.lit(1)).cast("bigint").alias(name)))
+    return cut_lineage(keyed, f"sk_{name}")

@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hexgrid import hex_cell, hex_centroid
+from ..functions.hexgrid import hex_centroid, with_hex_cell
 from ..operators.aggregates import category_share
 from ..operators.categories import collapse_rare
 from ..session import apply_required_conf, scratch_path
@@ -144,21 +144,22 @@ def q_clean_sme(spark, sf_dir):
 
 @query("hex_bin")
 def q_hex_bin(spark, sf_dir):
-    s = _survey(spark, sf_dir)
-    return s.select("id", "latitud", "longitud", hex_cell("latitud", "longitud").alias("h3_hex_id"))
+    pts = _survey(spark, sf_dir).select("id", "latitud", "longitud")
+    return with_hex_cell(pts, "latitud", "longitud")
 
 
 @query("hex_centroid")
 def q_hex_centroid(spark, sf_dir):
-    cells = (_survey(spark, sf_dir).select(hex_cell("latitud", "longitud").alias("h3_hex_id"))
-             .where(F.col("h3_hex_id").isNotNull()).distinct())
+    pts = with_hex_cell(_survey(spark, sf_dir).select("latitud", "longitud"), "latitud", "longitud")
+    cells = pts.select("h3_hex_id").where(F.col("h3_hex_id").isNotNull()).distinct()
     c = hex_centroid("h3_hex_id")
     return cells.select("h3_hex_id", c["lat"].alias("lat"), c["lon"].alias("lon"))
 
 
 @query("hex_boundary")
 def q_hex_boundary(spark, sf_dir):
-    cells = _survey(spark, sf_dir).select(hex_cell("latitud", "longitud").alias("h3_hex_id")).distinct()
+    pts = with_hex_cell(_survey(spark, sf_dir).select("latitud", "longitud"), "latitud", "longitud")
+    cells = pts.select("h3_hex_id").distinct()
     return st.cell_boundaries(cells)
 
 

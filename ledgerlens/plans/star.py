@@ -1,6 +1,7 @@
 """Small-business survey -> star schema, flat table and summaries.
 
-    raw survey ──clean_sme──> clean (checkpointed: five outputs read it)
+    raw survey ──prepare_sme──> prepared rows (written to the shared folder)
+               ──collapse────> clean (one narrow stage over the checkpoint)
         ├─ dim_emprendedor   projection, one row per survey row
         ├─ dim_geografia     distinct hex cells + key + centroid
         ├─ dim_negocio       distinct 6 business columns + key
@@ -11,8 +12,9 @@
 
 Dimension joins are map-side (broadcast) when the dimension is proven
 small: ``dim_deseo`` by construction (two collapsed columns, at most
-``(1/threshold + 1)**2`` rows), the others by counting their checkpointed
-rows.  Otherwise they are shuffle joins.  The fact keeps every clean row
+``(1/threshold + 1)**2`` rows), the others by counting their rows (their
+key tables are written by the surrogate-key step, so a count reads the
+Parquet footers).  Otherwise they are shuffle joins.  The fact keeps every clean row
 (left joins on keys drawn from the same rows never miss).
 """
 
@@ -24,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, daily_hours, density_class, lenient_number, money_avg
-from ..functions.hexgrid import DEFAULT_EDGE_M, hex_boundary, hex_cell, hex_centroid
+from ..functions.hexgrid import DEFAULT_EDGE_M, hex_boundary, hex_centroid, with_hex_cell
 from ..operators.categories import CATEGORY_THRESHOLD, collapse_rare, max_frequent
 from ..operators.keys import surrogate_key
 from ..operators.relational import (DEFAULT_BROADCAST_ROWS, drop_incomplete, join_on,
                                     null_safe_join, proven_small, select_renamed)
-from ..session import checkpoint
+from ..session import cut_lineage
 from ..sources.files import na_to_null
 
 # Fixed values of the survey model.
@@ -90,17 +92,29 @@ def operating_hours(raw: DataFrame) -> DataFrame:
     return df.withColumn("horas_operacion_diarias", daily_hours("horaAperturaNum", "horaCierreNum"))
 
 
-def clean_sme(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
-              edge_m: float = DEFAULT_EDGE_M) -> DataFrame:
-    """Survey cleaning: NA tokens -> null, drop rows missing a required
-    field, numbers as double, lenient hours, 5 % rare-category collapse of
-    eight columns, hexagonal cell of each business."""
+def prepare_sme(raw: DataFrame, edge_m: float = DEFAULT_EDGE_M) -> DataFrame:
+    """Row-local cleaning: NA tokens -> null, drop rows missing a required
+    field, numbers as double, lenient hours, hexagonal cell."""
     df = drop_incomplete(na_to_null(raw), REQUIRED_COLUMNS)
     df = df.select(*[col(c).try_cast("double").alias(c) if c in NUMERIC_COLUMNS else col(c)
                      for c in df.columns])
     df = operating_hours(df)
-    df = collapse_rare(df, COLLAPSE_COLUMNS, threshold)
-    return df.withColumn("h3_hex_id", hex_cell("latitud", "longitud", edge_m))
+    return with_hex_cell(df, "latitud", "longitud", "h3_hex_id", edge_m)
+
+
+def clean_sme(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
+              edge_m: float = DEFAULT_EDGE_M, materialize: bool = False) -> DataFrame:
+    """Survey cleaning: :func:`prepare_sme`, then the 5 % rare-category
+    collapse of eight columns.
+
+    The collapse reads its input twice (count, then map); ``materialize``
+    writes the prepared rows and the frequent-value keys to the shared
+    folder so neither pass re-parses the raw input.
+    """
+    pre = prepare_sme(raw, edge_m)
+    if materialize:
+        pre = cut_lineage(pre, "sme_prepared")
+    return collapse_rare(pre, COLLAPSE_COLUMNS, threshold, materialize_keys=materialize)
 
 
 # ------------------------------------------------------------ dimensions
@@ -169,13 +183,16 @@ class Star:
 
 def build_star(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
                edge_m: float = DEFAULT_EDGE_M, materialize: bool = True) -> Star:
-    """Clean once (checkpointed to the shared folder when ``materialize``),
-    then derive the four dimensions from the clean rows."""
-    clean = clean_sme(raw, threshold, edge_m)
-    if materialize:
-        clean = checkpoint(clean)
-    return Star(clean, dim_emprendedor(clean), checkpoint(dim_geografia(clean)),
-                checkpoint(dim_negocio(clean)), checkpoint(dim_deseo(clean)), threshold)
+    """Clean once, then derive the four dimensions from the clean rows.
+
+    With ``materialize`` the prepared rows and the frequent-value keys are
+    written to the shared folder (see :func:`clean_sme`): the five
+    outputs then re-read a single narrow stage instead of re-parsing the
+    input, and a lost executor costs a re-read, not a recomputation.
+    """
+    clean = clean_sme(raw, threshold, edge_m, materialize=materialize)
+    return Star(clean, dim_emprendedor(clean), dim_geografia(clean),
+                dim_negocio(clean), dim_deseo(clean), threshold)
 
 
 # ------------------------------------------------------- summaries (views)

@@ -127,8 +127,11 @@ def test_star_fact_joins_are_broadcast(star):
     fact = star.fact()
     fact.collect()
     plan = plan_text(fact)
-    assert plan.count("BroadcastHashJoin") == 3
+    # 3 dimension joins + one probe per collapsed column, all map-side
+    assert plan.count("BroadcastHashJoin") == 3 + len(st.COLLAPSE_COLUMNS)
     assert "SortMergeJoin" not in plan and "PythonUDF" not in plan
+    # the frequent-value keys are broadcast once and reused by every probe
+    assert plan.count("ReusedExchange") >= len(st.COLLAPSE_COLUMNS) - 1
 
 
 def test_summaries(star):
