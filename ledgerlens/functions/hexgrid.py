@@ -83,70 +83,97 @@ def hex_cell(lat, lon, edge_m: float = DEFAULT_EDGE_M,
                     a["r"].cast("string"))
 
 
+def _d(x: float) -> str:
+    """An exact double literal of Spark SQL."""
+    return f"{float(x)!r}D"
+
+
+def _rha(x: str) -> str:
+    return f"(signum({x}) * floor(abs({x}) + 0.5D))"
+
+
 def with_hex_cell(df: DataFrame, lat: str, lon: str, out: str = "h3_hex_id",
                   edge_m: float = DEFAULT_EDGE_M, lat0: float = DEFAULT_LAT0) -> DataFrame:
     """``df`` plus the cell id of (lat, lon) in column ``out``.
 
-    Same formula as :func:`hex_cell`, evaluated as a chain of projections
-    so every intermediate (fractional and rounded axial coordinates,
-    rounding errors) is computed once per row instead of being repeated
-    inside the nested conditional expressions.
+    Same formula and operation order as :func:`hex_cell`, evaluated as a
+    chain of projections so every intermediate (fractional and rounded
+    axial coordinates, rounding errors) is computed once per row instead of
+    being repeated inside nested conditional expressions.
     """
     k = grid_constants(lat0)
-    la, lo = col(lat).cast("double"), col(lon).cast("double")
-    t = [f"__hx_{n}" for n in ("qf", "rf", "sf", "q", "r", "s", "fq", "fr")]
-    qf, rf, sf, q, r, s, fq, fr = (F.col(n) for n in t)
-    x = lo * _lit(k["kx"])
-    y = la * _lit(k["ky"])
-    valid = (la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)
-             & (F.abs(la) <= 90) & (F.abs(lo) <= 180))
+    la, lo = f"CAST(`{lat}` AS DOUBLE)", f"CAST(`{lon}` AS DOUBLE)"
+    x, y, e = f"({lo} * {_d(k['kx'])})", f"({la} * {_d(k['ky'])})", _d(edge_m)
+    valid = (f"{la} IS NOT NULL AND {lo} IS NOT NULL AND NOT isnan({la}) AND NOT isnan({lo}) "
+             f"AND abs({la}) <= 90 AND abs({lo}) <= 180")
+    tmp = ["__hx_qf", "__hx_rf", "__hx_sf", "__hx_q", "__hx_r", "__hx_s", "__hx_fq", "__hx_fr"]
     steps = (df
-             .withColumn(t[0], (x * _lit(SQRT3 / 3.0) - y / _lit(3.0)) / _lit(edge_m))
-             .withColumn(t[1], (y * _lit(2.0 / 3.0)) / _lit(edge_m))
-             .withColumn(t[2], -qf - rf)
-             .withColumn(t[3], round_half_away(qf))
-             .withColumn(t[4], round_half_away(rf))
-             .withColumn(t[5], round_half_away(sf)))
-    dq, dr, ds = F.abs(q - qf), F.abs(r - rf), F.abs(s - sf)
-    steps = (steps.withColumn(t[6], (dq > dr) & (dq > ds))
-             .withColumn(t[7], ~fq & (dr > ds)))
-    q2 = F.when(fq, -r - s).otherwise(q).cast("bigint")
-    r2 = F.when(fr, -q - s).otherwise(r).cast("bigint")
-    cell = F.when(valid, F.concat(F.lit(f"hx{edge_m:g}_"), q2.cast("string"), F.lit("_"),
-                                  r2.cast("string")))
-    return steps.withColumn(out, cell).drop(*t)
-
-
-def _parse(cell) -> tuple[Column, Column, Column]:
-    parts = F.split(col(cell), "_")
-    edge = F.substring(parts.getItem(0), 3, 32).cast("double")
-    return edge, parts.getItem(1).cast("double"), parts.getItem(2).cast("double")
-
-
-def _to_latlon(x: Column, y: Column, lat0: float, digits: int | None) -> Column:
+             .selectExpr("*", f"({x} * {_d(SQRT3 / 3.0)} - {y} / 3.0D) / {e} AS __hx_qf",
+                         f"({y} * {_d(2.0 / 3.0)}) / {e} AS __hx_rf")
+             .selectExpr("*", "-__hx_qf - __hx_rf AS __hx_sf", f"{_rha('__hx_qf')} AS __hx_q",
+                         f"{_rha('__hx_rf')} AS __hx_r")
+             .selectExpr("*", f"{_rha('__hx_sf')} AS __hx_s")
+             .selectExpr("*", "abs(__hx_q - __hx_qf) > abs(__hx_r - __hx_rf) AND "
+                              "abs(__hx_q - __hx_qf) > abs(__hx_s - __hx_sf) AS __hx_fq")
+             .selectExpr("*", "NOT __hx_fq AND abs(__hx_r - __hx_rf) > abs(__hx_s - __hx_sf) "
+                              "AS __hx_fr"))
+    q2 = "CAST(CASE WHEN __hx_fq THEN -__hx_r - __hx_s ELSE __hx_q END AS BIGINT)"
+    r2 = "CAST(CASE WHEN __hx_fr THEN -__hx_q - __hx_s ELSE __hx_r END AS BIGINT)"
+    cell = f"CASE WHEN {valid} THEN concat('hx{edge_m:g}_', {q2}, '_', {r2}) END"
+    return steps.selectExpr("*", f"{cell} AS `{out}`").drop(*tmp)
+
+
+def _centre_sql(cell: str) -> tuple[str, str, str]:
+    """(edge, x, y) SQL of the planar centre of the cell id in ``cell``."""
+    e = f"CAST(substring(split({cell}, '_')[0], 3) AS DOUBLE)"
+    q = f"CAST(split({cell}, '_')[1] AS DOUBLE)"
+    r = f"CAST(split({cell}, '_')[2] AS DOUBLE)"
+    return e, f"(({e} * {_d(SQRT3)}) * ({q} + {r} / 2.0D))", f"(({e} * 1.5D) * {r})"
+
+
+def _latlon_sql(x: str, y: str, lat0: float, digits: int | None) -> str:
     k = grid_constants(lat0)
-    lat, lon = y / _lit(k["ky"]), x / _lit(k["kx"])
+    lat, lon = f"({y} / {_d(k['ky'])})", f"({x} / {_d(k['kx'])})"
     if digits is not None:
-        lat, lon = F.round(lat, digits), F.round(lon, digits)
-    return F.struct(lat.alias("lat"), lon.alias("lon"))
+        lat, lon = f"round({lat}, {int(digits)})", f"round({lon}, {int(digits)})"
+    return f"named_struct('lat', {lat}, 'lon', {lon})"
+
+
+def _ref(cell) -> str:
+    if isinstance(cell, str):
+        return f"`{cell}`"
+    raise TypeError("hex_centroid / hex_boundary take a column name")
 
 
 def hex_centroid(cell, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Column:
     """struct<lat, lon> of the cell centre (inverse of :func:`hex_cell`)."""
-    edge, q, r = _parse(cell)
-    x = edge * _lit(SQRT3) * (q + r / _lit(2.0))
-    y = edge * _lit(1.5) * r
-    return _to_latlon(x, y, lat0, digits)
+    if not isinstance(cell, str):
+        return _hex_centroid_col(cell, lat0, digits)
+    _, x, y = _centre_sql(_ref(cell))
+    return F.expr(_latlon_sql(x, y, lat0, digits))
 
 
 def hex_boundary(cell, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Column:
     """array<struct<lat, lon>> of the 6 corners, counter-clockwise from -30°."""
-    edge, q, r = _parse(cell)
-    cx = edge * _lit(SQRT3) * (q + r / _lit(2.0))
-    cy = edge * _lit(1.5) * r
+    c = _ref(cell)
+    e, cx, cy = _centre_sql(c)
     corners = []
     for i in range(6):
         a = math.radians(60.0 * i - 30.0)
-        corners.append(_to_latlon(cx + edge * _lit(math.cos(a)),
-                                  cy + edge * _lit(math.sin(a)), lat0, digits))
-    return F.when(col(cell).isNotNull(), F.array(*corners))
+        corners.append(_latlon_sql(f"({cx} + {e} * {_d(math.cos(a))})",
+                                   f"({cy} + {e} * {_d(math.sin(a))})", lat0, digits))
+    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN array({', '.join(corners)}) END")
+
+
+def _hex_centroid_col(cell: Column, lat0: float, digits: int | None) -> Column:
+    """Column-expression form of :func:`hex_centroid` (for computed ids)."""
+    parts = F.split(cell, "_")
+    edge = F.substring(parts.getItem(0), 3, 32).cast("double")
+    q, r = parts.getItem(1).cast("double"), parts.getItem(2).cast("double")
+    x = edge * _lit(SQRT3) * (q + r / _lit(2.0))
+    y = edge * _lit(1.5) * r
+    k = grid_constants(lat0)
+    lat, lon = y / _lit(k["ky"]), x / _lit(k["kx"])
+    if digits is not None:
+        lat, lon = F.round(lat, digits), F.round(lon, digits)
+    return F.struct(lat.alias("lat"), lon.alias("lon"))

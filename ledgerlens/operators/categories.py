@@ -68,12 +68,13 @@ def map_rare(filled: DataFrame, keys: DataFrame, columns: Sequence[str],
     pipeline stage of the scan.
     """
     out = filled
-    for c in columns:
+    for i, c in enumerate(columns):
         probe = F.concat(F.lit(c + _SEP), col(c))
         out = (out.join(F.broadcast(keys), probe == F.col("__fkey"), "left")
-               .withColumn(c, F.when(F.col("__fkey").isNotNull(), col(c)).otherwise(F.lit(other)))
-               .drop("__fkey"))
-    return out.select(*[col(c) for c in filled.columns])
+               .withColumnRenamed("__fkey", f"__hit{i}"))
+    mapped = {c: F.when(F.col(f"__hit{i}").isNotNull(), col(c)).otherwise(F.lit(other))
+              for i, c in enumerate(columns)}
+    return out.select(*[mapped[c].alias(c) if c in mapped else col(c) for c in filled.columns])
 
 
 def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATEGORY_THRESHOLD,

@@ -1,7 +1,7 @@
 """Small-business survey -> star schema, flat table and summaries.
 
     raw survey ──prepare_sme──> prepared rows (written to the shared folder)
-               ──collapse────> clean (one narrow stage over the checkpoint)
+               ──collapse────> clean rows (written to the shared folder)
         ├─ dim_emprendedor   projection, one row per survey row
         ├─ dim_geografia     distinct hex cells + key + centroid
         ├─ dim_negocio       distinct 6 business columns + key
@@ -123,46 +123,76 @@ def dim_emprendedor(clean: DataFrame) -> DataFrame:
     return select_renamed(clean, EMPRENDEDOR_MAP)
 
 
-def dim_geografia(clean: DataFrame) -> DataFrame:
+def dim_geografia(clean: DataFrame, known_rows: int | None = None) -> DataFrame:
     """Distinct cells, key 1..n in cell-id order, centroid of each cell
     (computed once per distinct cell)."""
-    keys = surrogate_key(clean, ["h3_hex_id"], "id_geografia_dim")
+    keys = surrogate_key(clean, ["h3_hex_id"], "id_geografia_dim", known_rows=known_rows)
     c = hex_centroid("h3_hex_id")
     return keys.select("h3_hex_id", "id_geografia_dim",
                        c["lat"].alias("latitud_centroide"), c["lon"].alias("longitud_centroide"))
 
 
-def dim_negocio(clean: DataFrame) -> DataFrame:
-    keys = surrogate_key(clean, NEGOCIO_COLUMNS, "id_negocio_dim")
+def dim_negocio(clean: DataFrame, known_rows: int | None = None) -> DataFrame:
+    keys = surrogate_key(clean, NEGOCIO_COLUMNS, "id_negocio_dim", known_rows=known_rows)
     return select_renamed(keys, list(zip(NEGOCIO_COLUMNS, NEGOCIO_NAMES))
                           + [("id_negocio_dim", "id_negocio_dim")])
 
 
-def dim_deseo(clean: DataFrame) -> DataFrame:
-    keys = surrogate_key(clean, DESEO_COLUMNS, "id_deseo_dim")
+def dim_deseo(clean: DataFrame, known_rows: int | None = None) -> DataFrame:
+    keys = surrogate_key(clean, DESEO_COLUMNS, "id_deseo_dim", known_rows=known_rows)
     return select_renamed(keys, list(zip(DESEO_COLUMNS, DESEO_NAMES))
                           + [("id_deseo_dim", "id_deseo_dim")])
 
 
 @dataclass
 class Star:
+    """The clean rows and the dimensions, each built on first use.
+
+    ``row_bound`` is an upper bound of the clean rows (the count of the
+    materialized prepared rows, read from Parquet footers).  It bounds every
+    dimension too, so it decides both how surrogate keys are numbered and
+    whether a dimension may be broadcast, without counting dimensions.
+    """
     clean: DataFrame
-    dim_emprendedor: DataFrame
-    dim_geografia: DataFrame
-    dim_negocio: DataFrame
-    dim_deseo: DataFrame
     threshold: float = CATEGORY_THRESHOLD
+    row_bound: int | None = None
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    _dims: dict = field(default_factory=dict, repr=False)
     _small: dict = field(default_factory=dict, repr=False)
 
+    @property
+    def dim_emprendedor(self) -> DataFrame:
+        return dim_emprendedor(self.clean)
+
+    def _dim(self, name, build):
+        if name not in self._dims:
+            self._dims[name] = build(self.clean, known_rows=self.row_bound)
+        return self._dims[name]
+
+    @property
+    def dim_geografia(self) -> DataFrame:
+        return self._dim("dim_geografia", dim_geografia)
+
+    @property
+    def dim_negocio(self) -> DataFrame:
+        return self._dim("dim_negocio", dim_negocio)
+
+    @property
+    def dim_deseo(self) -> DataFrame:
+        return self._dim("dim_deseo", dim_deseo)
+
     def deseo_bound(self) -> int:
         return (max_frequent(self.threshold) + 1) ** 2
 
     def small(self, name: str) -> bool:
         """Whether a dimension may be broadcast (proven small, decided once)."""
         if name not in self._small:
-            bound = self.deseo_bound() if name == "dim_deseo" else None
-            self._small[name] = proven_small(getattr(self, name), self.max_broadcast_rows, bound)
+            bounds = [b for b in (self.row_bound, self.deseo_bound() if name == "dim_deseo" else None)
+                      if b is not None]
+            if bounds and min(bounds) <= self.max_broadcast_rows:
+                self._small[name] = True          # proven by construction, no count
+            else:
+                self._small[name] = proven_small(getattr(self, name), self.max_broadcast_rows)
         return self._small[name]
 
     def enriched(self) -> DataFrame:
@@ -183,16 +213,21 @@ class Star:
 
 def build_star(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
                edge_m: float = DEFAULT_EDGE_M, materialize: bool = True) -> Star:
-    """Clean once, then derive the four dimensions from the clean rows.
-
-    With ``materialize`` the prepared rows and the frequent-value keys are
-    written to the shared folder (see :func:`clean_sme`): the five
-    outputs then re-read a single narrow stage instead of re-parsing the
-    input, and a lost executor costs a re-read, not a recomputation.
+    """Clean once; dimensions follow on first use.
+
+    With ``materialize`` three tables are written to the shared folder: the
+    prepared rows (so the raw input is parsed once although the collapse
+    reads it twice - its counting pass reads only the eight collapsed
+    columns), the tiny frequent-value key table and the clean rows.  Dimensions, fact and flat table then scan
+    the clean table with column pruning, a lost executor costs a re-read,
+    and its row count (from the Parquet footers) bounds every dimension.
     """
-    clean = clean_sme(raw, threshold, edge_m, materialize=materialize)
-    return Star(clean, dim_emprendedor(clean), dim_geografia(clean),
-                dim_negocio(clean), dim_deseo(clean), threshold)
+    if not materialize:
+        return Star(clean_sme(raw, threshold, edge_m), threshold)
+    pre = cut_lineage(prepare_sme(raw, edge_m), "sme_prepared")
+    clean = cut_lineage(collapse_rare(pre, COLLAPSE_COLUMNS, threshold, materialize_keys=True),
+                        "sme_clean")
+    return Star(clean, threshold, clean.count())
 
 
 # ------------------------------------------------------- summaries (views)

@@ -48,9 +48,9 @@ def read_csv_tolerant(spark: SparkSession, path: str | Sequence[str], columns: S
 
 def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Turn pandas' missing-value tokens into null in every text column."""
-    toks = list(tokens)
+    in_list = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
     return df.select(*[
-        F.when(~col(f.name).isin(toks), col(f.name)).alias(f.name)
+        F.expr(f"CASE WHEN `{f.name}` IN ({in_list}) THEN NULL ELSE `{f.name}` END").alias(f.name)
         if isinstance(f.dataType, T.StringType) else col(f.name)
         for f in df.schema.fields])
 

@@ -15,14 +15,30 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NATION_ROWS = 25
 
+# Table handles per session: a DataFrame is an immutable plan, so one
+# resolved scan (file listing, footer schema) serves every query.
+_handles: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cache = _handles.setdefault(spark, {})
+    if path not in cache:
+        cache[path] = spark.read.parquet(path)
+    return cache[path]
+
+
+def _case_sql(k: str, m: int, values: list[str]) -> str:
+    """``values[k % m]`` as an SQL CASE (m == len(values))."""
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {k} % {m} {whens} END"
 
 
 def _case(k: Column, modulus: int, values: list[str]) -> Column:
@@ -60,24 +76,21 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = (li.join(ord_c, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
-    channel = (F.when(F.col("l_returnflag") == "A", F.lit(CHANNELS["A"]))
-               .when(F.col("l_returnflag") == "N", F.lit(CHANNELS["N"]))
-               .otherwise(F.lit(ONLINE)))
-    return t.select(
-        F.when(F.col("o_custkey") % 97 == 0, F.lit(None)).otherwise(F.col("o_custkey"))
-        .cast("bigint").alias("User"),
-        F.col("l_linenumber").alias("Card"),
-        F.year("o_orderdate").alias("Year"),
-        F.month("o_orderdate").alias("Month"),
-        F.dayofmonth("o_orderdate").alias("Day"),
-        F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("Amount"),
-        channel.alias("Use Chip"),
-        F.col("c_name").alias("Merchant City"),
-        F.when(channel != F.lit(ONLINE), F.col("n_name")).alias("Merchant State"),
-        (F.lit(5000) + F.col("p_size") % 12).alias("MCC"),
-        F.when(F.col("l_discount") >= 0.09, F.lit("Bad PIN")).alias("Errors?"),
-        F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
-        .when(F.col("l_tax") >= 0.08, F.lit("YES")).otherwise(F.lit("No")).alias("Is Fraud?"),
+    return t.selectExpr(
+        "CAST(CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE o_custkey END AS BIGINT) AS `User`",
+        "l_linenumber AS `Card`",
+        "year(o_orderdate) AS `Year`",
+        "month(o_orderdate) AS `Month`",
+        "dayofmonth(o_orderdate) AS `Day`",
+        "concat('$', format_number(l_extendedprice, 2)) AS `Amount`",
+        f"CASE l_returnflag WHEN 'A' THEN '{CHANNELS['A']}' WHEN 'N' THEN '{CHANNELS['N']}' "
+        f"ELSE '{ONLINE}' END AS `Use Chip`",
+        "c_name AS `Merchant City`",
+        "CASE WHEN l_returnflag IN ('A', 'N') THEN n_name END AS `Merchant State`",
+        "5000 + p_size % 12 AS `MCC`",
+        "CASE WHEN l_discount >= 0.09D THEN 'Bad PIN' END AS `Errors?`",
+        "CASE WHEN l_linenumber = 7 THEN NULL WHEN l_tax >= 0.08D THEN 'YES' ELSE 'No' END "
+        "AS `Is Fraud?`",
     )
 
 
@@ -96,37 +109,37 @@ def sme_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     t = cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.col("c_custkey")
-    null_s = F.lit(None).cast("string")
-    return t.select(
-        k.alias("id"),
-        (F.lit(18) + k % 60).alias("edadEmprendedor"),
-        F.when(k % 19 == 0, null_s).otherwise(_case(k, 2, ["H", "M"])).alias("sexoEmprendedor"),
-        F.when(k % 31 == 0, null_s).when(k % 53 == 0, F.lit("Doctorado"))
-        .otherwise(_case(k, 4, ["Primaria", "Secundaria", "Preparatoria", "Licenciatura"]))
-        .alias("escolaridadEmprendedor"),
-        F.when(k % 23 == 0, null_s)
-        .otherwise(_case(k, 3, ["Casado", "Soltero", "Union libre"])).alias("estadoCivil"),
-        (k % 4).cast("string").alias("dependientesEconomicos"),
-        _case(k, 3, ["Si", "No", "No"]).alias("familiaAyuda"),
-        F.col("c_acctbal").alias("ventasPromedioDiarias"),
-        (F.lit(19.4) + (k * 37 % 1000) / F.lit(20000.0)).alias("latitud"),
-        (F.lit(-99.15) + (k * 91 % 1000) / F.lit(20000.0)).alias("longitud"),
-        F.when(k % 41 == 0, F.lit("08:30")).otherwise((k % 24).cast("string")).alias("horaApertura"),
-        (k * 7 % 24).cast("string").alias("horaCierre"),
-        (k % 12).alias("numEmpleados"),
-        (k % 30).alias("antiguedadNegocio"),
-        F.col("c_mktsegment").alias("giroNegocio"),
-        _case(k, 3, ["Cuaderno", "Sistema", "Ninguno"]).alias("registroVentas"),
-        _case(k, 2, ["Si", "No"]).alias("registroContabilidad"),
-        F.when(k % 5 == 0, null_s).otherwise(_case(k, 2, ["Si", "No"])).alias("altaSAT"),
-        F.when(k % 7 == 0, null_s).otherwise(_case(k, 3, ["Si", "No", "No"])).alias("usaCredito"),
-        F.when(k % 47 == 0, F.lit("120 dias"))
-        .otherwise(_case(k, 4, ["Contado", "30 dias", "60 dias", "90 dias"]))
-        .alias("tiempoCreditoProveedores"),
-        F.when(k % 10 < 6, F.concat(F.lit("R"), F.col("n_regionkey").cast("string")))
-        .otherwise(F.col("n_name")).alias("Respuesta Original"),
-        F.col("n_regionkey").cast("string").alias("Categoría"),
+    k = "c_custkey"
+    return t.selectExpr(
+        f"{k} AS id",
+        f"18 + {k} % 60 AS edadEmprendedor",
+        f"CASE WHEN {k} % 19 = 0 THEN NULL ELSE {_case_sql(k, 2, ['H', 'M'])} END AS sexoEmprendedor",
+        f"CASE WHEN {k} % 31 = 0 THEN NULL WHEN {k} % 53 = 0 THEN 'Doctorado' ELSE "
+        f"{_case_sql(k, 4, ['Primaria', 'Secundaria', 'Preparatoria', 'Licenciatura'])} END "
+        "AS escolaridadEmprendedor",
+        f"CASE WHEN {k} % 23 = 0 THEN NULL ELSE "
+        f"{_case_sql(k, 3, ['Casado', 'Soltero', 'Union libre'])} END AS estadoCivil",
+        f"CAST({k} % 4 AS STRING) AS dependientesEconomicos",
+        f"{_case_sql(k, 3, ['Si', 'No', 'No'])} AS familiaAyuda",
+        "c_acctbal AS ventasPromedioDiarias",
+        f"19.4D + ({k} * 37 % 1000) / 20000.0D AS latitud",
+        f"-99.15D + ({k} * 91 % 1000) / 20000.0D AS longitud",
+        f"CASE WHEN {k} % 41 = 0 THEN '08:30' ELSE CAST({k} % 24 AS STRING) END AS horaApertura",
+        f"CAST({k} * 7 % 24 AS STRING) AS horaCierre",
+        f"{k} % 12 AS numEmpleados",
+        f"{k} % 30 AS antiguedadNegocio",
+        "c_mktsegment AS giroNegocio",
+        f"{_case_sql(k, 3, ['Cuaderno', 'Sistema', 'Ninguno'])} AS registroVentas",
+        f"{_case_sql(k, 2, ['Si', 'No'])} AS registroContabilidad",
+        f"CASE WHEN {k} % 5 = 0 THEN NULL ELSE {_case_sql(k, 2, ['Si', 'No'])} END AS altaSAT",
+        f"CASE WHEN {k} % 7 = 0 THEN NULL ELSE {_case_sql(k, 3, ['Si', 'No', 'No'])} END "
+        "AS usaCredito",
+        f"CASE WHEN {k} % 47 = 0 THEN '120 dias' ELSE "
+        f"{_case_sql(k, 4, ['Contado', '30 dias', '60 dias', '90 dias'])} END "
+        "AS tiempoCreditoProveedores",
+        f"CASE WHEN {k} % 10 < 6 THEN concat('R', CAST(n_regionkey AS STRING)) ELSE n_name END "
+        "AS `Respuesta Original`",
+        "CAST(n_regionkey AS STRING) AS `Categoría`",
     )
 
 
