@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no event-time, watermark, windowed or stateful stream
+processing; its "streaming" is out-of-core batch execution of the cube
+build, which Spark batch jobs already do by spilling shuffles and
+aggregates to disk.  Nothing here, by design (see README).
+"""
