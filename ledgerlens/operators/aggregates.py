@@ -43,10 +43,11 @@ def distinct_values(df: DataFrame, name: str) -> DataFrame:
 def category_share(df: DataFrame, name: str) -> DataFrame:
     """``value_counts(normalize=True, dropna=False)``: rows and share per value.
 
-    The total is a one-row aggregate joined back with a (trivially sized)
+    The total is the sum of the counts themselves (same subtree, so the
+    count exchange is reused - one scan), joined back as a one-row
     broadcast; null is a value of its own.
     """
     counts = df.groupBy(col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    total = counts.agg(F.sum("n").alias("__total"))
     return (counts.crossJoin(F.broadcast(total))
             .select("value", "n", (F.col("n") / F.col("__total")).alias("share")))

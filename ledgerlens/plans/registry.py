@@ -220,7 +220,10 @@ def q_sme_kpis(spark, sf_dir):
 
 @query("cell_density_class")
 def q_cell_density_class(spark, sf_dir):
-    return st.cell_density_class(st.sales_by_sector_cell(_star(spark, sf_dir)))
+    """Map classes over the materialized sales view (as the map page reads it)."""
+    df = st.sales_by_sector_cell(_star(spark, sf_dir))
+    mv = materialize(spark, df, "mv_ventas_por_giro_h3", scratch_path(spark, "mv_ventas_por_giro_h3"))
+    return st.cell_density_class(mv)
 
 
 # ------------------------------------------------------------- warehouse

@@ -170,3 +170,10 @@ def test_surrogate_keys_single_task_path_matches(spark):
     assert "Window" in b._jdf.queryExecution().executedPlan().toString()
     norm = lambda rows: sorted((r.sk, r.j, r.k) for r in rows)
     assert norm(a.collect()) == norm(b.collect())
+
+
+def test_category_share_counts_null_and_sums_to_one(spark):
+    from ledgerlens.operators import category_share
+    df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "c string")
+    got = {r.value: (r.n, r.share) for r in category_share(df, "c").collect()}
+    assert got == {"a": (2, 0.5), None: (1, 0.25), "b": (1, 0.25)}
