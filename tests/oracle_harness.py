@@ -1,7 +1,7 @@
 """Run registered queries on Spark and their SQL on DuckDB; compare.
 
-Comparison in the driver's spirit: row count, column names (sorted) and
-an order-insensitive multiset of rows.  Doubles are compared exactly and,
+Comparison in the driver's spirit: row count, column names (sorted), column
+types (Spark's against DuckDB's) and an order-insensitive multiset of rows.  Doubles are compared exactly and,
 separately, after rounding to 9 significant digits, so a report says
 whether a mismatch is real or last-bit noise.
 
@@ -10,7 +10,6 @@ whether a mismatch is real or last-bit noise.
 
 from __future__ import annotations
 
-import datetime as dt
 import decimal
 import math
 import os
@@ -52,8 +51,6 @@ def _norm(v, digits: int | None):
     if isinstance(v, int):
         return v
     if hasattr(v, "isoformat"):
-        if isinstance(v, dt.datetime) and v.time() == dt.time(0) and False:
-            return v.date().isoformat()
         return v.isoformat()
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x, digits) for x in v)
@@ -67,6 +64,17 @@ def _rows(cols, rows, digits):
     return Counter(tuple(_norm(r[i], digits) for i in order) for r in rows)
 
 
+# Spark type name -> DuckDB result type name
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+              "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_mismatches(df, con, sql: str) -> list:
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(c, t, want.get(c)) for c, t in df.dtypes if TYPE_NAMES.get(t, t) != want.get(c)]
+
+
 def spark_rows(df):
     cols = df.columns
     out = []
@@ -82,7 +90,8 @@ def spark_rows(df):
 
 def compare(spark, con, name: str, sf_dir: str, queries, sql) -> dict:
     t0 = time.time()
-    scols, srows = spark_rows(queries[name](spark, sf_dir))
+    df = queries[name](spark, sf_dir)
+    scols, srows = spark_rows(df)
     t1 = time.time()
     res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
     if name not in sql:
@@ -98,6 +107,10 @@ def compare(spark, con, name: str, sf_dir: str, queries, sql) -> dict:
     if len(srows) != len(orows):
         res["status"] = "ROWCOUNT"
         return res
+    bad_types = type_mismatches(df, con, sql[name])
+    if bad_types:
+        res["status"] = f"TYPES {bad_types}"
+        return res
     if _rows(scols, srows, None) == _rows(ocols, orows, None):
         res["status"] = "exact"
     elif _rows(scols, srows, 9) == _rows(ocols, orows, 9):
