@@ -76,14 +76,17 @@ SUFFIX_COLUMN = "table_suffix"
 
 
 def read_sharded(spark: SparkSession, base: str, between: tuple[str, str] | None = None,
-                 suffix_column: str = SUFFIX_COLUMN) -> DataFrame:
+                 suffix_column: str = SUFFIX_COLUMN,
+                 data_schema: T.StructType | None = None) -> DataFrame:
     """Wildcard scan over date shards laid out as ``base/table_suffix=…/``.
 
     The suffix is declared a *string* partition column, so
     ``table_suffix BETWEEN a AND b`` is a partition filter: shards outside
-    the range are never listed into the scan.
+    the range are never listed into the scan.  Pass ``data_schema`` on
+    very large shard trees to skip the schema-inference listing.
     """
-    data_schema = spark.read.parquet(base).schema
+    if data_schema is None:
+        data_schema = spark.read.parquet(base).schema
     fields = [f for f in data_schema.fields if f.name != suffix_column]
     schema = T.StructType(fields + [T.StructField(suffix_column, T.StringType(), True)])
     df = spark.read.schema(schema).parquet(base)

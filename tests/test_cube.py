@@ -131,3 +131,22 @@ def test_plan_no_python_and_pruned(spark):
     # unused raw columns never reach the scans
     scans = cube._jdf.queryExecution().executedPlan().toString()
     assert "c_name" not in scans and "l_linenumber" in scans
+
+
+def test_hot_cell_exact_and_two_level(spark):
+    """One cell holds a third of all rows: totals and distinct users stay
+    exact and the plan reduces it in two partially aggregated levels."""
+    rows = []
+    for i in range(3000):
+        hot = i % 3 == 0
+        rows.append((str(i % 500 if hot else i), "1", "2019", "1" if hot else str(1 + i % 12), "1",
+                     f"${1 + i % 7}.25", "Chip", "X", "CA" if hot else "TX", "5411", None, "No"))
+    raw = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in RAW)).repartition(6)
+    cube = cb.build_cube(cb.clean_transactions(raw))
+    hot = cube.where(F.col("Merchant State") == "CA").collect()
+    assert len(hot) == 1 and hot[0].total_transactions == 1000 and hot[0].unique_users == 500
+    want = sum(1 + i % 7 + 0.25 for i in range(0, 3000, 3))
+    assert math.isclose(hot[0].total_amount, want)
+    plan = plan_text(cube)
+    assert plan.count("partial_count(distinct") + plan.count("partial_count") >= 2
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -177,3 +177,12 @@ def test_category_share_counts_null_and_sums_to_one(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "c string")
     got = {r.value: (r.n, r.share) for r in category_share(df, "c").collect()}
     assert got == {"a": (2, 0.5), None: (1, 0.25), "b": (1, 0.25)}
+
+
+def test_collapse_hot_value(spark):
+    """A value with a third of all rows is kept; the rest collapse."""
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id").cast("string")))
+        .alias("c")).repartition(7)
+    got = {r.c: r["count"] for r in collapse_rare(df, ["c"]).groupBy("c").count().collect()}
+    assert got == {"hot": 1000, "OTROS": 2000}
