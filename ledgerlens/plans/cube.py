@@ -35,9 +35,11 @@ YEAR, STATE, CHANNEL, MCC = "Year", "Merchant State", "Use Chip", "MCC"
 DEFAULT_STATES = 5
 
 
-def read_transactions_csv(spark: SparkSession, path) -> DataFrame:
-    """Tolerant scan of the raw card CSV (extra columns ignored)."""
-    return read_csv_tolerant(spark, path, RAW_COLUMNS, SCAN_TYPES)
+def read_transactions_csv(spark: SparkSession, path, file_columns=None) -> DataFrame:
+    """Tolerant scan of the raw card CSV (extra columns ignored).
+    ``file_columns``: the file's full header when known (see
+    :func:`ledgerlens.sources.files.read_csv_text`)."""
+    return read_csv_tolerant(spark, path, RAW_COLUMNS, SCAN_TYPES, file_columns)
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
@@ -85,9 +87,9 @@ def build_cube(clean: DataFrame) -> DataFrame:
 
 
 def build_cube_from_csv(spark: SparkSession, csv_path, out_path: str,
-                        compression: str = "zstd") -> str:
+                        compression: str = "zstd", file_columns=None) -> str:
     """The whole ETL: CSV -> cube Parquet (one job, written in parallel)."""
-    cube = build_cube(clean_transactions(read_transactions_csv(spark, csv_path)))
+    cube = build_cube(clean_transactions(read_transactions_csv(spark, csv_path, file_columns)))
     return write_parquet(cube, out_path, compression)
 
 

@@ -21,15 +21,26 @@ NA_TOKENS = (
 
 
 def read_csv_text(spark: SparkSession, path: str | Sequence[str],
-                  columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with a header, every column as text (no inference pass).
+                  columns: Sequence[str] | None = None,
+                  file_columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV with a header, every column as text (no type inference).
 
     Columns are selected *by name*, so extra or reordered columns in the
     file are harmless and a missing one is an error.  Empty fields (quoted
-    or not) are null.
+    or not) are null.  Lines are independent (no multi-line records), so
+    large files split across tasks.
+
+    ``file_columns`` declares the header when the layout is known: no job
+    is spent reading it up front, and every file's header is still checked
+    against the declared names (a mismatch fails the read rather than
+    silently shifting columns).
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").option("multiLine", False).csv(path))
+    reader = (spark.read.option("header", True).option("inferSchema", False)
+              .option("mode", "PERMISSIVE").option("multiLine", False))
+    if file_columns:
+        reader = reader.option("enforceSchema", False).schema(
+            T.StructType([T.StructField(c, T.StringType(), True) for c in file_columns]))
+    df = reader.csv(path)
     return df.select(*[col(c) for c in columns]) if columns else df
 
 
@@ -41,9 +52,10 @@ def tolerant_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def read_csv_tolerant(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
-                      types: Mapping[str, str]) -> DataFrame:
+                      types: Mapping[str, str],
+                      file_columns: Sequence[str] | None = None) -> DataFrame:
     """Tolerant typed CSV scan: text read, projection by name, try-cast."""
-    return tolerant_types(read_csv_text(spark, path, columns), types)
+    return tolerant_types(read_csv_text(spark, path, columns, file_columns), types)
 
 
 def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:

@@ -112,15 +112,25 @@ def test_parquet_sink_codec_and_missing(spark, tmp_path, f1_cube):
         cb.load_cube(spark, str(tmp_path / "nope"))
 
 
-def test_build_cube_from_csv_end_to_end(spark, tmp_path):
+@pytest.mark.parametrize("declared", [False, True])
+def test_build_cube_from_csv_end_to_end(spark, tmp_path, declared):
     raw = spark.createDataFrame(F1, ", ".join(f"`{c}` string" for c in RAW))
     csv = write_csv(raw, str(tmp_path / "in"))
-    out = cb.build_cube_from_csv(spark, csv, str(tmp_path / "cube"), compression="zstd")
+    out = cb.build_cube_from_csv(spark, csv, str(tmp_path / "cube"), compression="zstd",
+                                 file_columns=RAW if declared else None)
     got = cb.load_cube(spark, out)
     assert got.count() == 4
     assert got.agg(F.sum("total_transactions")).first()[0] == 7
 
 
+def test_declared_csv_header_is_checked(spark, tmp_path):
+    raw = spark.createDataFrame(F1, ", ".join(f"`{c}` string" for c in RAW))
+    csv = write_csv(raw, str(tmp_path / "in"))
+    wrong = RAW[1:] + RAW[:1]
+    with pytest.raises(Exception):
+        cb.read_transactions_csv(spark, csv, file_columns=wrong).collect()
+
+
 def test_plan_no_python_and_pruned(spark):
     cube = cb.build_cube(cb.clean_transactions(td.transactions(spark, SF_MID)))
     top = cb.top_mcc(cb.slice_cube(cube))
