@@ -73,9 +73,17 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cust_n = cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     ord_c = orders.join(cust_n, F.col("o_custkey") == F.col("c_custkey"))
-    t = (li.join(ord_c, F.col("l_orderkey") == F.col("o_orderkey"))
+    # lineitem meets orders in a shuffled hash join built on the orders side.
+    # Without cost statistics a join's estimated size is the product of its
+    # inputs, which would make lineitem - the largest table - look like the
+    # side to broadcast.  Joining orders first keeps lineitem-sized shuffles
+    # to two (order key, part key).
+    t = (li.join(ord_c.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
          .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    return _select_txn(t)
 
+
+def _select_txn(t: DataFrame) -> DataFrame:
     return t.selectExpr(
         "CAST(CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE o_custkey END AS BIGINT) AS `User`",
         "l_linenumber AS `Card`",
