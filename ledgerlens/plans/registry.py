@@ -141,7 +141,9 @@ def q_operating_hours(spark, sf_dir):
 
 @query("clean_sme")
 def q_clean_sme(spark, sf_dir):
-    return st.clean_sme(_survey(spark, sf_dir))
+    """Clean survey rows; the prepared rows and frequent keys are written
+    once so the collapse's two passes never re-parse the raw input."""
+    return st.clean_sme(_survey(spark, sf_dir), materialize=True)
 
 
 @query("hex_bin")
