@@ -12,10 +12,10 @@
 
 Dimension joins are map-side (broadcast) when the dimension is proven
 small: ``dim_deseo`` by construction (two collapsed columns, at most
-``(1/threshold + 1)**2`` rows), the others by counting their rows (their
-key tables are written by the surrogate-key step, so a count reads the
-Parquet footers).  Otherwise they are shuffle joins.  The fact keeps every clean row
-(left joins on keys drawn from the same rows never miss).
+``(1/threshold + 1)**2`` rows), every dimension by the written clean-row
+count (read from the Parquet footers, an upper bound of any dimension),
+else by counting it.  Otherwise they are shuffle joins.  The fact keeps
+every clean row (left joins on keys drawn from the same rows never miss).
 """
 
 from __future__ import annotations
