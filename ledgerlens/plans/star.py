@@ -296,3 +296,40 @@ def cell_boundaries(cells: DataFrame, cell_col: str = "h3_hex_id") -> DataFrame:
 SUMMARY_VIEWS = {"mv_ventas_por_giro_h3": sales_by_sector_cell,
                  "mv_deseos_rentabilidad": goal_profitability}
 
+
+
+def run_survey_etl(spark, raw: DataFrame, out_dir: str, jdbc_url: str | None = None,
+                   jdbc_options: dict | None = None,
+                   threshold: float = CATEGORY_THRESHOLD) -> dict:
+    """The survey ETL end to end.
+
+    The flat table is always exported as CSV.  With ``jdbc_url`` the five
+    star tables and the two summaries are then loaded into the database
+    (tables replaced, the geography dimension named ``dim_geografia_h3``);
+    without one, the star tables are exported as CSV and the summaries are
+    materialized as Parquet views under ``out_dir``.  Every table is
+    written by the executors in parallel; nothing passes through the
+    driver.  Returns the written locations by table name.
+    """
+    from ..sources.sinks import export_tables, materialize, write_csv, write_jdbc
+
+    star = build_star(raw, threshold)
+    base = out_dir.rstrip("/")
+    out = {TABLE_NAMES["flat"]: write_csv(star.flat(), f"{base}/{TABLE_NAMES['flat']}")}
+    fact = star.fact()
+    tables = {TABLE_NAMES["dim_emprendedor"]: star.dim_emprendedor,
+              TABLE_NAMES["dim_geografia"]: star.dim_geografia,
+              TABLE_NAMES["dim_negocio"]: star.dim_negocio,
+              TABLE_NAMES["dim_deseo"]: star.dim_deseo,
+              TABLE_NAMES["fact"]: fact}
+    summaries = {name: build(star, fact) for name, build in SUMMARY_VIEWS.items()}
+    if jdbc_url:
+        for name, df in {**tables, **summaries}.items():
+            write_jdbc(df, jdbc_url, name, **(jdbc_options or {}))
+            out[name] = f"{jdbc_url}#{name}"
+        return out
+    out.update(export_tables(tables, base))
+    for name, df in summaries.items():
+        materialize(spark, df, name, f"{base}/{name}")
+        out[name] = f"{base}/{name}"
+    return out

@@ -186,3 +186,16 @@ def test_collapse_hot_value(spark):
         .alias("c")).repartition(7)
     got = {r.c: r["count"] for r in collapse_rare(df, ["c"]).groupBy("c").count().collect()}
     assert got == {"hot": 1000, "OTROS": 2000}
+
+
+def test_run_survey_etl_without_database(spark, tmp_path):
+    raw = td.sme_survey(spark, "/root/testdata/sf0.001")
+    out = st.run_survey_etl(spark, raw, str(tmp_path))
+    assert set(out) == {"sme_molap_flat", "dim_emprendedor", "dim_geografia_h3", "dim_negocio",
+                        "dim_deseo", "fact_sme_metrics", "mv_ventas_por_giro_h3",
+                        "mv_deseos_rentabilidad"}
+    flat = spark.read.option("header", True).csv(out["sme_molap_flat"])
+    fact = spark.read.option("header", True).csv(out["fact_sme_metrics"])
+    assert flat.count() == fact.count() > 0 and len(flat.columns) == 22
+    mv = spark.table("mv_deseos_rentabilidad")
+    assert mv.agg(F.sum("cantidad_pymes")).first()[0] == fact.count()
