@@ -169,3 +169,13 @@ def fraud_by_state(sliced: DataFrame, k: int = 10) -> DataFrame:
 def preview(sliced: DataFrame, n: int = 100) -> DataFrame:
     """First ``n`` cells in key order (nulls first): a deterministic head."""
     return sliced.orderBy(*[F.asc_nulls_first(col(c)) for c in CUBE_KEYS]).limit(n)
+
+
+def cube_dashboard(cube: DataFrame, years: Sequence[int] | None = None,
+                   states: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Every figure of the card dashboard for one slicer selection, as lazy
+    frames (the slice is shared; nothing runs until a frame is used)."""
+    s = slice_cube(cube, years, states)
+    return {"years": slicer_years(cube), "states": slicer_states(cube), "kpis": kpis(s),
+            "monthly_amount": monthly_amount(s), "amount_by_channel": amount_by_channel(s),
+            "top_mcc": top_mcc(s), "fraud_by_state": fraud_by_state(s), "preview": preview(s)}

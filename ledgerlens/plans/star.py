@@ -333,3 +333,14 @@ def run_survey_etl(spark, raw: DataFrame, out_dir: str, jdbc_url: str | None = N
         materialize(spark, df, name, f"{base}/{name}")
         out[name] = f"{base}/{name}"
     return out
+
+
+def sme_dashboard(star: Star) -> dict[str, DataFrame]:
+    """Every figure of the survey dashboard as lazy frames: KPIs, map cells
+    (summary rows with opacity class and cell polygons), sector summary,
+    goal profitability."""
+    fact = star.fact()
+    cells = cell_density_class(sales_by_sector_cell(star, fact))
+    return {"kpis": sme_kpis(fact), "map_cells": cells,
+            "map_polygons": cell_boundaries(cells.select("h3_hex_id").distinct()),
+            "sectors": sector_summary(star, fact), "goals": goal_profitability(star, fact)}

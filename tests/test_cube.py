@@ -160,3 +160,10 @@ def test_hot_cell_exact_and_two_level(spark):
     plan = plan_text(cube)
     assert plan.count("partial_count(distinct") + plan.count("partial_count") >= 2
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_cube_dashboard_bundle(f1_cube):
+    d = cb.cube_dashboard(f1_cube, years=[2019, 2020], states=["CA", "TX"])
+    assert d["kpis"].first().total_transactions == 6
+    assert [r[0] for r in d["states"].collect()] == ["CA", "TX"]
+    assert d["preview"].count() == 3

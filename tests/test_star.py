@@ -199,3 +199,10 @@ def test_run_survey_etl_without_database(spark, tmp_path):
     assert flat.count() == fact.count() > 0 and len(flat.columns) == 22
     mv = spark.table("mv_deseos_rentabilidad")
     assert mv.agg(F.sum("cantidad_pymes")).first()[0] == fact.count()
+
+
+def test_sme_dashboard_bundle(star):
+    d = st.sme_dashboard(star)
+    assert d["kpis"].first().total_pymes == 1463
+    assert d["map_polygons"].count() == 6 * d["map_cells"].select("h3_hex_id").distinct().count()
+    assert d["sectors"].count() == 5
