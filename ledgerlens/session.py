@@ -88,10 +88,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    # the context appends its own uuid folder; write next to it
-    return f"{os.path.dirname(base)}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path under the shared checkpoint folder.
+
+    Outputs stay in place (the DataFrames handed back read them); retention
+    of the folder is the caller's policy.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        # the context appends its own uuid folder; write next to it
+        root = os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/"))
+    return f"{root.rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
