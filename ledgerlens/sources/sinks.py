@@ -84,11 +84,18 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, path: str) -> Dat
 
 
 def write_date_shards(df: DataFrame, base: str, date_col: str, fmt: str = "yyyyMMdd",
-                      suffix_column: str = "table_suffix") -> str:
+                      suffix_column: str = "table_suffix",
+                      files_per_shard: int | None = None) -> str:
     """Lay a table out as one shard per day: ``base/table_suffix=YYYYMMDD/``.
 
-    No shuffle: each task writes one file per day it holds, so a hot day
-    is spread over many files instead of one task.
+    Default: no shuffle - each task writes one file per day it holds, so a
+    hot day is spread over many files instead of one task.  With
+    ``files_per_shard`` one shuffle on (day, row-hash salt) first groups the
+    rows, giving about that many files per day; the salt keeps a hot day
+    split over that many tasks.
     """
     out = df.withColumn(suffix_column, F.date_format(F.col(date_col), fmt))
+    if files_per_shard:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(int(files_per_shard)))
+        out = out.repartition(F.col(suffix_column), salt)
     return write_parquet(out, base, partition_by=(suffix_column,))

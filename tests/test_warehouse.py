@@ -114,3 +114,16 @@ def test_reuse_context(spark):
     with catalog.reused(df) as d:
         assert d.is_cached and d.count() == 10
     assert not df.is_cached
+
+
+def test_date_shards_bounded_files(spark, tmp_path):
+    import os
+    rows = [(dt.datetime(2021, 1, 1 + i % 3, 12, 0), f"e{i}") for i in range(600)]
+    ev = spark.createDataFrame(rows, "ts timestamp, event_name string").repartition(12)
+    base = str(tmp_path / "shards")
+    write_date_shards(ev, base, "ts", files_per_shard=2)
+    for d in os.listdir(base):
+        if d.startswith("table_suffix="):
+            files = [f for f in os.listdir(os.path.join(base, d)) if f.endswith(".parquet")]
+            assert 1 <= len(files) <= 2
+    assert read_sharded(spark, base).count() == 600
