@@ -117,7 +117,9 @@ def lenient_number(c) -> Column:
     ``'nan'`` -> NaN (later dropped like a null).
     """
     t = F.lower(F.regexp_replace(col(c).cast("string"), r"^\s+|\s+$", ""))
-    return F.when(t.rlike(_FLOAT_TEXT), t.try_cast("double"))
+    # Python reads a signed NaN ("+nan", "-nan"); Spark's cast does not
+    unsigned_nan = F.regexp_replace(t, r"^[+-](?=nan$)", "")
+    return F.when(t.rlike(_FLOAT_TEXT), unsigned_nan.try_cast("double"))
 
 
 def daily_hours(open_h, close_h) -> Column:

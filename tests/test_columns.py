@@ -90,3 +90,37 @@ def test_na_tokens_leave_numbers(spark):
     df = spark.createDataFrame([("NaN", 1.5)], "s string, d double")
     r = na_to_null(df).first()
     assert r.s is None and r.d == 1.5 and "nan" in NA_TOKENS
+
+
+def _py_float(v):
+    """The behaviour to match: Python's float(), minus digit underscores."""
+    if "_" in v:
+        return None
+    try:
+        return float(v)
+    except ValueError:
+        return None
+
+
+def test_lenient_number_matches_python_float(spark):
+    import random
+    rnd = random.Random(11)
+    alphabet = "0123456789..++--eE  \tinfatyx"
+    words = ["inf", "nan", "infinity", "-inf", "+nan", "1e", "e1", ".", "1.", ".5"]
+    vals = []
+    for _ in range(4000):
+        if rnd.random() < 0.15:
+            v = rnd.choice(words)
+            if rnd.random() < 0.5:
+                v = v.upper() if rnd.random() < 0.5 else " " + v + "\t"
+        else:
+            v = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 7)))
+        vals.append(v)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = {r.i: r.x for r in df.select("i", lenient_number("v").alias("x")).collect()}
+    for i, v in enumerate(vals):
+        want, have = _py_float(v), got[i]
+        if want is not None and math.isnan(want):
+            assert have is not None and math.isnan(have), v
+        else:
+            assert have == want, (v, have, want)
