@@ -206,3 +206,32 @@ def test_sme_dashboard_bundle(star):
     assert d["kpis"].first().total_pymes == 1463
     assert d["map_polygons"].count() == 6 * d["map_cells"].select("h3_hex_id").distinct().count()
     assert d["sectors"].count() == 5
+
+
+def _py_cell(lat, lon, edge=531.0):
+    """Plain-Python statement of the grid (same literals, same order)."""
+    k = grid_constants()
+    if lat is None or lon is None or math.isnan(lat) or math.isnan(lon) or abs(lat) > 90 or abs(lon) > 180:
+        return None
+    x, y = lon * k["kx"], lat * k["ky"]
+    qf = (x * (math.sqrt(3.0) / 3.0) - y / 3.0) / edge
+    rf = (y * (2.0 / 3.0)) / edge
+    sf = -qf - rf
+    rnd = lambda v: math.copysign(math.floor(abs(v) + 0.5), v) if v else 0.0
+    q, r, s = rnd(qf), rnd(rf), rnd(sf)
+    dq, dr, ds = abs(q - qf), abs(r - rf), abs(s - sf)
+    fq = dq > dr and dq > ds
+    fr = not fq and dr > ds
+    return f"hx531_{int(-r - s if fq else q)}_{int(-q - s if fr else r)}"
+
+
+def test_hex_implementations_agree(spark):
+    from ledgerlens.functions.hexgrid import with_hex_cell
+    rnd = random.Random(5)
+    pts = [(rnd.uniform(-95, 95), rnd.uniform(-185, 185)) for _ in range(4000)]
+    pts += [(19.2 + rnd.random() * 0.6, -99.4 + rnd.random() * 0.6) for _ in range(1000)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pts)], "i int, lat double, lon double")
+    out = with_hex_cell(df, "lat", "lon", "a").select("i", "a", hex_cell("lat", "lon").alias("b"))
+    for r in out.collect():
+        want = _py_cell(*pts[r.i])
+        assert r.a == r.b == want, (pts[r.i], r.a, r.b, want)
