@@ -9,7 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,12 +22,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_query(table(spark, sf_dir, "documents"))
 
 
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op4_query(table(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op6_query(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op10_query(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_pack_sequences": op4_pack_sequences,
+    "op6_token_files": op6_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

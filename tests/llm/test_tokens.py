@@ -1,0 +1,123 @@
+import zlib
+
+import numpy as np
+import pyarrow.fs as pafs
+import pytest
+from conftest import SF_SMALL, docs_frame
+
+import ledgerlens.llm.packing as pk
+import ledgerlens.llm.token_files as tf
+from ledgerlens.llm.tokens import default_tokenizer_path, encoder
+
+ODD = [None, "", "  a", "a  b", "a\n\nb", "a \n b", "\n", "\n\n\n", " ", " a ", "x  ", "don't we'll  'tis",
+       "a\tb\t\tc", "é b  c", "<|endoftext|> hi", "foo.\n\n\nBar baz\n qux", "12 345\r\n67", "a b   c",
+       "a\x1cb \x1c c", "日本語 テキスト", "a" * 3000, "😀 😀😀  x", "''s it''s", "a\x85b \x85 c", "long " * 5000]
+
+
+@pytest.fixture(scope="module")
+def plain_ids():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(default_tokenizer_path())
+    t.encode_special_tokens = True
+    return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+
+
+def test_cached_ids_equal_library(plain_ids, small_docs):
+    e = encoder(default_tokenizer_path())
+    for text in [*ODD[1:], *(r[1] for r in small_docs)]:
+        assert e.encode(text) + bytes(4) == plain_ids(text).tobytes(), text[:80]
+
+
+@pytest.mark.parametrize("mode", ["byte", "bit"])
+@pytest.mark.parametrize("sizes", [[], [1], [7], [8, 0, 9], [64, 65, 1000, 3]])
+def test_plane_round_trip(mode, sizes, tmp_path):
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(0, 2**32, n, dtype=np.uint64).astype("<u4") for n in sizes]
+    path = str(tmp_path / "ids.idp")
+    w = tf.PlaneWriter(pafs.LocalFileSystem().open_output_stream(path), mode, block=64)
+    for d in docs:
+        w.append(d.tobytes())
+    w.close()
+    reader = tf.PlaneReader(pafs.LocalFileSystem().open_input_file(path))
+    at = 0
+    for d in docs:
+        assert b"".join(p.tobytes() for p in reader.read(at, len(d))) == d.tobytes()
+        at += len(d)
+    assert reader.ids == at
+
+
+def check_index(rows, out, plain_ids):
+    at = 0
+    for (doc_id, text), r in zip(rows, sorted(out, key=lambda r: r.start)):
+        ids = plain_ids(text)
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(out) == len(rows)
+
+
+def test_token_files(spark, plain_ids, small_docs):
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    check_index(rows, tf.op6_query(docs_frame(spark, rows[::-1])).collect(), plain_ids)
+    assert tf.op6_query(docs_frame(spark, [])).count() == 0
+    from ledgerlens.llm.registry import QUERIES
+    check_index([r[:2] for r in small_docs], QUERIES["op6_token_files"](spark, SF_SMALL).collect(), plain_ids)
+
+
+def test_null_and_repeated_ids_in_files(spark):
+    out = tf.op6_query(docs_frame(spark, [(None, "z"), (2, "b"), (2, "b"), (1, "a")])).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [1, 2, 2, None]
+
+
+def check_pieces(rows, out, plain_ids):
+    ids = {i: plain_ids(t) for i, t in rows}
+    seen, seqs = {}, {}
+    for r in out:
+        part = ids[r.doc_id][r.start: r.start + r.length]
+        assert len(part) == r.length > 0 and zlib.crc32(part.tobytes()) == r.ids_crc32
+        assert r.doc_tokens == len(ids[r.doc_id])
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, want in ids.items():
+        at = 0
+        for start, length in sorted(seen[i]):
+            assert start == at
+            at += length
+        assert at == len(want)
+    for pieces in seqs.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024 and at & (at - 1) == 0         # no padding anywhere
+
+
+def test_packing(spark, plain_ids, small_docs):
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    check_pieces(rows, pk.op4_query(docs_frame(spark, rows)).collect(), plain_ids)
+    assert pk.op4_query(docs_frame(spark, [])).count() == 0
+    from ledgerlens.llm.registry import QUERIES
+    check_pieces([r[:2] for r in small_docs], QUERIES["op4_pack_sequences"](spark, SF_SMALL).collect(), plain_ids)
+
+
+def test_packing_null_and_repeated_ids(spark):
+    out = pk.op4_query(docs_frame(spark, [(None, "z"), (2, "b"), (2, "b")])).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in out) == [(0, 2), (2, 2), (2, 2)]
+
+
+def test_assignment_balances_cost():
+    lengths = np.random.default_rng(3).integers(1, 400, 2000)
+    pieces = pk.assign(lengths)
+    fill, cost = {}, {}
+    for _, _, n, s, _ in pieces:
+        fill[s] = fill.get(s, 0) + n
+        cost[s] = cost.get(s, 0) + pk.piece_cost(n)
+    assert sum(fill.values()) == lengths.sum()
+    whole = [cost[s] for s in fill if fill[s] == 1024]
+    # in-order filling for comparison
+    cuts, naive, at = np.cumsum(lengths), {}, 0
+    for c in cuts:
+        while at < c:
+            end = min(c, (at // 1024 + 1) * 1024)
+            naive[at // 1024] = naive.get(at // 1024, 0) + pk.piece_cost(end - at)
+            at = end
+    assert np.std(whole) < np.std(list(naive.values()))
