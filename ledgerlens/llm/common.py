@@ -38,14 +38,15 @@ def utf8_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
-                max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into row runs of at most ``max_bytes`` of text (one row at least)."""
+                max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Cut batches into row runs of at most ``max_bytes`` of text (one row at
+    least) and ``max_rows`` rows."""
     for batch in batches:
         _, off = utf8_buffers(batch.column(batch.schema.get_field_index(column)))
         at, n = 0, batch.num_rows
         while at < n:
             end = int(np.searchsorted(off, off[at] + max_bytes, side="right")) - 1
-            end = min(max(end, at + 1), n)
+            end = min(max(end, at + 1), n, at + max_rows)
             yield batch.slice(at, end - at)
             at = end
 
