@@ -9,7 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, token_files
+from . import exact_dedup, minhash, mixing, packing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op6_query(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op10_query(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_pack_sequences": op4_pack_sequences,
     "op6_token_files": op6_token_files,
+    "op7_quality_forest": op7_quality_forest,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
