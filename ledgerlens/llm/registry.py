@@ -9,7 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, quality, token_files
+from . import exact_dedup, minhash, mixing, packing, quality, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_query(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4_query(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity_trees": op3_toxicity_trees,
     "op4_pack_sequences": op4_pack_sequences,
     "op6_token_files": op6_token_files,
     "op7_quality_forest": op7_quality_forest,
