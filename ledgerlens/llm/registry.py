@@ -9,7 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, quality, token_files, toxicity
+from . import exact_dedup, minhash, mixing, packing, pii, quality, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op10_query(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op5_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_mix_sources": op2_mix_sources,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_files": op6_token_files,
     "op7_quality_forest": op7_quality_forest,
     "op10_exact_dedup": op10_exact_dedup,
+    "op5_pii_spans": op5_pii_spans,
 }
 
 SQL: dict[str, str] = {
