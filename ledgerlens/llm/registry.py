@@ -9,7 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, pii, quality, token_files, toxicity
+from . import exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,14 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5_query(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op8_query(table(spark, sf_dir, "documents"))
+
+
+def op9_html_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op9_query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_mix_sources": op2_mix_sources,
@@ -59,6 +67,8 @@ QUERIES: dict[str, Query] = {
     "op7_quality_forest": op7_quality_forest,
     "op10_exact_dedup": op10_exact_dedup,
     "op5_pii_spans": op5_pii_spans,
+    "op8_secret_novelty": op8_secret_novelty,
+    "op9_html_recurrent": op9_html_recurrent,
 }
 
 SQL: dict[str, str] = {
