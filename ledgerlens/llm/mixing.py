@@ -48,8 +48,8 @@ GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 
 
 def document_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Narrow rows written once: row, doc_id, source, size, place (shuffle key)."""
-    narrow = docs.select("doc_id", "source", F.regexp_count(text_or_empty(text), F.lit(WORD_PATTERN))
+    """Narrow rows written once: row, doc_id, source, size, place (shuffle key), print (of the text)."""
+    narrow = docs.select("doc_id", "source", F.xxhash64(F.col(text)).alias("print"), F.regexp_count(text_or_empty(text), F.lit(WORD_PATTERN))
                          .cast("long").alias("size"),
                          F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"))
     return cut_lineage(with_row_id(narrow, "row"), "mix_sizes")
@@ -71,7 +71,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     budget = F.sum("source_size").over(whole) * F.lit(EPOCH_SHARE) - F.coalesce(F.sum(limit).over(before), F.lit(0.0))
     per = (per.withColumn("level", budget / F.sum("weight").over(onward))
            .withColumn("full", F.col("level") * F.col("weight") >= limit))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(whole)
+    # That first one has the true level; further ones, tried as if it were full, come out lower.
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)
     return per.withColumn("target", F.when(F.col("full"), limit).otherwise(F.least(limit, level * F.col("weight")))) \
               .select("source", "source_size", "source_no", "weight", "target")
 
@@ -125,8 +126,8 @@ def positions(sizes: DataFrame, n_rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, size, source_size, target,
-    taken (words, repeats counted), first_slot (null where nothing is taken)."""
+    """One row per row of ``docs``: row, doc_id, source, print, size, source_size,
+    target, taken (words, repeats counted), first_slot (null where nothing is taken)."""
     sizes = document_sizes(docs, text)
     n_rows = sizes.count()
     targets = cut_lineage(source_targets(sizes), "mix_targets")
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.least(F.col("begin") + F.col("size"), "to") - F.greatest("begin", "from")
     taken = got.groupBy("row").agg(F.sum(F.greatest(words, F.lit(0))).alias("taken"), F.min("slot").alias("first_slot"))
     return (known.join(taken, "row", "left")
-            .select("row", "doc_id", "size", "source_size", "target",
+            .select("row", "doc_id", "source", "print", "size", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
                     F.when(F.col("taken") > 0, F.col("first_slot")).alias("first_slot")))
 
@@ -175,7 +176,7 @@ f AS (
   FROM w a),
 t AS (
   SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap
-         ELSE least(cap, weight * (SELECT min(level) FROM f WHERE level * weight < cap)) END AS target FROM f),
+         ELSE least(cap, weight * (SELECT max(level) FROM f WHERE level * weight < cap)) END AS target FROM f),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size

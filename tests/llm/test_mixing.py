@@ -47,6 +47,13 @@ def test_targets_and_taken(spark):
     check(rows, mx.op2_query(docs_frame(spark, rows)).collect())
 
 
+def test_targets_of_many_uneven_sources(spark, small_docs):
+    check([(r[0], r[1], r[3]) for r in small_docs],
+          mx.op2_query(docs_frame(spark, [(r[0], r[1], r[3]) for r in small_docs])).collect())
+    rows = [(i, "w " * (1 + (i * i) % (7 + 31 * (i % 13))), f"s{i % 13:02d}") for i in range(1000)]
+    check(rows, mx.op2_query(docs_frame(spark, rows)).collect())
+
+
 def test_reruns_agree_and_empty(spark):
     rows = [(i, "w " * (i % 11), f"s{i % 3}") for i in range(300)]
     a = sorted(map(tuple, mx.op2_query(docs_frame(spark, rows)).collect()))
