@@ -153,6 +153,23 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
                     F.when(F.col("taken") > 0, F.col("first_slot")).alias("first_slot")))
 
 
+def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns.
+
+    A row's number is its taken words over its size, rounded; rows equal in doc_id, text and source pool
+    their numbers.  What a source gives differs from its target by less than
+    a document per repeat."""
+    key = lambda print_: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), print_,
+                                     F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    often = (mix(docs, text).where("taken > 0").select(key(F.col("print")).alias("__key"), times.alias("__times"))
+             .groupBy("__key").agg(F.sum("__times").cast("int").alias("__times")).where("__times > 0"))
+    keyed = docs.withColumn("__key", key(F.xxhash64(F.col(text))))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    return (keyed.join(often, "__key").withColumn("__nth", nth).where("__nth = 1")
+            .withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))
+
+
 def op2_query(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
