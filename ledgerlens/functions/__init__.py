@@ -1,10 +1,10 @@
 """Column -> Column building blocks (scalar functions, hexagonal cells)."""
 
 from .columns import (  # noqa: F401
-    col, money_from_text, money_sum, money_avg, yes_flag, is_present,
+    col, strict_cast, money_from_text, exact_avg, yes_flag, is_present,
     date_from_parts, pct, period_label, default_to, density_class,
     parse_yyyymmdd, month_of, month_start, lenient_number, daily_hours,
 )
 from .hexgrid import (  # noqa: F401
-    hex_axial, hex_cell, hex_centroid, hex_boundary, with_hex_cell, round_half_away,
+    hex_centroid, hex_boundary, with_hex_cell,
 )

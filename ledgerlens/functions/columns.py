@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+WIDE = "decimal(38,10)"       # survey amounts: ten decimals
 
 
 def col(c) -> Column:
@@ -19,29 +20,30 @@ def col(c) -> Column:
 
 
 # --------------------------------------------------------------------- money
+def strict_cast(c, to: str) -> Column:
+    """Cast that raises on a value it cannot read, whatever the session's ANSI
+    mode; null stays null."""
+    x = col(c)
+    read = x.try_cast(to)
+    error = F.raise_error(F.concat(F.lit(f"cannot read as {to}: "), x.cast("string"))).cast(to)
+    return F.when(read.isNull() & x.isNotNull(), error).otherwise(read)
+
+
 def money_from_text(c) -> Column:
     """Currency text to exact money: strip ``$`` and ``,``, strict cast.
 
     ``$68,423.46`` -> 68423.46 as ``decimal(18,2)``.  An empty or junk
-    string raises under ANSI mode (the strict cast of the source).
-    """
-    return F.regexp_replace(col(c).cast("string"), r"[$,]", "").cast(MONEY)
-
-
-def money_sum(c) -> Column:
-    """Exact sum of a money column, summed in cents, returned as double.
-
-    Summing ``decimal`` is exact and independent of partitioning, so the
-    same data gives bit-identical totals on 8 or 8000 tasks.
+    string raises.
     """
-    return F.sum(col(c).cast(MONEY)).cast("double")
+    return strict_cast(F.regexp_replace(col(c).cast("string"), r"[$,]", ""), MONEY)
 
 
-def money_avg(c) -> Column:
-    """Exact mean of a money column (nulls ignored, all-null -> null)."""
-    cents = col(c).cast(MONEY)
-    n = F.count(cents)
-    return F.when(n > 0, F.sum(cents).cast("double") / n)
+def exact_avg(c) -> Column:
+    """Mean of a double column as exact decimal sum over count: the same on any
+    partitioning, without rounding values to cents (nulls ignored, all-null -> null)."""
+    wide = col(c).cast(WIDE)
+    n = F.count(wide)
+    return F.when(n > 0, F.sum(wide).cast("double") / n)
 
 
 # --------------------------------------------------------------------- flags
@@ -56,8 +58,11 @@ def is_present(c) -> Column:
 
 
 def date_from_parts(y, m, d) -> Column:
-    """Date from year / month / day parts; invalid dates raise (ANSI)."""
-    return F.make_date(col(y), col(m), col(d))
+    """Date from year / month / day parts; null with a null part, an invalid date raises."""
+    parts = [col(x) for x in (y, m, d)]
+    text = F.format_string("%04d-%02d-%02d", *parts)
+    known = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
+    return F.when(known, strict_cast(text, "date"))
 
 
 # ----------------------------------------------------------------- dashboard

@@ -35,60 +35,14 @@ def grid_constants(lat0: float = DEFAULT_LAT0) -> dict:
     return {"ky": ky, "kx": kx}
 
 
-def _lit(x: float) -> Column:
-    return F.lit(float(x))
-
-
-def round_half_away(x: Column) -> Column:
-    """Round to the nearest integer, halves away from zero, as a double.
-
-    ``signum(x) * floor(|x| + 0.5)``: plain double arithmetic, several
-    times cheaper than ``round`` (which goes through BigDecimal).
-    """
-    return F.signum(x) * F.floor(F.abs(x) + F.lit(0.5))
-
-
-def hex_axial(lat, lon, edge_m: float = DEFAULT_EDGE_M,
-              lat0: float = DEFAULT_LAT0) -> Column:
-    """struct<q: bigint, r: bigint> of the cell holding (lat, lon).
-
-    Null, NaN or out-of-range coordinates give a null struct.
-    """
-    k = grid_constants(lat0)
-    la, lo = col(lat).cast("double"), col(lon).cast("double")
-    x = lo * _lit(k["kx"])
-    y = la * _lit(k["ky"])
-    qf = (x * _lit(SQRT3 / 3.0) - y / _lit(3.0)) / _lit(edge_m)
-    rf = (y * _lit(2.0 / 3.0)) / _lit(edge_m)
-    sf = -qf - rf
-    q, r, s = round_half_away(qf), round_half_away(rf), round_half_away(sf)
-    dq, dr, ds = F.abs(q - qf), F.abs(r - rf), F.abs(s - sf)
-    # cube rounding: re-derive the coordinate with the largest rounding error
-    q2 = F.when((dq > dr) & (dq > ds), -r - s).otherwise(q)
-    r2 = F.when((dq > dr) & (dq > ds), r).when(dr > ds, -q - s).otherwise(r)
-    valid = (la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)
-             & (F.abs(la) <= 90) & (F.abs(lo) <= 180))
-    return F.when(valid, F.struct(q2.cast("bigint").alias("q"), r2.cast("bigint").alias("r")))
-
-
-def hex_cell(lat, lon, edge_m: float = DEFAULT_EDGE_M,
-             lat0: float = DEFAULT_LAT0) -> Column:
-    """Cell id ``hx<edge>_<q>_<r>`` of the point, null for invalid input.
-
-    One nested expression; for whole tables prefer :func:`with_hex_cell`,
-    which computes the same id in steps and several times faster.
-    """
-    a = hex_axial(lat, lon, edge_m, lat0)
-    return F.concat(F.lit(f"hx{edge_m:g}_"), a["q"].cast("string"), F.lit("_"),
-                    a["r"].cast("string"))
-
-
 def _d(x: float) -> str:
     """An exact double literal of Spark SQL."""
     return f"{float(x)!r}D"
 
 
 def _rha(x: str) -> str:
+    """Nearest integer, halves away from zero, in plain double arithmetic
+    (several times cheaper than ``round``, which goes through BigDecimal)."""
     return f"(signum({x}) * floor(abs({x}) + 0.5D))"
 
 
@@ -96,8 +50,8 @@ def with_hex_cell(df: DataFrame, lat: str, lon: str, out: str = "h3_hex_id",
                   edge_m: float = DEFAULT_EDGE_M, lat0: float = DEFAULT_LAT0) -> DataFrame:
     """``df`` plus the cell id of (lat, lon) in column ``out``.
 
-    Same formula and operation order as :func:`hex_cell`, evaluated as a
-    chain of projections so every intermediate (fractional and rounded
+    Null for null, NaN or out-of-range coordinates.  A chain of projections,
+    so every intermediate (fractional and rounded
     axial coordinates, rounding errors) is computed once per row instead of
     being repeated inside nested conditional expressions.
     """
@@ -139,23 +93,15 @@ def _latlon_sql(x: str, y: str, lat0: float, digits: int | None) -> str:
     return f"named_struct('lat', {lat}, 'lon', {lon})"
 
 
-def _ref(cell) -> str:
-    if isinstance(cell, str):
-        return f"`{cell}`"
-    raise TypeError("hex_centroid / hex_boundary take a column name")
-
-
-def hex_centroid(cell, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Column:
-    """struct<lat, lon> of the cell centre (inverse of :func:`hex_cell`)."""
-    if not isinstance(cell, str):
-        return _hex_centroid_col(cell, lat0, digits)
-    _, x, y = _centre_sql(_ref(cell))
+def hex_centroid(cell: str, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Column:
+    """struct<lat, lon> of the centre of the cell named in a column."""
+    _, x, y = _centre_sql(f"`{cell}`")
     return F.expr(_latlon_sql(x, y, lat0, digits))
 
 
-def hex_boundary(cell, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Column:
+def hex_boundary(cell: str, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Column:
     """array<struct<lat, lon>> of the 6 corners, counter-clockwise from -30°."""
-    c = _ref(cell)
+    c = f"`{cell}`"
     e, cx, cy = _centre_sql(c)
     corners = []
     for i in range(6):
@@ -163,17 +109,3 @@ def hex_boundary(cell, lat0: float = DEFAULT_LAT0, digits: int | None = 6) -> Co
         corners.append(_latlon_sql(f"({cx} + {e} * {_d(math.cos(a))})",
                                    f"({cy} + {e} * {_d(math.sin(a))})", lat0, digits))
     return F.expr(f"CASE WHEN {c} IS NOT NULL THEN array({', '.join(corners)}) END")
-
-
-def _hex_centroid_col(cell: Column, lat0: float, digits: int | None) -> Column:
-    """Column-expression form of :func:`hex_centroid` (for computed ids)."""
-    parts = F.split(cell, "_")
-    edge = F.substring(parts.getItem(0), 3, 32).cast("double")
-    q, r = parts.getItem(1).cast("double"), parts.getItem(2).cast("double")
-    x = edge * _lit(SQRT3) * (q + r / _lit(2.0))
-    y = edge * _lit(1.5) * r
-    k = grid_constants(lat0)
-    lat, lon = y / _lit(k["ky"]), x / _lit(k["kx"])
-    if digits is not None:
-        lat, lon = F.round(lat, digits), F.round(lon, digits)
-    return F.struct(lat.alias("lat"), lon.alias("lon"))

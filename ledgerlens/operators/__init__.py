@@ -1,8 +1,7 @@
 """DataFrame -> DataFrame operators (joins, aggregates, keys, collapse)."""
 
 from .relational import (  # noqa: F401
-    DEFAULT_BROADCAST_ROWS, proven_small, maybe_broadcast, join_on, null_safe_join,
-    full_outer_using, select_renamed, all_but, drop_incomplete, in_lists, in_frame,
+    join_on, null_safe_join, full_outer_using, select_renamed, all_but, drop_incomplete, in_lists, in_frame,
 )
 from .aggregates import n_unique, count_true, top_k, distinct_values, category_share  # noqa: F401
 from .categories import (  # noqa: F401

@@ -78,8 +78,7 @@ def map_rare(filled: DataFrame, keys: DataFrame, columns: Sequence[str],
 
 
 def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATEGORY_THRESHOLD,
-                  other: str = OTHER, missing: str | None = MISSING,
-                  materialize_keys: bool = False) -> DataFrame:
+                  other: str = OTHER, missing: str | None = MISSING) -> DataFrame:
     """Replace values whose share of rows is below ``threshold`` by ``other``.
 
     Per column, independently: nulls first become ``missing`` (which may
@@ -91,16 +90,11 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     Two passes over ``df`` (count, then map): pass a materialized frame when
     its lineage is expensive.  At most ``1/threshold`` values per column can
     be frequent, so the key table holds at most ``len(columns)/threshold``
-    rows whatever the data size (a proven bound) and is broadcast.  With
-    ``materialize_keys`` it is written to the shared folder first, so later reuses of the
-    result do not recount.  No window, no collect.
+    rows whatever the data size (a proven bound) and is broadcast.  No window,
+    no collect.
     """
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
     filled = fill_missing(df, cols, missing)
-    keys = frequent_keys(filled, cols, threshold)
-    if materialize_keys:
-        from ..session import cut_lineage
-        keys = cut_lineage(keys, "frequent_keys")
-    return map_rare(filled, keys, cols, other)
+    return map_rare(filled, frequent_keys(filled, cols, threshold), cols, other)

@@ -23,27 +23,17 @@ from ..functions.columns import col
 from ..session import cut_lineage
 
 _POS_BITS = 33
-# Up to this many distinct keys one sorted task is cheaper than the
-# partitioned scheme (a sort of a million short keys takes well under a
-# second and needs no extra jobs or writes).
-SINGLE_TASK_ROWS = 1_000_000
 
 
 def surrogate_key(df: DataFrame, keys: Sequence[str], name: str,
-                  num_partitions: int | None = None, known_rows: int | None = None,
-                  single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """Distinct ``keys`` of ``df`` plus ``name`` = 1..n in key order.
 
-    ``known_rows`` is a proven upper bound of the distinct keys (e.g. the
-    row count of ``df``).  When it is at most ``single_task_rows`` the keys
-    come from ``row_number()`` over the sorted distinct keys in one task;
-    otherwise (or without a bound) the partitioned scheme above runs.  Both
-    give the same keys.
+    The number of tasks follows the distinct keys (AQE coalesces the sorted
+    partitions by their size), whatever the number of rows.
     """
     order = [col(k).asc_nulls_first() for k in keys]
     distinct = df.select(*[col(k) for k in keys]).distinct()
-    if known_rows is not None and known_rows <= single_task_rows and not num_partitions:
-        return distinct.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     ranged = (distinct.repartitionByRange(num_partitions, *order) if num_partitions
               else distinct.repartitionByRange(*order))
     tagged = cut_lineage(ranged.sortWithinPartitions(*order)

@@ -1,10 +1,8 @@
 """Joins, filters and projections (DataFrame -> DataFrame).
 
-Broadcast policy: a side is broadcast only when its size is proven, either
-by construction (``known_rows``: e.g. at most 21 values survive a 5 %
-collapse) or by counting it, and only up to ``max_rows``.  Beyond that the
-join stays a shuffle join, which AQE may still turn into a broadcast join
-at run time or split when a key is skewed.
+Broadcasts are left to the planner's byte threshold and to AQE, which also
+splits skewed keys.  A hint is given only where the caller can bound the side
+by construction (``bounded=True``), never by a row count.
 """
 
 from __future__ import annotations
@@ -17,32 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 
-# Rows we are willing to ship to every executor for a map-side join.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def proven_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                 known_rows: int | None = None) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows.
-
-    ``known_rows`` is an upper bound the caller can prove from the data
-    model; without it the rows are counted (stopping after ``max_rows+1``
-    for plans that can stop early).
-    """
-    if known_rows is not None:
-        return known_rows <= max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                    known_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when its size is proven small, else ``df`` as is."""
-    return F.broadcast(df) if proven_small(df, max_rows, known_rows) else df
-
-
 def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
-            how: str = "inner", null_safe: bool = False, broadcast_right: bool | None = None,
-            max_rows: int = DEFAULT_BROADCAST_ROWS, known_rows: int | None = None,
+            how: str = "inner", null_safe: bool = False, bounded: bool = False,
             keep_right_keys: bool = True) -> DataFrame:
     """Equi-join on (left_name, right_name) pairs.
 
@@ -53,8 +27,8 @@ def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
     * When a key has the same name on both sides the right copy is dropped
       (``USING`` semantics); otherwise it is kept unless
       ``keep_right_keys=False``.
-    * ``broadcast_right``: True forces a broadcast (caller proved the size),
-      False never broadcasts, None decides with :func:`proven_small`.
+    * ``bounded``: the right side's size is bounded by construction, whatever
+      the data; it is broadcast.
     """
     tmp = [f"__rk{i}" for i in range(len(pairs))]
     renamed = right
@@ -62,9 +36,7 @@ def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
         renamed = renamed.withColumn(t, col(r))
     drop_right = [r for (lname, r) in pairs if lname == r or not keep_right_keys]
     renamed = renamed.drop(*drop_right)
-    if broadcast_right is None:
-        broadcast_right = proven_small(right, max_rows, known_rows)
-    if broadcast_right:
+    if bounded:
         renamed = F.broadcast(renamed)
     eq = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
     cond = reduce(lambda a, b: a & b, [eq(col(lname), F.col(t)) for (lname, _), t in zip(pairs, tmp)])
@@ -111,9 +83,8 @@ def in_lists(df: DataFrame, **allowed: Sequence | None) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, preds)) if preds else df
 
 
-def in_frame(df: DataFrame, values: DataFrame, name: str, known_rows: int | None = None) -> DataFrame:
-    """Keep rows whose ``name`` occurs in the one-column frame ``values``
-    (a left-semi join; the value list is broadcast when proven small)."""
+def in_frame(df: DataFrame, values: DataFrame, name: str, bounded: bool = False) -> DataFrame:
+    """Keep rows whose ``name`` occurs in the one-column frame ``values`` (a
+    left-semi join; ``bounded`` as in :func:`join_on`)."""
     v = values.select(col(values.columns[0]).alias("__v")).where(F.col("__v").isNotNull())
-    v = maybe_broadcast(v, known_rows=known_rows)
-    return df.join(v, col(name) == F.col("__v"), "left_semi")
+    return df.join(F.broadcast(v) if bounded else v, col(name) == F.col("__v"), "left_semi")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import (MONEY, col, date_from_parts, is_present, money_from_text,
-                                 pct, period_label, yes_flag)
+                                 pct, period_label, strict_cast, yes_flag)
 from ..operators.aggregates import count_true, distinct_values, n_unique, top_k
 from ..operators.relational import in_frame, in_lists
 from ..sources.files import load_parquet, read_csv_tolerant
@@ -29,17 +29,18 @@ RAW_COLUMNS = ["User", "Card", "Year", "Month", "Day", "Amount", "Use Chip",
 # what the tolerant scan parses numbers as (unparseable -> null)
 SCAN_TYPES = {"User": "bigint", "Card": "bigint", "Year": "bigint", "Month": "bigint",
               "Day": "bigint", "MCC": "bigint"}
+# what cleaning requires (anything else raises)
+STRICT_TYPES = {"User": "bigint", "Card": "int", "Year": "int", "Month": "int", "Day": "int", "MCC": "int"}
 CUBE_KEYS = ["Year", "Month", "Merchant State", "Use Chip", "MCC", "is_fraud"]
-MEASURES = ["total_transactions", "total_amount", "avg_amount", "error_count", "unique_users"]
+CELL_MONEY = "decimal(28,2)"         # sums of MONEY
 YEAR, STATE, CHANNEL, MCC = "Year", "Merchant State", "Use Chip", "MCC"
-DEFAULT_STATES = 5
 
 
-def read_transactions_csv(spark: SparkSession, path, file_columns=None) -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path, file_columns=None, **reading) -> DataFrame:
     """Tolerant scan of the raw card CSV (extra columns ignored).
     ``file_columns``: the file's full header when known (see
     :func:`ledgerlens.sources.files.read_csv_text`)."""
-    return read_csv_tolerant(spark, path, RAW_COLUMNS, SCAN_TYPES, file_columns)
+    return read_csv_tolerant(spark, path, RAW_COLUMNS, SCAN_TYPES, file_columns, **reading)
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
@@ -49,15 +50,11 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
     (null when the fraud field is missing); ``has_error`` is two-valued.
     """
     return raw.select(
-        col("User").cast("bigint").alias("User"),
-        col("Card").cast("int").alias("Card"),
-        col("Year").cast("int").alias("Year"),
-        col("Month").cast("int").alias("Month"),
-        col("Day").cast("int").alias("Day"),
+        *[strict_cast(c, t).alias(c) for c, t in STRICT_TYPES.items() if c != "MCC"],
         col("Use Chip").cast("string").alias("Use Chip"),
         col("Merchant City").cast("string").alias("Merchant City"),
         col("Merchant State").cast("string").alias("Merchant State"),
-        col("MCC").cast("int").alias("MCC"),
+        strict_cast("MCC", STRICT_TYPES["MCC"]).alias("MCC"),
         money_from_text("Amount").alias("amount_clean"),
         yes_flag("Is Fraud?").alias("is_fraud"),
         is_present("Errors?").alias("has_error"),
@@ -87,9 +84,9 @@ def build_cube(clean: DataFrame) -> DataFrame:
 
 
 def build_cube_from_csv(spark: SparkSession, csv_path, out_path: str,
-                        compression: str = "zstd", file_columns=None) -> str:
-    """The whole ETL: CSV -> cube Parquet (one job, written in parallel)."""
-    cube = build_cube(clean_transactions(read_transactions_csv(spark, csv_path, file_columns)))
+                        compression: str = "zstd", file_columns=None, **reading) -> str:
+    """The whole ETL: CSV -> cube Parquet (written in parallel)."""
+    cube = build_cube(clean_transactions(read_transactions_csv(spark, csv_path, file_columns, **reading)))
     return write_parquet(cube, out_path, compression)
 
 
@@ -107,23 +104,28 @@ def slicer_states(cube: DataFrame) -> DataFrame:
     return distinct_values(cube, STATE)
 
 
+def first_states(cube: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` states in sort order (a dashboard's opening selection)."""
+    return slicer_states(cube).limit(n)
+
+
 def slice_cube(cube: DataFrame, years: Sequence[int] | None = None,
-               states: Sequence[str] | None = None) -> DataFrame:
+               states: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Rows with ``Year IN years AND Merchant State IN states``.
 
-    Defaults follow the dashboard: every (non-null) year, the first five
-    states in sort order.  Null states never match a selection.
+    ``None`` means no restriction (null years and states included); a
+    selection never matches null.  ``states`` may be a one-column frame of
+    a bounded number of states, such as :func:`first_states`.
     """
-    out = cube.where(col(YEAR).isNotNull()) if years is None else in_lists(cube, Year=years)
-    if states is None:
-        first = slicer_states(cube).limit(DEFAULT_STATES)
-        return in_frame(out, first, STATE, known_rows=DEFAULT_STATES)
-    return in_lists(out, **{STATE: states})
+    if isinstance(states, DataFrame):
+        return in_frame(in_lists(cube, **{YEAR: years}), states, STATE, bounded=True)
+    return in_lists(cube, **{YEAR: years, STATE: states})
 
 
 def _money_total(c: str = "total_amount"):
-    """Re-sum cube amounts exactly (each cell amount is a cent value)."""
-    return F.coalesce(F.sum(col(c).cast(MONEY)), F.lit(0).cast(MONEY)).cast("double")
+    """Re-sum cube amounts exactly (each cell's amount is a whole number of
+    cents, which a double names uniquely)."""
+    return F.coalesce(F.sum(col(c).cast(CELL_MONEY)), F.lit(0).cast(CELL_MONEY)).cast("double")
 
 
 def kpis(sliced: DataFrame) -> DataFrame:

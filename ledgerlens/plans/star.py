@@ -10,27 +10,26 @@
              ├─ fact_sme_metrics   4 keys + 4 measures
              └─ sme_molap_flat     22 denormalized columns
 
-Dimension joins are map-side (broadcast) when the dimension is proven
-small: ``dim_deseo`` by construction (two collapsed columns, at most
-``(1/threshold + 1)**2`` rows), every dimension by the written clean-row
-count (read from the Parquet footers, an upper bound of any dimension),
-else by counting it.  Otherwise they are shuffle joins.  The fact keeps
-every clean row (left joins on keys drawn from the same rows never miss).
+Only ``dim_deseo`` is broadcast by hint (two collapsed columns: at most
+``(1/threshold + 1)**2`` rows, whatever the data); the other joins are left to
+the planner's byte threshold and AQE.  The clean rows, the key tables and the
+enriched rows are written once; the fact, the flat table and the summaries read them.
+The fact keeps every clean row (left joins on keys drawn from the same rows never miss).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, daily_hours, density_class, lenient_number, money_avg
+from ..functions.columns import col, daily_hours, density_class, exact_avg, lenient_number
 from ..functions.hexgrid import DEFAULT_EDGE_M, hex_boundary, hex_centroid, with_hex_cell
-from ..operators.categories import CATEGORY_THRESHOLD, collapse_rare, max_frequent
+from ..operators.categories import CATEGORY_THRESHOLD, collapse_rare
 from ..operators.keys import surrogate_key
-from ..operators.relational import (DEFAULT_BROADCAST_ROWS, drop_incomplete, join_on,
-                                    null_safe_join, proven_small, select_renamed)
+from ..operators.relational import drop_incomplete, join_on, null_safe_join, select_renamed
 from ..session import cut_lineage
 from ..sources.files import na_to_null
 
@@ -93,28 +92,22 @@ def operating_hours(raw: DataFrame) -> DataFrame:
 
 
 def prepare_sme(raw: DataFrame, edge_m: float = DEFAULT_EDGE_M) -> DataFrame:
-    """Row-local cleaning: NA tokens -> null, drop rows missing a required
-    field, numbers as double, lenient hours, hexagonal cell."""
-    df = drop_incomplete(na_to_null(raw), REQUIRED_COLUMNS)
-    df = df.select(*[col(c).try_cast("double").alias(c) if c in NUMERIC_COLUMNS else col(c)
-                     for c in df.columns])
-    df = operating_hours(df)
-    return with_hex_cell(df, "latitud", "longitud", "h3_hex_id", edge_m)
+    """Row-local cleaning: NA tokens -> null, numbers read leniently, rows
+    without a usable value in a required field dropped (missing, not a number,
+    NaN, or coordinates outside the globe), daily hours, hexagonal cell."""
+    df = na_to_null(raw)
+    text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    read = lambda c: lenient_number(c) if c in text else col(c).cast("double")
+    df = df.select(*[read(c).alias(c) if c in NUMERIC_COLUMNS else col(c) for c in df.columns])
+    df = operating_hours(drop_incomplete(df, REQUIRED_COLUMNS))
+    return drop_incomplete(with_hex_cell(df, "latitud", "longitud", "h3_hex_id", edge_m), ["h3_hex_id"])
 
 
 def clean_sme(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
-              edge_m: float = DEFAULT_EDGE_M, materialize: bool = False) -> DataFrame:
+              edge_m: float = DEFAULT_EDGE_M) -> DataFrame:
     """Survey cleaning: :func:`prepare_sme`, then the 5 % rare-category
-    collapse of eight columns.
-
-    The collapse reads its input twice (count, then map); ``materialize``
-    writes the prepared rows and the frequent-value keys to the shared
-    folder so neither pass re-parses the raw input.
-    """
-    pre = prepare_sme(raw, edge_m)
-    if materialize:
-        pre = cut_lineage(pre, "sme_prepared")
-    return collapse_rare(pre, COLLAPSE_COLUMNS, threshold, materialize_keys=materialize)
+    collapse of eight columns (a counting pass over a pruned scan, and the rows)."""
+    return collapse_rare(prepare_sme(raw, edge_m), COLLAPSE_COLUMNS, threshold)
 
 
 # ------------------------------------------------------------ dimensions
@@ -123,146 +116,95 @@ def dim_emprendedor(clean: DataFrame) -> DataFrame:
     return select_renamed(clean, EMPRENDEDOR_MAP)
 
 
-def dim_geografia(clean: DataFrame, known_rows: int | None = None) -> DataFrame:
+def dim_geografia(clean: DataFrame) -> DataFrame:
     """Distinct cells, key 1..n in cell-id order, centroid of each cell
     (computed once per distinct cell)."""
-    keys = surrogate_key(clean, ["h3_hex_id"], "id_geografia_dim", known_rows=known_rows)
+    keys = surrogate_key(clean, ["h3_hex_id"], "id_geografia_dim")
     c = hex_centroid("h3_hex_id")
     return keys.select("h3_hex_id", "id_geografia_dim",
                        c["lat"].alias("latitud_centroide"), c["lon"].alias("longitud_centroide"))
 
 
-def dim_negocio(clean: DataFrame, known_rows: int | None = None) -> DataFrame:
-    keys = surrogate_key(clean, NEGOCIO_COLUMNS, "id_negocio_dim", known_rows=known_rows)
+def dim_negocio(clean: DataFrame) -> DataFrame:
+    keys = surrogate_key(clean, NEGOCIO_COLUMNS, "id_negocio_dim")
     return select_renamed(keys, list(zip(NEGOCIO_COLUMNS, NEGOCIO_NAMES))
                           + [("id_negocio_dim", "id_negocio_dim")])
 
 
-def dim_deseo(clean: DataFrame, known_rows: int | None = None) -> DataFrame:
-    keys = surrogate_key(clean, DESEO_COLUMNS, "id_deseo_dim", known_rows=known_rows)
+def dim_deseo(clean: DataFrame) -> DataFrame:
+    keys = surrogate_key(clean, DESEO_COLUMNS, "id_deseo_dim")
     return select_renamed(keys, list(zip(DESEO_COLUMNS, DESEO_NAMES))
                           + [("id_deseo_dim", "id_deseo_dim")])
 
 
 @dataclass
 class Star:
-    """The clean rows and the dimensions, each built on first use.
-
-    ``row_bound`` is an upper bound of the clean rows (the count of the
-    materialized prepared rows, read from Parquet footers).  It bounds every
-    dimension too, so it decides both how surrogate keys are numbered and
-    whether a dimension may be broadcast, without counting dimensions.
-    """
+    """The written clean rows, and what is built from them on first use."""
     clean: DataFrame
-    threshold: float = CATEGORY_THRESHOLD
-    row_bound: int | None = None
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
-    _dims: dict = field(default_factory=dict, repr=False)
-    _small: dict = field(default_factory=dict, repr=False)
 
     @property
     def dim_emprendedor(self) -> DataFrame:
         return dim_emprendedor(self.clean)
 
-    def _dim(self, name, build):
-        if name not in self._dims:
-            self._dims[name] = build(self.clean, known_rows=self.row_bound)
-        return self._dims[name]
-
-    @property
+    @cached_property
     def dim_geografia(self) -> DataFrame:
-        return self._dim("dim_geografia", dim_geografia)
+        return dim_geografia(self.clean)
 
-    @property
+    @cached_property
     def dim_negocio(self) -> DataFrame:
-        return self._dim("dim_negocio", dim_negocio)
+        return dim_negocio(self.clean)
 
-    @property
+    @cached_property
     def dim_deseo(self) -> DataFrame:
-        return self._dim("dim_deseo", dim_deseo)
-
-    def deseo_bound(self) -> int:
-        return (max_frequent(self.threshold) + 1) ** 2
-
-    def small(self, name: str) -> bool:
-        """Whether a dimension may be broadcast (proven small, decided once)."""
-        if name not in self._small:
-            bounds = [b for b in (self.row_bound, self.deseo_bound() if name == "dim_deseo" else None)
-                      if b is not None]
-            if bounds and min(bounds) <= self.max_broadcast_rows:
-                self._small[name] = True          # proven by construction, no count
-            else:
-                self._small[name] = proven_small(getattr(self, name), self.max_broadcast_rows)
-        return self._small[name]
+        return dim_deseo(self.clean)
 
+    @cached_property
     def enriched(self) -> DataFrame:
-        """Clean rows with the three dimension keys and attributes."""
-        x = join_on(self.clean, self.dim_geografia, [("h3_hex_id", "h3_hex_id")], how="left",
-                    null_safe=True, broadcast_right=self.small("dim_geografia"))
-        x = null_safe_join(x, self.dim_negocio, NEGOCIO_COLUMNS, NEGOCIO_NAMES, how="left",
-                           broadcast_right=self.small("dim_negocio"))
-        return null_safe_join(x, self.dim_deseo, DESEO_COLUMNS, DESEO_NAMES, how="left",
-                              broadcast_right=self.small("dim_deseo"))
+        """Clean rows with the three dimension keys and attributes, written once."""
+        x = join_on(self.clean, self.dim_geografia, [("h3_hex_id", "h3_hex_id")], how="left", null_safe=True)
+        x = null_safe_join(x, self.dim_negocio, NEGOCIO_COLUMNS, NEGOCIO_NAMES, how="left")
+        x = null_safe_join(x, self.dim_deseo, DESEO_COLUMNS, DESEO_NAMES, how="left", bounded=True)
+        return cut_lineage(x, "sme_enriched")
 
     def fact(self) -> DataFrame:
-        return select_renamed(self.enriched(), FACT_MAP)
+        return select_renamed(self.enriched, FACT_MAP)
 
     def flat(self) -> DataFrame:
-        return select_renamed(self.enriched(), FLAT_MAP)
+        return select_renamed(self.enriched, FLAT_MAP)
 
 
 def build_star(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
-               edge_m: float = DEFAULT_EDGE_M, materialize: bool = True) -> Star:
-    """Clean once; dimensions follow on first use.
-
-    With ``materialize`` three tables are written to the shared folder: the
-    prepared rows (so the raw input is parsed once although the collapse
-    reads it twice - its counting pass reads only the eight collapsed
-    columns), the tiny frequent-value key table and the clean rows.  Dimensions, fact and flat table then scan
-    the clean table with column pruning, a lost executor costs a re-read,
-    and its row count (from the Parquet footers) bounds every dimension.
-    """
-    if not materialize:
-        return Star(clean_sme(raw, threshold, edge_m), threshold)
-    pre = cut_lineage(prepare_sme(raw, edge_m), "sme_prepared")
-    clean = cut_lineage(collapse_rare(pre, COLLAPSE_COLUMNS, threshold, materialize_keys=True),
-                        "sme_clean")
-    return Star(clean, threshold, clean.count())
+               edge_m: float = DEFAULT_EDGE_M) -> Star:
+    """Write the clean rows once; everything else follows on first use."""
+    return Star(cut_lineage(clean_sme(raw, threshold, edge_m), "sme_clean"))
 
 
 # ------------------------------------------------------- summaries (views)
-def _by_key(fact: DataFrame, dim: DataFrame, key: str, small: bool) -> DataFrame:
-    return join_on(fact, dim, [(key, key)], how="inner", broadcast_right=small)
-
-
-def sales_by_sector_cell(star: Star, fact: DataFrame | None = None) -> DataFrame:
+def sales_by_sector_cell(star: Star) -> DataFrame:
     """Businesses, mean sales and employees per (cell, sector)."""
-    f = fact if fact is not None else star.fact()
-    x = _by_key(f, star.dim_geografia, "id_geografia_dim", star.small("dim_geografia"))
-    x = _by_key(x, star.dim_negocio, "id_negocio_dim", star.small("dim_negocio"))
+    x = join_on(star.fact(), star.dim_geografia, [("id_geografia_dim", "id_geografia_dim")])
+    x = join_on(x, star.dim_negocio, [("id_negocio_dim", "id_negocio_dim")])
     return x.groupBy("h3_hex_id", "giro_negocio").agg(
         F.count("id_emprendedor").alias("cantidad_pymes"),
-        money_avg("ventas_promedio_diarias").alias("promedio_ventas"),
+        exact_avg("ventas_promedio_diarias").alias("promedio_ventas"),
         F.sum("num_empleados").alias("suma_empleados"))
 
 
-def goal_profitability(star: Star, fact: DataFrame | None = None) -> DataFrame:
+def goal_profitability(star: Star) -> DataFrame:
     """Businesses, mean / max sales and mean age per wish category."""
-    f = fact if fact is not None else star.fact()
-    x = _by_key(f, star.dim_deseo, "id_deseo_dim", star.small("dim_deseo"))
+    x = join_on(star.fact(), star.dim_deseo, [("id_deseo_dim", "id_deseo_dim")], bounded=True)
     return x.groupBy("categoria_deseo").agg(
         F.count("id_emprendedor").alias("cantidad_pymes"),
-        money_avg("ventas_promedio_diarias").alias("promedio_ventas"),
+        exact_avg("ventas_promedio_diarias").alias("promedio_ventas"),
         F.max("ventas_promedio_diarias").alias("max_ventas"),
         F.avg("antiguedad_negocio").alias("antiguedad_promedio"))
 
 
-def sector_summary(star: Star, fact: DataFrame | None = None) -> DataFrame:
+def sector_summary(star: Star) -> DataFrame:
     """Mean sales, employees and businesses per sector, best sector first."""
-    f = fact if fact is not None else star.fact()
-    x = _by_key(f, star.dim_negocio, "id_negocio_dim", star.small("dim_negocio"))
+    x = join_on(star.fact(), star.dim_negocio, [("id_negocio_dim", "id_negocio_dim")])
     return (x.groupBy("giro_negocio").agg(
-        money_avg("ventas_promedio_diarias").alias("ventas"),
+        exact_avg("ventas_promedio_diarias").alias("ventas"),
         F.sum("num_empleados").alias("empleados"),
         F.count(F.lit(1)).alias("pymes"))
         .orderBy(F.desc_nulls_first("ventas"), F.asc_nulls_first("giro_negocio")))
@@ -272,7 +214,7 @@ def sme_kpis(fact: DataFrame) -> DataFrame:
     """One row: businesses, mean daily sales, employees, mean age."""
     return fact.agg(
         F.count(F.lit(1)).alias("total_pymes"),
-        money_avg("ventas_promedio_diarias").alias("ventas_promedio"),
+        exact_avg("ventas_promedio_diarias").alias("ventas_promedio"),
         F.sum("num_empleados").alias("total_empleados"),
         F.avg("antiguedad_negocio").alias("antiguedad_promedio"))
 
@@ -297,41 +239,46 @@ SUMMARY_VIEWS = {"mv_ventas_por_giro_h3": sales_by_sector_cell,
                  "mv_deseos_rentabilidad": goal_profitability}
 
 
-
 def run_survey_etl(spark, raw: DataFrame, out_dir: str, jdbc_url: str | None = None,
-                   jdbc_options: dict | None = None,
-                   threshold: float = CATEGORY_THRESHOLD) -> dict:
+                   jdbc_options: dict | None = None, threshold: float = CATEGORY_THRESHOLD,
+                   execute_sql=None) -> dict:
     """The survey ETL end to end.
 
     The flat table is always exported as CSV.  With ``jdbc_url`` the five
     star tables and the two summaries are then loaded into the database
     (tables replaced, the geography dimension named ``dim_geografia_h3``);
     without one, the star tables are exported as CSV and the summaries are
-    materialized as Parquet views under ``out_dir``.  Every table is
-    written by the executors in parallel; nothing passes through the
-    driver.  Returns the written locations by table name.
+    materialized as Parquet tables under ``out_dir``.  What depends on base
+    tables is dropped before they are replaced (``execute_sql`` runs the
+    DROP statements in the database) and built after them.  Every table is
+    written by the executors in parallel.  Returns the written locations by
+    table name.
     """
-    from ..sources.sinks import export_tables, materialize, write_csv, write_jdbc
+    from ..sources.sinks import drop_view, materialize, reload_steps, write_csv, write_jdbc
 
     star = build_star(raw, threshold)
     base = out_dir.rstrip("/")
     out = {TABLE_NAMES["flat"]: write_csv(star.flat(), f"{base}/{TABLE_NAMES['flat']}")}
-    fact = star.fact()
     tables = {TABLE_NAMES["dim_emprendedor"]: star.dim_emprendedor,
               TABLE_NAMES["dim_geografia"]: star.dim_geografia,
               TABLE_NAMES["dim_negocio"]: star.dim_negocio,
               TABLE_NAMES["dim_deseo"]: star.dim_deseo,
-              TABLE_NAMES["fact"]: fact}
-    summaries = {name: build(star, fact) for name, build in SUMMARY_VIEWS.items()}
-    if jdbc_url:
-        for name, df in {**tables, **summaries}.items():
+              TABLE_NAMES["fact"]: star.fact()}
+    summaries = {name: build(star) for name, build in SUMMARY_VIEWS.items()}
+    for step, name, df in reload_steps(tables, summaries):
+        if jdbc_url and step == "drop":
+            if execute_sql is not None:
+                execute_sql(f"DROP TABLE IF EXISTS {name}")
+        elif jdbc_url:
             write_jdbc(df, jdbc_url, name, **(jdbc_options or {}))
             out[name] = f"{jdbc_url}#{name}"
-        return out
-    out.update(export_tables(tables, base))
-    for name, df in summaries.items():
-        materialize(spark, df, name, f"{base}/{name}")
-        out[name] = f"{base}/{name}"
+        elif step == "drop":
+            drop_view(spark, name)
+        elif step == "table":
+            out[name] = write_csv(df, f"{base}/{name}")
+        else:
+            materialize(spark, df, name, f"{base}/{name}")
+            out[name] = f"{base}/{name}"
     return out
 
 
@@ -339,8 +286,7 @@ def sme_dashboard(star: Star) -> dict[str, DataFrame]:
     """Every figure of the survey dashboard as lazy frames: KPIs, map cells
     (summary rows with opacity class and cell polygons), sector summary,
     goal profitability."""
-    fact = star.fact()
-    cells = cell_density_class(sales_by_sector_cell(star, fact))
-    return {"kpis": sme_kpis(fact), "map_cells": cells,
+    cells = cell_density_class(sales_by_sector_cell(star))
+    return {"kpis": sme_kpis(star.fact()), "map_cells": cells,
             "map_polygons": cell_boundaries(cells.select("h3_hex_id").distinct()),
-            "sectors": sector_summary(star, fact), "goals": goal_profitability(star, fact)}
+            "sectors": sector_summary(star), "goals": goal_profitability(star)}

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, default_to, month_of, month_start, parse_yyyymmdd
-from ..operators.aggregates import top_k
 from ..operators.relational import all_but, full_outer_using
+from ..session import cut_lineage
 from ..sources.catalog import query, register
 from ..sources.files import read_sharded
-from ..sources.sinks import create_table_as, write_date_shards
+from ..sources.sinks import create_table_as
 
 # Q1 as SQL text over a registered view (the catalog path of the API).
 STATE_TOTALS_SQL = """
@@ -30,39 +30,36 @@ def state_totals(spark: SparkSession, names: DataFrame, k: int = 50,
     return query(spark, STATE_TOTALS_SQL.format(view=view, k=int(k)))
 
 
-def popular_names(names: DataFrame, state: str, total_col: str, min_total: float,
-                  k: int = 10) -> DataFrame:
-    """Names of one state whose total exceeds ``min_total`` (HAVING), the
-    ``k`` largest (ties: name)."""
-    agg = (names.where(F.col("state") == F.lit(state)).groupBy("name")
-           .agg(F.sum("number").alias(total_col))
-           .where(F.col(total_col) > F.lit(min_total))
-           .withColumn(total_col, F.col(total_col).cast("double")))
-    return top_k(agg, total_col, k, tiebreak=["name"])
+def popular_names(names: DataFrame, states: list[str], min_total: float = 0,
+                  min_share: float | None = None, k: int = 10) -> DataFrame:
+    """(state, name, total) of the ``k`` largest names of each state whose total
+    exceeds ``min_total`` (HAVING), or ``min_share`` of the state's total (ties: name).
+
+    One scan and one aggregate for all states; the windows see one row per
+    (state, name)."""
+    agg = names.where(F.col("state").isin(states)).groupBy("state", "name").agg(F.sum("number").alias("total"))
+    floor = F.lit(min_total) if min_share is None else \
+        F.sum("total").over(Window.partitionBy("state")) * F.lit(min_share)
+    nth = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("total"), "name"))
+    return (agg.withColumn("floor", floor).where("total > floor").withColumn("nth", nth).where(F.col("nth") <= k)
+            .select("state", "name", F.col("total").cast("double").alias("total")))
 
 
 def compare_states(names: DataFrame, left: str = "TX", right: str = "PA",
-                   min_total: float = 100_000, k: int = 10,
+                   min_total: float = 100_000, min_share: float | None = None, k: int = 10,
                    left_col: str = "total_tx", right_col: str = "total_pa") -> DataFrame:
     """Two filtered top-k lists side by side (``FULL OUTER JOIN USING``).
-    Both inputs hold at most ``k`` rows, so the join is trivially small."""
-    a = popular_names(names, left, left_col, min_total, k)
-    b = popular_names(names, right, right_col, min_total, k)
-    return full_outer_using(a, F.broadcast(b), "name")
 
+    The lists (at most ``2 k`` rows) are written before the join, so both sides
+    come from one scan of the input."""
+    top = cut_lineage(popular_names(names, [left, right], min_total, min_share, k), "popular_names")
+    side = lambda state, total: top.where(F.col("state") == state).select("name", F.col("total").alias(total))
+    return full_outer_using(side(left, left_col), side(right, right_col), "name")
 
-def events_by_suffix(spark: SparkSession, events: DataFrame, base: str, first: str, last: str,
-                     write: bool = True) -> DataFrame:
-    """Wildcard scan of daily event shards ``first`` .. ``last``.
 
-    ``write`` first lays ``events`` out as one shard per day under
-    ``base``; the scan then prunes shards by the suffix partition filter.
-    Output: the day, its month, the upper-cased event name, the country
-    with a default for missing ones (a nested-field projection).
-    """
-    if write:
-        write_date_shards(events.drop("event_date"), base, "ts")
-    shards = read_sharded(spark, base, between=(first, last))
+def shard_report(shards: DataFrame) -> DataFrame:
+    """The day, its month, the upper-cased event name, the country with a
+    default for missing ones (a nested-field projection)."""
     return shards.select(
         F.col("table_suffix").alias("event_date"),
         month_of(parse_yyyymmdd("table_suffix")).cast("bigint").alias("mes"),
@@ -70,6 +67,13 @@ def events_by_suffix(spark: SparkSession, events: DataFrame, base: str, first: s
         default_to(F.col("geo.country"), "Desconocido").alias("pais"))
 
 
+def events_by_suffix(spark: SparkSession, base: str, first: str, last: str, data_schema=None) -> DataFrame:
+    """Wildcard scan of the daily event shards ``first`` .. ``last`` below
+    ``base`` (laid out by :func:`ledgerlens.sources.write_date_shards`); other
+    shards are pruned by the suffix partition filter."""
+    return shard_report(read_sharded(spark, base, between=(first, last), data_schema=data_schema))
+
+
 def taxi_subset(spark: SparkSession, trips: DataFrame, taxi_id, name: str, path: str) -> DataFrame:
     """``CREATE OR REPLACE TABLE name AS SELECT ts, miles, total WHERE
     taxi_id = …`` (the filter reaches the Parquet scan)."""

@@ -3,11 +3,14 @@
 Library code never creates its own session; it takes the caller's.  The
 builder here is for tests, ``bench.py`` and command-line use.
 
-Scratch space (checkpoints, materialized tables written by the warehouse
-queries) always lives under the cluster's ``spark.checkpoint.dir`` so that
-it is shared by all executors and survives executor loss.  Only when that
-setting is absent (a bare local test session) do we fall back to a local
-temporary folder.
+Scratch space (lineage cuts, tables written by the queries) always lives under
+the cluster's ``spark.checkpoint.dir``, so it is shared by all executors and
+survives executor loss.  Only a ``local[...]`` master without that setting gets a
+temporary folder of this machine; any other master without it is an error.
+
+Scratch tables stay until released: :func:`scratch_scope` removes what was
+written inside it, :func:`release` one table.  :func:`written_once` keeps one
+written table per state of its input files.
 """
 
 from __future__ import annotations
@@ -15,13 +18,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Settings the library relies on for correct results.  ANSI mode makes
-# strict casts fail fast (the reference's strict casts raise as well); UTC
-# pins every timestamp -> date conversion.
-REQUIRED_CONF = {
+# Settings of sessions built here.  Library code does not depend on them
+# (strict casts raise by themselves) and never changes a caller's session.
+SESSION_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -46,7 +51,7 @@ def build_session(master: str = "local[8]", app: str = "ledgerlens",
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "8g"))
-    for k, v in {**REQUIRED_CONF, **SCALE_CONF, **(extra or {})}.items():
+    for k, v in {**SESSION_CONF, **SCALE_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -54,19 +59,12 @@ def build_session(master: str = "local[8]", app: str = "ledgerlens",
     return spark
 
 
-def apply_required_conf(spark: SparkSession) -> None:
-    """Pin the runtime settings results depend on (idempotent)."""
-    for k, v in REQUIRED_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only where unset.
 
     Order: the directory already set on the SparkContext, then the
-    ``spark.checkpoint.dir`` setting of the session, then (tests only) a
-    fresh local temporary folder.
+    ``spark.checkpoint.dir`` setting of the session, then (``local[...]``
+    masters only) a fresh temporary folder of this machine.
     """
     try:
         sc = spark.sparkContext
@@ -80,6 +78,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        require_local(sc.master if sc is not None else "remote")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     if sc is None:
         return configured
@@ -87,44 +86,82 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder.
+def require_local(master: str) -> None:
+    """Only one process with one disk may do without a shared folder."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"master {master!r}: set spark.checkpoint.dir to a folder that the driver "
+                           "and all executors share")
 
-    Outputs stay in place (the DataFrames handed back read them); retention
-    of the folder is the caller's policy.
-    """
+
+_scopes: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh, unique path under the shared checkpoint folder; it stays
+    until released (see :func:`release`, :func:`scratch_scope`)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         # the context appends its own uuid folder; write next to it
         root = os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/"))
-    return f"{root.rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def release(spark: SparkSession, path: str) -> bool:
+    """Remove a scratch table; paths outside the scratch folders are refused."""
+    if "/ledgerlens/" not in path:
+        raise ValueError(f"not a scratch path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove at the end whatever scratch tables were written inside.
+
+    Use the results before the scope ends: lazy frames read those tables."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            release(spark, path)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     return a fresh scan of it.
 
-    The preferred way to cut lineage: one distributed columnar write
-    (instead of a serialized-row RDD checkpoint), and readers get column
-    pruning, filter pushdown and row counts from the file footers.  A lost
-    executor costs a re-read of the files, never a recomputation.
+    One distributed columnar write; readers get column pruning, filter
+    pushdown and row counts from the file footers.  A lost executor costs a
+    re-read of the files, never a recomputation.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialize to the shared folder, cut lineage.
+_written: dict[tuple, str] = {}
 
-    The input is persisted for the duration of the checkpoint: a reliable
-    checkpoint writes its files in a second job after the first one
-    computed the rows, and without the cache that second job would
-    recompute the whole plan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+
+def input_state(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """A fingerprint of the files below ``paths``: names, sizes and times
+    (file contents are not read)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+             .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h")))
+    return tuple(files.agg(F.count("h"), F.sum("h")).first())
+
+
+def written_once(spark: SparkSession, name: str, paths: Sequence[str], build: Callable[[], str]) -> str:
+    """The path that ``build()`` wrote for the present state of the input
+    files; built again only when they change."""
+    key = (spark.sparkContext.applicationId, name, tuple(paths), input_state(spark, paths))
+    if key not in _written:
+        _written[key] = build()
+        for other in [k for k in _written if k[:3] == key[:3] and k != key]:
+            del _written[other]
+    return _written[key]

@@ -6,6 +6,6 @@ from .files import (  # noqa: F401
 )
 from .sinks import (  # noqa: F401
     PARQUET_CODECS, check_codec, write_parquet, write_csv, export_tables, jdbc_options,
-    write_jdbc, create_table_as, materialize, write_date_shards,
+    write_jdbc, create_table_as, materialize, reload_steps, write_date_shards,
 )
 from .catalog import register, table, query, reused  # noqa: F401

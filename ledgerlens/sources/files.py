@@ -22,13 +22,21 @@ NA_TOKENS = (
 
 def read_csv_text(spark: SparkSession, path: str | Sequence[str],
                   columns: Sequence[str] | None = None,
-                  file_columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with a header, every column as text (no type inference).
+                  file_columns: Sequence[str] | None = None, multi_line: bool = False,
+                  check_quotes: bool = True) -> DataFrame:
+    """CSV (RFC 4180: a doubled quote inside quotes is a quote) with a header, every column as text (no type inference).
 
     Columns are selected *by name*, so extra or reordered columns in the
     file are harmless and a missing one is an error.  Empty fields (quoted
-    or not) are null.  Lines are independent (no multi-line records), so
-    large files split across tasks.
+    or not) are null.
+
+    By default a record is a line, so large files split across tasks.  A
+    quote that its line does not close would shift values silently, so lines
+    are checked first and such a file is refused; the check is one pass over the
+    text without parsing it (``check_quotes=False`` where the writer is known to
+    keep records on one line).  ``multi_line`` reads newlines inside
+    quotes; then one task reads each file whole, so keep files small (a few
+    hundred MB).
 
     ``file_columns`` declares the header when the layout is known: no job
     is spent reading it up front, and every file's header is still checked
@@ -36,7 +44,10 @@ def read_csv_text(spark: SparkSession, path: str | Sequence[str],
     silently shifting columns).
     """
     reader = (spark.read.option("header", True).option("inferSchema", False)
-              .option("mode", "PERMISSIVE").option("multiLine", False))
+              .option("mode", "PERMISSIVE").option("multiLine", multi_line)
+              .option("escape", '"'))
+    if check_quotes and not multi_line:
+        refuse_open_quotes(spark, path)
     if file_columns:
         reader = reader.option("enforceSchema", False).schema(
             T.StructType([T.StructField(c, T.StringType(), True) for c in file_columns]))
@@ -44,6 +55,15 @@ def read_csv_text(spark: SparkSession, path: str | Sequence[str],
     return df.select(*[col(c) for c in columns]) if columns else df
 
 
+def refuse_open_quotes(spark: SparkSession, path: str | Sequence[str]) -> None:
+    """Raise if some line of the CSV has a quote it does not close."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    bad = spark.read.text(path).where(quotes % 2 == 1).limit(1)
+    if not bad.isEmpty():
+        raise ValueError(f"{path}: a quoted field runs over the end of its line; read it with multi_line=True")
+
+
 def tolerant_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Parse text columns leniently: a value that does not parse as the
     column's type becomes null (scan-level ``ignore_errors``)."""
@@ -53,9 +73,10 @@ def tolerant_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def read_csv_tolerant(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
                       types: Mapping[str, str],
-                      file_columns: Sequence[str] | None = None) -> DataFrame:
-    """Tolerant typed CSV scan: text read, projection by name, try-cast."""
-    return tolerant_types(read_csv_text(spark, path, columns, file_columns), types)
+                      file_columns: Sequence[str] | None = None, **reading) -> DataFrame:
+    """Tolerant typed CSV scan: text read, projection by name, try-cast
+    (``reading``: ``multi_line`` and ``check_quotes`` of the text read)."""
+    return tolerant_types(read_csv_text(spark, path, columns, file_columns, **reading), types)
 
 
 def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
@@ -67,10 +88,10 @@ def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
         for f in df.schema.fields])
 
 
-def read_csv_na(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_csv_na(spark: SparkSession, path: str | Sequence[str], **reading) -> DataFrame:
     """CSV read with pandas' NA semantics (all columns text; see
     :data:`NA_TOKENS`).  Numeric parsing is left to the cleaning step."""
-    return na_to_null(read_csv_text(spark, path))
+    return na_to_null(read_csv_text(spark, path, **reading))
 
 
 def load_parquet(spark: SparkSession, path: str, what: str = "table") -> DataFrame:

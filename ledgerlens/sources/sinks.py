@@ -29,8 +29,13 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd",
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """Overwrite ``path`` with ``df`` as headed CSV (a folder of parts)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Overwrite ``path`` with ``df`` as headed CSV (a folder of parts).
+
+    RFC 4180: quotes inside a value are doubled, blanks at its ends are
+    kept.  CSV cannot tell null from empty text: both read back as null.
+    """
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -45,12 +50,20 @@ def export_tables(tables: Mapping[str, DataFrame], out_dir: str, fmt: str = "csv
 
 def jdbc_options(url: str, table: str, user: str | None = None, password: str | None = None,
                  driver: str | None = None, batchsize: int = 10_000,
-                 truncate: bool = False) -> dict:
-    """Options of a relational write (``to_sql(..., if_exists='replace')``)."""
+                 truncate: bool = False, num_partitions: int | None = None) -> dict:
+    """Options of a relational write (``to_sql(..., if_exists='replace')``).
+
+    ``num_partitions`` bounds the connections open at once: with more tasks
+    the rows are coalesced to that many first.
+    """
     if not url.startswith("jdbc:"):
         raise ValueError("a JDBC url starts with 'jdbc:'")
     opts = {"url": url, "dbtable": table, "batchsize": str(batchsize),
             "truncate": str(truncate).lower()}
+    if num_partitions is not None:
+        if num_partitions < 1:
+            raise ValueError("num_partitions is at least 1")
+        opts["numPartitions"] = str(num_partitions)
     for k, v in (("user", user), ("password", password), ("driver", driver)):
         if v is not None:
             opts[k] = v
@@ -73,14 +86,25 @@ def create_table_as(spark: SparkSession, df: DataFrame, name: str, path: str) ->
     return spark.table(name)
 
 
+def drop_view(spark: SparkSession, name: str) -> None:
+    """Forget a materialized view (its files stay until they are rewritten)."""
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str, path: str) -> DataFrame:
-    """Materialized view with full rebuild: drop the old view, write the
-    result to ``path`` and register ``name`` as a view over the files."""
-    spark.catalog.dropTempView(name)
-    write_parquet(df, path)
-    out = spark.read.parquet(path)
-    out.createOrReplaceTempView(name)
-    return out
+    """Materialized view with full rebuild: drop the old one, write the result
+    to ``path`` and register ``name`` as a catalog table over the files, which
+    outlives the session wherever the catalog does."""
+    drop_view(spark, name)
+    return create_table_as(spark, df, name, path)
+
+
+def reload_steps(tables: Mapping[str, DataFrame],
+                 summaries: Mapping[str, DataFrame]) -> list[tuple[str, str, DataFrame | None]]:
+    """(step, name, frame) of a reload in its safe order: drop what depends
+    on the tables, replace the tables, build the summaries again."""
+    return ([("drop", n, None) for n in summaries] + [("table", n, df) for n, df in tables.items()]
+            + [("summary", n, df) for n, df in summaries.items()])
 
 
 def write_date_shards(df: DataFrame, base: str, date_col: str, fmt: str = "yyyyMMdd",

@@ -15,24 +15,19 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NATION_ROWS = 25
+TRANSACTION_TABLES = ["lineitem", "orders", "customer", "nation", "part"]
+SURVEY_TABLES = ["customer", "nation"]
+
 
-# Table handles per session: a DataFrame is an immutable plan, so one
-# resolved scan (file listing, footer schema) serves every query.
-_handles: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+def paths(sf_dir: str, names: list[str]) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    cache = _handles.setdefault(spark, {})
-    if path not in cache:
-        cache[path] = spark.read.parquet(path)
-    return cache[path]
+    return spark.read.parquet(*paths(sf_dir, [name]))
 
 
 def _case_sql(k: str, m: int, values: list[str]) -> str:
@@ -73,12 +68,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cust_n = cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     ord_c = orders.join(cust_n, F.col("o_custkey") == F.col("c_custkey"))
-    # lineitem meets orders in a shuffled hash join built on the orders side.
-    # Without cost statistics a join's estimated size is the product of its
-    # inputs, which would make lineitem - the largest table - look like the
-    # side to broadcast.  Joining orders first keeps lineitem-sized shuffles
-    # to two (order key, part key).
-    t = (li.join(ord_c.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Customers join orders first, so lineitem-sized shuffles are two (order
+    # key, part key); how each join runs is the planner's and AQE's choice.
+    t = (li.join(ord_c, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(part, F.col("l_partkey") == F.col("p_partkey")))
     return _select_txn(t)
 
@@ -106,7 +98,8 @@ def _select_txn(t: DataFrame) -> DataFrame:
 def sme_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small-business survey: one row per customer, in the raw CSV's shape.
 
-    Numbers come from small moduli of the customer key; opening hours are
+    Numbers come from small moduli of the customer key; sales and employees
+    are text with NA tokens, junk and a blank-padded NaN among them; opening hours are
     text with an unparseable ``08:30`` every 41st row; coordinates fall in
     a ~5 km square so cells hold several businesses; ``altaSAT`` and
     ``usaCredito`` have nulls (null-safe joins); the wish answer is the
@@ -129,17 +122,18 @@ def sme_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_case_sql(k, 3, ['Casado', 'Soltero', 'Union libre'])} END AS estadoCivil",
         f"CAST({k} % 4 AS STRING) AS dependientesEconomicos",
         f"{_case_sql(k, 3, ['Si', 'No', 'No'])} AS familiaAyuda",
-        "c_acctbal AS ventasPromedioDiarias",
+        f"CASE WHEN {k} % 43 = 0 THEN 'NA' WHEN {k} % 59 = 0 THEN 'abc' WHEN {k} % 61 = 0 THEN ' NaN ' "
+        f"WHEN {k} % 67 = 0 THEN '1d' ELSE CAST(c_acctbal + 0.006D AS STRING) END AS ventasPromedioDiarias",
         f"19.4D + ({k} * 37 % 1000) / 20000.0D AS latitud",
         f"-99.15D + ({k} * 91 % 1000) / 20000.0D AS longitud",
         f"CASE WHEN {k} % 41 = 0 THEN '08:30' ELSE CAST({k} % 24 AS STRING) END AS horaApertura",
         f"CAST({k} * 7 % 24 AS STRING) AS horaCierre",
-        f"{k} % 12 AS numEmpleados",
+        f"CASE WHEN {k} % 71 = 0 THEN 'null' ELSE concat(' ', CAST({k} % 12 AS STRING)) END AS numEmpleados",
         f"{k} % 30 AS antiguedadNegocio",
         "c_mktsegment AS giroNegocio",
         f"{_case_sql(k, 3, ['Cuaderno', 'Sistema', 'Ninguno'])} AS registroVentas",
         f"{_case_sql(k, 2, ['Si', 'No'])} AS registroContabilidad",
-        f"CASE WHEN {k} % 5 = 0 THEN NULL ELSE {_case_sql(k, 2, ['Si', 'No'])} END AS altaSAT",
+        f"CASE WHEN {k} % 5 = 0 THEN 'n/a' ELSE {_case_sql(k, 2, ['Si', 'No'])} END AS altaSAT",
         f"CASE WHEN {k} % 7 = 0 THEN NULL ELSE {_case_sql(k, 3, ['Si', 'No', 'No'])} END "
         "AS usaCredito",
         f"CASE WHEN {k} % 47 = 0 THEN '120 dias' ELSE "

@@ -61,13 +61,56 @@ def test_f2_empty_selection(f1_cube):
     assert (k.total_transactions, k.total_amount, k.fraud_rate, k.error_rate) == (0, 0.0, 0.0, 0.0)
 
 
-def test_default_slice_first_five_states(spark):
+def test_no_selection_keeps_every_row(spark, f1_cube):
+    assert cb.slice_cube(f1_cube).count() == 4                   # the null state included
+    assert cb.kpis(cb.slice_cube(f1_cube)).first().total_transactions == 7
+    assert {r[0] for r in cb.amount_by_channel(cb.slice_cube(f1_cube)).collect()} == {"Chip", "Online", "Swipe"}
+
+
+def test_opening_selection_first_five_states(spark):
     cube = cb.build_cube(cb.clean_transactions(td.transactions(spark, SF_MID)))
-    states = sorted({r[0] for r in cb.slice_cube(cube).select("Merchant State").distinct().collect()})
+    out = cb.slice_cube(cube, states=cb.first_states(cube, 5))
+    states = sorted({r[0] for r in out.select("Merchant State").distinct().collect()})
     assert states == sorted(r[0] for r in cb.slicer_states(cube).limit(5).collect())
     assert len(states) == 5
 
 
+def test_strict_casts_raise_without_ansi(spark):
+    bad = [("x", "1", "2019", "1", "1", "$1.00", "Chip", "X", "CA", "5411", None, "No"),
+           ("1", "1", "2019", "1", "1", "junk", "Chip", "X", "CA", "5411", None, "No"),
+           ("1", "1", "2019", "2", "30", "$1.00", "Chip", "X", "CA", "5411", None, "No")]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        for row in bad:
+            raw = spark.createDataFrame([row], ", ".join(f"`{c}` string" for c in RAW))
+            with pytest.raises(Exception, match="cannot read as"):
+                cb.clean_transactions(raw).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_csv_rfc4180(spark, tmp_path):
+    from ledgerlens.sources.files import read_csv_text
+    rows = [("1", 'Quiero ""crecer"", "mucho"'), ("2", "  lead trail  "), ("3", 'say "hi"'), ("4", "a,b"), ("5", "x\\y\\"),
+            ("6", None), ("7", '"')]
+    df = spark.createDataFrame(rows, "id string, txt string")
+    path = write_csv(df, str(tmp_path / "q"))
+    assert sorted(map(tuple, read_csv_text(spark, path).collect())) == rows
+    p = tmp_path / "doubled.csv"
+    p.write_text('id,txt,cat\n1,"Quiero ""crecer"", mucho",A\n')
+    assert tuple(read_csv_text(spark, str(p)).first()) == ("1", 'Quiero "crecer", mucho', "A")
+
+
+def test_csv_newlines_inside_quotes(spark, tmp_path):
+    from ledgerlens.sources.files import read_csv_text
+    p = tmp_path / "nl.csv"
+    p.write_text('id,txt\n1,"linea uno\nlinea dos"\n2,z\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        read_csv_text(spark, str(p))
+    assert [tuple(r) for r in read_csv_text(spark, str(p), multi_line=True).collect()] == \
+        [("1", "linea uno\nlinea dos"), ("2", "z")]
+
+
 def test_cube_invariants_sf001(spark):
     txn = td.transactions(spark, SF_MID)
     cube = cb.build_cube(cb.clean_transactions(txn))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, plan_text
-from ledgerlens.functions.hexgrid import grid_constants, hex_axial, hex_cell, hex_centroid
+from ledgerlens.functions.hexgrid import grid_constants, hex_centroid, with_hex_cell
 from ledgerlens.operators import collapse_rare, null_safe_join, surrogate_key
 from ledgerlens.plans import star as st
 from ledgerlens.sources import testdata as td
@@ -71,26 +71,24 @@ def test_surrogate_keys_dense_ordered_many_partitions(spark):
     (0.0, 0.0, (0, 0), (0.0, 0.0)),
 ])
 def test_f10_hex(spark, lat, lon, qr, cen):
-    df = spark.createDataFrame([(lat, lon)], "lat double, lon double")
-    r = df.select(hex_axial("lat", "lon").alias("a"), hex_cell("lat", "lon").alias("h")) \
-        .select("a.q", "a.r", "h", hex_centroid("h").alias("c")).first()
-    assert (r.q, r.r) == qr and r.h == f"hx531_{qr[0]}_{qr[1]}"
+    df = with_hex_cell(spark.createDataFrame([(lat, lon)], "lat double, lon double"), "lat", "lon", "h")
+    r = df.select("h", hex_centroid("h").alias("c")).first()
+    assert r.h == f"hx531_{qr[0]}_{qr[1]}"
     assert (r.c.lat, r.c.lon) == cen
 
 
 def test_f10_invalid_points(spark):
     df = spark.createDataFrame([(float("nan"), 0.0), (91.0, 0.0), (None, 0.0)], "lat double, lon double")
-    assert [r[0] for r in df.select(hex_cell("lat", "lon")).collect()] == [None, None, None]
+    assert [r.h for r in with_hex_cell(df, "lat", "lon", "h").collect()] == [None, None, None]
 
 
 def test_hex_point_within_edge_of_centroid(spark):
     rnd = random.Random(7)
     pts = [(19.2 + rnd.random() * 0.5, -99.4 + rnd.random() * 0.5) for _ in range(3000)]
-    df = spark.createDataFrame(pts, "lat double, lon double")
+    df = with_hex_cell(spark.createDataFrame(pts, "lat double, lon double"), "lat", "lon", "h")
     k = grid_constants()
-    out = df.select("lat", "lon", hex_centroid(hex_cell("lat", "lon"), digits=None).alias("c"))
     worst = 0.0
-    for r in out.collect():
+    for r in df.select("lat", "lon", hex_centroid("h", digits=None).alias("c")).collect():
         dx = (r.lon - r.c.lon) * k["kx"]
         dy = (r.lat - r.c.lat) * k["ky"]
         worst = max(worst, math.hypot(dx, dy) / 531.0)
@@ -105,7 +103,7 @@ def star(spark):
 def test_star_invariants(star):
     clean_n = star.clean.count()
     fact = star.fact()
-    assert clean_n == 1463 and fact.count() == clean_n
+    assert clean_n == 1337 and fact.count() == clean_n
     for k in ["id_negocio_dim", "id_geografia_dim", "id_deseo_dim"]:
         assert fact.where(F.col(k).isNull()).count() == 0
     for dim, k in [(star.dim_geografia, "id_geografia_dim"), (star.dim_negocio, "id_negocio_dim"),
@@ -123,13 +121,56 @@ def test_star_collapse_and_nulls(star):
     assert star.dim_negocio.where(F.col("alta_sat").isNull()).count() > 0
 
 
-def test_star_fact_joins_are_broadcast(star):
+def test_enriched_rows_are_written_and_reused(star):
     fact = star.fact()
-    fact.collect()
     plan = plan_text(fact)
-    # the clean rows are materialized: 3 map-side dimension joins remain
-    assert plan.count("BroadcastHashJoin") == 3
-    assert "SortMergeJoin" not in plan and "PythonUDF" not in plan
+    # the joins ran once; fact, flat table and summaries scan the written rows
+    assert "Join" not in plan and "FileScan parquet" in plan and "PythonUDF" not in plan
+    assert "Join" not in plan_text(star.flat())
+
+
+def test_joins_carry_no_row_count_hint(spark, star):
+    from ledgerlens.operators import join_on
+    x = join_on(star.clean, star.dim_geografia, [("h3_hex_id", "h3_hex_id")], null_safe=True)
+    assert "ResolvedHint" not in x._jdf.queryExecution().analyzed().toString()
+    y = join_on(star.clean, star.dim_deseo, [("Categoría", "categoria_deseo")], bounded=True)
+    assert "broadcast" in y._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_hot_cell_through_a_shuffle_join(spark):
+    """A cell with a third of all rows, and null cells, keep every row and key."""
+    from ledgerlens.operators import join_on
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, None)
+                                    .otherwise(F.concat(F.lit("c"), F.col("id"))).alias("cell"))
+    dim = surrogate_key(rows, ["cell"], "key")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = join_on(rows, dim, [("cell", "cell")], how="left", null_safe=True)
+        got = out.collect()
+        assert "BroadcastHashJoin" not in plan_text(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 3000 and all(r.key is not None for r in got)
+    assert len({r.key for r in got if r.cell == "hot"}) == 1
+
+
+def test_unusable_required_values_are_dropped(spark):
+    base = dict(id=1, edadEmprendedor="30", ventasPromedioDiarias="10.006", latitud="19.4", longitud="-99.1",
+                horaApertura="9", horaCierre="18", numEmpleados="2", antiguedadNegocio="3")
+    bad = [("ventasPromedioDiarias", "abc"), ("latitud", "x"), ("ventasPromedioDiarias", " NaN "), ("latitud", "91"),
+           ("numEmpleados", "1f"), ("numEmpleados", "NA"), ("longitud", "inf")]
+    rows = [base] + [{**base, "id": 2 + i, k: v} for i, (k, v) in enumerate(bad)]
+    raw = spark.createDataFrame([tuple(str(r[c]) for c in base) for r in rows], ", ".join(f"{c} string" for c in base))
+    got = st.prepare_sme(raw).collect()
+    assert [r.id for r in got] == ["1"] and got[0].h3_hex_id is not None
+
+
+def test_means_are_not_rounded(spark, star):
+    one = spark.createDataFrame([(1, 10.006, 1, 1.0)], "id_emprendedor int, ventas_promedio_diarias double, "
+                                                      "num_empleados int, antiguedad_negocio double")
+    assert st.sme_kpis(one).first().ventas_promedio == 10.006
+    for r in st.goal_profitability(star).collect():
+        assert r.promedio_ventas <= r.max_ventas
 
 
 def test_collapse_broadcast_reused(spark):
@@ -144,7 +185,7 @@ def test_collapse_broadcast_reused(spark):
 
 def test_summaries(star):
     kpi = st.sme_kpis(star.fact()).first()
-    assert kpi.total_pymes == 1463
+    assert kpi.total_pymes == 1337
     cells = st.cell_density_class(st.sales_by_sector_cell(star))
     assert {r[0] for r in cells.select("opacidad").distinct().collect()} <= {0.4, 0.8}
     sec = st.sector_summary(star).collect()
@@ -158,20 +199,38 @@ def test_export_star_csv(spark, star, tmp_path):
     out = export_tables({"dim_deseo": star.dim_deseo, "fact_sme_metrics": star.fact()},
                         str(tmp_path))
     back = spark.read.option("header", True).csv(out["fact_sme_metrics"])
-    assert back.count() == 1463
+    assert back.count() == 1337
 
 
-def test_surrogate_keys_single_task_path_matches(spark):
+def test_surrogate_keys_never_meet_in_one_task(spark):
     df = spark.range(0, 3000).select((F.col("id") % 101).alias("k"),
                                      F.when(F.col("id") % 7 == 0, None)
                                      .otherwise(F.col("id") % 4).alias("j"))
-    a = surrogate_key(df, ["j", "k"], "sk", num_partitions=5)
-    b = surrogate_key(df, ["j", "k"], "sk", known_rows=3000)
-    assert "Window" in b._jdf.queryExecution().executedPlan().toString()
-    norm = lambda rows: sorted((r.sk, r.j, r.k) for r in rows)
+    a, b = surrogate_key(df, ["j", "k"], "sk", num_partitions=5), surrogate_key(df, ["j", "k"], "sk")
+    assert "SinglePartition" not in plan_text(a) and "SinglePartition" not in plan_text(b)
+    norm = lambda rows: sorted((r.sk, r.j or -1, r.k) for r in rows)
     assert norm(a.collect()) == norm(b.collect())
 
 
+def test_survey_etl_writes_each_table_once(spark, tmp_path, monkeypatch):
+    import ledgerlens.session as session
+    written = []
+    real = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda sp, name: written.append(name) or real(sp, name))
+    st.run_survey_etl(spark, td.sme_survey(spark, "/root/testdata/sf0.001"), str(tmp_path))
+    keys = [f"sk_id_{d}_dim" for d in ("geografia", "negocio", "deseo")]
+    assert sorted(written) == sorted(["sme_clean", "sme_enriched", *keys, *(f"{k}_tagged" for k in keys)])
+
+
+def test_export_reads_back_equal(spark, star, tmp_path):
+    from ledgerlens.sources.files import read_csv_text
+    from ledgerlens.sources.sinks import export_tables
+    out = export_tables({"dim_negocio": star.dim_negocio}, str(tmp_path))
+    back = read_csv_text(spark, out["dim_negocio"])
+    text = star.dim_negocio.select(*[F.col(c).cast("string") for c in star.dim_negocio.columns])
+    assert sorted(map(str, back.collect())) == sorted(map(str, text.collect()))
+
+
 def test_category_share_counts_null_and_sums_to_one(spark):
     from ledgerlens.operators import category_share
     df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "c string")
@@ -197,13 +256,14 @@ def test_run_survey_etl_without_database(spark, tmp_path):
     flat = spark.read.option("header", True).csv(out["sme_molap_flat"])
     fact = spark.read.option("header", True).csv(out["fact_sme_metrics"])
     assert flat.count() == fact.count() > 0 and len(flat.columns) == 22
-    mv = spark.table("mv_deseos_rentabilidad")
+    mv = spark.table("mv_deseos_rentabilidad")          # a catalog table, not a session view
+    assert not any(t.isTemporary for t in spark.catalog.listTables() if t.name == "mv_deseos_rentabilidad")
     assert mv.agg(F.sum("cantidad_pymes")).first()[0] == fact.count()
 
 
 def test_sme_dashboard_bundle(star):
     d = st.sme_dashboard(star)
-    assert d["kpis"].first().total_pymes == 1463
+    assert d["kpis"].first().total_pymes == 1337
     assert d["map_polygons"].count() == 6 * d["map_cells"].select("h3_hex_id").distinct().count()
     assert d["sectors"].count() == 5
 
@@ -225,13 +285,10 @@ def _py_cell(lat, lon, edge=531.0):
     return f"hx531_{int(-r - s if fq else q)}_{int(-q - s if fr else r)}"
 
 
-def test_hex_implementations_agree(spark):
-    from ledgerlens.functions.hexgrid import with_hex_cell
+def test_hex_cell_agrees_with_python(spark):
     rnd = random.Random(5)
     pts = [(rnd.uniform(-95, 95), rnd.uniform(-185, 185)) for _ in range(4000)]
     pts += [(19.2 + rnd.random() * 0.6, -99.4 + rnd.random() * 0.6) for _ in range(1000)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pts)], "i int, lat double, lon double")
-    out = with_hex_cell(df, "lat", "lon", "a").select("i", "a", hex_cell("lat", "lon").alias("b"))
-    for r in out.collect():
-        want = _py_cell(*pts[r.i])
-        assert r.a == r.b == want, (pts[r.i], r.a, r.b, want)
+    for r in with_hex_cell(df, "lat", "lon", "a").collect():
+        assert r.a == _py_cell(*pts[r.i]), pts[r.i]

@@ -26,6 +26,40 @@ def test_f6_full_outer(spark):
                    ("Zoe", None, 120000.0)]
 
 
+def test_having_floor_as_share_and_one_scan(spark, tmp_path):
+    rows = [(s, f"n{i}", 10 * (i + 1)) for s in ("TX", "PA", "CA") for i in range(10)]
+    path = write_parquet(spark.createDataFrame(rows, "state string, name string, number long"), str(tmp_path / "n"))
+    names = spark.read.parquet(path)
+    top = wh.popular_names(names, ["TX", "PA"], min_share=0.1)
+    got = sorted((r.state, r.name, r.total) for r in top.collect())
+    assert got == sorted((s, f"n{i}", 10.0 * (i + 1)) for s in ("PA", "TX") for i in range(5, 10))    # over 55 of 550
+    assert plan_text(top).count("FileScan") == 1
+    plan = plan_text(wh.compare_states(names, "TX", "PA", min_share=0.1))
+    assert "BroadcastExchange" not in plan and "popular_names" in plan
+
+
+def test_wildcard_with_given_schema(spark, shards):
+    schema = spark.read.parquet(shards).drop("table_suffix").schema
+    out = wh.events_by_suffix(spark, shards, "20210101", "20210131", data_schema=schema)
+    assert out.count() == 2
+
+
+def test_reload_order_drops_dependants_first(spark, tmp_path, monkeypatch):
+    from ledgerlens.plans import star as st
+    from ledgerlens.sources import sinks
+    from ledgerlens.sources import testdata as td
+    steps = []
+    monkeypatch.setattr(sinks, "write_jdbc", lambda df, url, table, **kw: steps.append(("write", table, kw)))
+    st.run_survey_etl(spark, td.sme_survey(spark, "/root/testdata/sf0.001"), str(tmp_path), "jdbc:test:db",
+                      {"num_partitions": 4}, execute_sql=lambda q: steps.append(("sql", q, None)))
+    names = [s[1] for s in steps]
+    assert names[:2] == [f"DROP TABLE IF EXISTS {v}" for v in st.SUMMARY_VIEWS]
+    assert names[2:7] == ["dim_emprendedor", "dim_geografia_h3", "dim_negocio", "dim_deseo", "fact_sme_metrics"]
+    assert names[7:] == list(st.SUMMARY_VIEWS)
+    assert all(kw == {"num_partitions": 4} for kind, _, kw in steps if kind == "write")
+    assert jdbc_options("jdbc:x", "t", num_partitions=4)["numPartitions"] == "4"
+
+
 def test_state_totals_sql(spark):
     names = spark.createDataFrame([("A", "x", 5), ("B", "y", 7), ("A", "z", 3)],
                                   "state string, name string, number long")
@@ -65,7 +99,7 @@ def shards(spark, tmp_path):
 
 
 def test_f9_wildcard(spark, shards):
-    out = wh.events_by_suffix(spark, None, shards, "20210101", "20210131", write=False)
+    out = wh.events_by_suffix(spark, shards, "20210101", "20210131")
     got = sorted(tuple(r) for r in out.collect())
     assert got == [("20210101", 1, "PAGE_VIEW", "Desconocido"), ("20210131", 1, "PAGE_VIEW", "MX")]
 
