@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text bytes worked on at once inside a task (numpy temporaries are ~20x that).
@@ -21,6 +25,23 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python
+    workers import it, wherever the driver was started from."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="ledgerlens-")), "ledgerlens-package.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+
+
 def text_or_empty(column: str = "text") -> Column:
     """Null texts count as empty everywhere."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -10,11 +10,13 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets, token_files, toxicity
+from .common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

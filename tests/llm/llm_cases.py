@@ -1,24 +1,11 @@
-import os
-import sys
+"""Helpers of the corpus operator tests (the session fixture is the suite's)."""
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
-
-from ledgerlens.session import build_session  # noqa: E402
-
 SF_SMALL = "/root/testdata/sf0.001"
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    s = build_session(master="local[4]", shuffle_partitions=4)
-    yield s
-    s.stop()
-
-
 def docs_frame(spark, rows):
     """rows: (doc_id, text) or (doc_id, text, source)."""
     full = [(r[0], r[1], None, r[2] if len(r) > 2 else "s", None) for r in rows]

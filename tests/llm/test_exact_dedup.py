@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import SF_SMALL, docs_frame
 
 import ledgerlens.llm.exact_dedup as ed
 from oracle_harness import compare, duck

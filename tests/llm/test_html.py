@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import ledgerlens.llm.html_extract as hx
-from conftest import SF_SMALL
+from llm_cases import SF_SMALL
 from ledgerlens.llm.html_blocks import blocks
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import docs_frame, SF_SMALL, small_docs  # noqa: F401
 
 import ledgerlens.llm.minhash as mh
 

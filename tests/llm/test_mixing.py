@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import docs_frame, SF_SMALL, small_docs  # noqa: F401
 
 import ledgerlens.llm.mixing as mx
 from oracle_harness import compare, duck

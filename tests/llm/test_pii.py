@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import docs_frame, SF_SMALL, small_docs  # noqa: F401
 
 import ledgerlens.llm.pii as pii
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import SF_SMALL, docs_frame
 from test_exact_dedup import brute as brute_exact
 from test_minhash import brute as brute_near
 from test_mixing import brute_targets

@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import docs_frame, SF_SMALL, small_docs  # noqa: F401
 
 import ledgerlens.llm.secrets as sec
 

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow.fs as pafs
 import pytest
-from conftest import SF_SMALL, docs_frame
+from llm_cases import docs_frame, SF_SMALL, small_docs  # noqa: F401
 
 import ledgerlens.llm.packing as pk
 import ledgerlens.llm.token_files as tf

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import docs_frame
+from llm_cases import docs_frame
 
 import ledgerlens.llm.toxicity as tx
 from ledgerlens.llm.common import utf8_buffers
