@@ -53,7 +53,7 @@ _CHUNK = struct.Struct("<QII")
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a Hadoop-style URI or a local path."""
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return pafs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
 
 
 # -------------------------------------------------------------------- planes
