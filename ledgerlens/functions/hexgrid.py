@@ -18,8 +18,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import col
-
 # Fixed values of the grid definition.
 EARTH_RADIUS_M = 6371008.8      # mean Earth radius
 DEFAULT_LAT0 = 19.4326          # projection centre (map centre of the survey area)
