@@ -43,6 +43,7 @@ MAX_REPEATS = 2.0        # a source gives at most this many times its words
 BLOCK_WORDS = 1024       # least words of a slot
 MAX_SLOTS = 1 << 20      # most slots of a schedule: blocks grow beyond that
 RANGE_ROWS = 50_000      # rows of one hash range of all sources together, about
+LEAST_RANGES = 256       # hash ranges at least: a hot source is in as many tasks
 CELLS = 4096             # cells of [0, 1) on which points and shares are joined
 GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 
@@ -112,7 +113,7 @@ def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
 
 def positions(sizes: DataFrame, n_rows: int) -> DataFrame:
     """``sizes`` (with source_no) plus ``begin``: words of the source before the row."""
-    ranges = max(1, min(1 << 20, -(-n_rows // RANGE_ROWS)))
+    ranges = max(LEAST_RANGES, min(1 << 20, -(-n_rows // RANGE_ROWS)))
     head = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")      # 32 uniform bits
     rows = sizes.withColumn("part", F.floor(head * F.lit(ranges) / F.lit(1 << 32)))
     sums = rows.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
