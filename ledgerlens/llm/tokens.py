@@ -4,13 +4,15 @@ Byte-level BPE works on pre-tokens, and a pre-token always ends before a
 single white-space character that follows a non-space one.  So a text
 without adjacent white space splits at its spaces and newlines into pieces that
 encode on their own, and a piece that was seen before is one dictionary lookup.
-New pieces are cut by the tokenizer's published pattern and encoded by the
-library's own model.  Stretches with adjacent white space go through the
+A new piece is a pre-token if it is all letters; a mark after one is
+a pre-token of its own; other pieces are cut by the tokenizer's published pattern.
+Pre-tokens are encoded by the library's own model.  Stretches with adjacent white space go through the
 library whole.  The ids equal those of ``encode`` on the whole text, with
 special-token strings read as ordinary text (a test compares them).
 
-The cache lives in the Python worker and is emptied when it holds
-``CACHE_PIECES`` pieces.
+The cache lives in the Python worker, in two generations of at most
+``CACHE_PIECES`` pieces: a full one becomes the old one, from which pieces still in
+use are taken over.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from functools import lru_cache
 import numpy as np
 
 CACHE_PIECES = 300_000
+# Fixed value: marks that make a pre-token of their own after letters.
+MARKS = frozenset(".,;:!?")
 END_ID = 0                       # closes every document
 ID_BYTES = 4                     # ids as little-endian unsigned 32-bit integers
 
@@ -43,6 +47,49 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Pieces(dict):
+    """piece -> packed ids; a missing piece is taken from the old generation or encoded."""
+
+    def __init__(self, encoder: "PieceEncoder", prefix: str):
+        super().__init__()
+        self.encoder, self.prefix, self.old = encoder, prefix, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self._encode(piece)
+        self[piece] = got
+        return got
+
+    def _encode(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.encoder.token(self.prefix + piece)
+        word, mark = piece[:-1], piece[-1:]
+        if mark in MARKS and word.isalpha():
+            return self[word] + self.encoder.small[mark]
+        return b"".join(map(self.encoder.small.__getitem__, self.encoder.pattern.findall(self.prefix + piece)))
+
+    def turn(self) -> None:
+        """Begin a new generation when this one is full."""
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Tokens(dict):
+    """Pre-token -> packed ids (marks, numbers and other short ones)."""
+
+    def __init__(self, encoder: "PieceEncoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        got = self[token] = self.encoder.token(token)
+        return got
+
+
 class PieceEncoder:
     """ids of texts as packed bytes (``ID_BYTES`` per id)."""
 
@@ -55,41 +102,31 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.ids_of: dict[str, bytes] = {}      # pre-token -> packed ids
-        self.bare: dict[str, bytes] = {}        # piece at the start of a line
-        self.spaced: dict[str, bytes] = {}      # piece after a space
-        self.newline = self._token("\n")
-
-    def _token(self, token: str) -> bytes:
-        got = self.ids_of.get(token)
-        if got is None:
-            plain = token.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(plain)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            self.ids_of[token] = got
-        return got
+        self.small = _Tokens(self)
+        self.bare = _Pieces(self, "")           # at the start of a line
+        self.spaced = _Pieces(self, " ")        # after a space
+        self.newline = self.token("\n")
 
-    def _learn(self, pieces, known: dict[str, bytes], prefix: str) -> None:
-        for piece in set(pieces).difference(known):
-            known[piece] = b"".join(map(self._token, self.pattern.findall(prefix + piece)))
+    def token(self, token: str) -> bytes:
+        plain = token.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
+        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
         lines = [line.split(" ") for line in text.split("\n")]
-        self._learn([line[0] for line in lines], self.bare, "")
-        self._learn([p for line in lines for p in line[1:]], self.spaced, " ")
-        spaced = self.spaced.__getitem__
-        return self.newline.join([self.bare[line[0]] + b"".join(map(spaced, line[1:])) for line in lines])
+        return self.newline.join([bare(line[0]) + b"".join(map(spaced, line[1:])) for line in lines])
 
     def encode(self, text: str) -> bytes:
-        if len(self.ids_of) + len(self.bare) + len(self.spaced) > CACHE_PIECES:
-            self.ids_of.clear(), self.bare.clear(), self.spaced.clear()
+        self.bare.turn()
+        self.spaced.turn()
         if not _WIDE_SPACE.search(text):
             return self._plain(text)
         parts = _WIDE_PARTS.split(text)
-        return b"".join((self._whole if i % 2 else self._plain)(p) for i, p in enumerate(parts) if p)
+        return b"".join([(self._whole if i % 2 else self._plain)(p) for i, p in enumerate(parts) if p])
 
 
 @lru_cache(maxsize=2)
