@@ -23,7 +23,10 @@ for all pairs without emitting them: the part's maximum spanning forest and each
 node's nearest neighbours are the candidates, a few per node.
 
 *Verification* compares whole shingle multisets; a link needs a similarity
-of ``THRESHOLD`` or more.  Links are contracted to classes by rounds of
+of ``THRESHOLD`` or more.  Nodes of different classes that may still be similar, by estimate,
+then meet in their part with their whole multisets, and all pairs of classes are
+compared inside the task; so a link is not lost because other neighbours looked
+nearer.  Links are contracted to classes by rounds of
 hooking to the least neighbour and pointer jumping, on written tables.
 
 Recall: a pair of similarity 0.8 misses all bands with probability
@@ -51,8 +54,9 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_SLOTS = 20, 4
 SLOTS = BANDS * BAND_SLOTS
-ESTIMATE_SLACK = 0.2      # candidates are estimated at THRESHOLD - slack or more: 4.5 standard errors
-PART_NODES = 1024         # nodes of a bucket's part, about
+ESTIMATE_SLACK = 0.18     # candidates are estimated at THRESHOLD - slack or more: 4 standard errors
+COLUMN_BLOCK = 4096       # shingles multiplied at once when a part is compared whole
+PART_NODES = 2048         # nodes of a bucket's part, about
 PILOTS = 16               # nodes of a split bucket that are in all parts, about
 NEAREST = 2               # neighbours per node beside the spanning forest
 HOT_SHARE = 512           # classes above 1/512 of the rows are joined by broadcast: at most 511
@@ -211,31 +215,12 @@ def part_candidates(sketch: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.array(out, dtype=np.int64), axis=1), axis=0)
 
 
-def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (bucket, salt): node, weight, sketch.  Runs may span batches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs_of(bucket, salt, node, weight, sketch):
-        change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1
-        at = np.concatenate([[0], change, [len(bucket)]])
-        size = np.diff(at)
-        two = at[:-1][size == 2]
-        least = (THRESHOLD - ESTIMATE_SLACK) * SLOTS
-        small, large = np.minimum(weight[two], weight[two + 1]), np.maximum(weight[two], weight[two + 1])
-        good = two[((sketch[two] == sketch[two + 1]).sum(axis=1) >= least) & (small >= THRESHOLD * large)] \
-            if len(two) else two
-        found = [np.stack([node[good], node[good + 1]], axis=1)]
-        for s, e in zip(at[:-1][size > 2], at[1:][size > 2]):
-            found.append(node[s:e][part_candidates(sketch[s:e], weight[s:e])])
-        got = np.sort(np.concatenate(found), axis=1)
-        got = np.unique(got[got[:, 0] != got[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
-
+def _parts(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list]:
+    """Whole parts from rows sorted by (bucket, salt), many per yield: the column arrays
+    and the bounds of the parts.  ``columns`` reads a batch into arrays."""
     carry = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SLOTS)
-        cols.append(sketch)
+        cols = columns(batch)
         if carry is not None:
             cols = [np.concatenate([c, x]) for c, x in zip(carry, cols)]
         if not len(cols[0]):
@@ -244,13 +229,52 @@ def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = len(last) - int(last.sum())
         carry = [x[cut:] for x in cols]
         if cut:
-            yield pairs_of(*[x[:cut] for x in cols])
-    if carry is not None and len(carry[0]) > 1:
-        yield pairs_of(*carry)
+            yield _bounded([x[:cut] for x in cols])
+    if carry is not None and len(carry[0]):
+        yield _bounded(carry)
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that may be similar: a few per node."""
+def _bounded(cols):
+    change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+    return cols, np.concatenate([[0], change, [len(cols[0])]])
+
+
+def _sketch_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """bucket, salt, node, weight, [root,] sketch"""
+    plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+    return [*plain, np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint8).reshape(-1, SLOTS)]
+
+
+def _pair_batch(pairs) -> pa.RecordBatch:
+    got = np.sort(np.asarray(pairs, dtype=np.int64).reshape(-1, 2), axis=1)
+    got = np.unique(got[got[:, 0] != got[:, 1]], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+
+def _comparable(sketch, weight, k: int) -> np.ndarray:
+    """Which nodes of a part may be similar to node k, by estimate and size."""
+    same = (sketch == sketch[k]).sum(axis=1)
+    sizes = np.minimum(weight, weight[k]) >= THRESHOLD * np.maximum(weight, weight[k])
+    return sizes & (same >= (THRESHOLD - ESTIMATE_SLACK) * SLOTS)
+
+
+def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input sorted by (bucket, salt): node, weight, sketch.  Runs may span batches."""
+    least = (THRESHOLD - ESTIMATE_SLACK) * SLOTS
+    for (_, _, node, weight, sketch), at in _parts(batches, _sketch_columns):
+        size = np.diff(at)
+        two = at[:-1][size == 2]
+        small, large = np.minimum(weight[two], weight[two + 1]), np.maximum(weight[two], weight[two + 1])
+        good = two[((sketch[two] == sketch[two + 1]).sum(axis=1) >= least) & (small >= THRESHOLD * large)] \
+            if len(two) else two
+        found = [np.stack([node[good], node[good + 1]], axis=1)]
+        for s, e in zip(at[:-1][size > 2], at[1:][size > 2]):
+            found.append(node[s:e][part_candidates(sketch[s:e], weight[s:e])])
+        yield _pair_batch(np.concatenate(found))
+
+
+def bucket_parts(nodes: DataFrame) -> DataFrame:
+    """bucket, salt, node, weight, sketch of all nodes that share a bucket."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     turn = F.xxhash64("node")
     buckets = (rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(turn).alias("lead"))
@@ -258,11 +282,18 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("size") / F.lit(PART_NODES)).cast("long")
     pilot = (parts > 1) & ((turn == F.col("lead")) | (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < PILOTS))
     salts = F.when(pilot, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(2)), parts)))
-    shared = (rows.join(buckets, "bucket").select("bucket", F.explode(salts).alias("salt"), "node")
-              .join(nodes.select("node", "weight", "sketch"), "node")
-              .select("bucket", "salt", "node", "weight", "sketch"))
-    return (shared.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
-            .mapInArrow(_link_parts, "a long, b long").distinct())
+    return (rows.join(buckets, "bucket").select("bucket", F.explode(salts).alias("salt"), "node")
+            .join(nodes.select("node", "weight", "sketch"), "node")
+            .select("bucket", "salt", "node", "weight", "sketch"))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
+
+
+def candidate_pairs(parts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that may be similar: a few per node."""
+    return in_parts(parts).mapInArrow(_link_parts, "a long, b long").distinct()
 
 
 # ----------------------------------------------------------------- verification
@@ -296,24 +327,100 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """Candidate pairs whose whole multisets reach the threshold.
+def node_bags(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """node, elements, counts of the wanted nodes, written once.
 
-    Only texts of nodes in a pair are read into multisets again; a
-    multiset is found by its name, so repeated doc_ids do no harm."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    names = nodes.select("node", "doc_id", "no_id", "bag")
-    wanted = names.join(ends, "node")
-    ids = wanted.select(F.when(F.col("no_id") == 0, F.col("doc_id")).alias("wanted_id"))
+    Only their texts are read into multisets again; a multiset is found
+    by its name, so repeated doc_ids do no harm."""
+    names = nodes.select("node", "doc_id", "no_id", "bag").join(wanted, "node")
+    ids = names.select(F.when(F.col("no_id") == 0, F.col("doc_id")).alias("wanted_id"))
     source = docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("text"))
     bags = (source.join(ids, source["__id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
             .mapInArrow(_bags, "bag binary, elements binary, counts binary"))
-    bags = cut_lineage(bags.join(wanted.select("bag", "node"), "bag").drop("bag"), "near_bags")
+    return cut_lineage(bags.join(names.select("bag", "node"), "bag").drop("bag").dropDuplicates(["node"]), "near_bags")
+
+
+def verified_links(bags: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate pairs whose whole multisets reach the threshold."""
     side = lambda n: bags.select(F.col("node").alias(n), F.col("elements").alias(f"{n}_elements"),
                                  F.col("counts").alias(f"{n}_counts"))
     both = (pairs.join(side("a"), "a").join(side("b"), "b")
             .select("a", "b", "a_elements", "a_counts", "b_elements", "b_counts"))
-    return both.mapInArrow(_verify, "a long, b long").distinct()
+    return both.mapInArrow(_verify, "a long, b long")
+
+
+# ------------------------------------------------------------- what is left open
+def _open_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that may be similar to a node of another class in their part."""
+    for (bucket, salt, node, weight, root, sketch), at in _parts(batches, _sketch_columns):
+        keep = np.zeros(len(node), dtype=bool)
+        for s, e in zip(at[:-1], at[1:]):
+            if len(np.unique(root[s:e])) > 1:
+                for k in range(s, e):
+                    keep[k] = (_comparable(sketch[s:e], weight[s:e], k - s) & (root[s:e] != root[k])).any()
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, salt, node, root)],
+                                         ["bucket", "salt", "node", "root"])
+
+
+def part_similarities(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard of all pairs of a part, from shingles that two nodes share.
+
+    A shingle of count c is c unit columns, so minima become products."""
+    n = len(bags)
+    sizes = [int(c.sum()) for _, c in bags]
+    owner = np.repeat(np.arange(n), sizes)
+    unit = [np.repeat(e, c) | ((np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64) << np.uint64(48))
+            for e, c in bags]
+    _, column, held = np.unique(np.concatenate(unit), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((n, n))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMN_BLOCK):
+        s, e = np.searchsorted(column, [low, low + COLUMN_BLOCK])
+        x = np.zeros((n, COLUMN_BLOCK), dtype=np.float32)
+        x[owner[s:e], column[s:e] - low] = 1.0
+        both += x @ x.T
+    size = np.array(sizes, dtype=float)
+    return both / np.maximum(size[:, None] + size[None, :] - both, 1.0)
+
+
+def _bag_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+    return [*plain, np.array([None, *batch.column(4).to_pylist()], dtype=object)[1:],
+            np.array([None, *batch.column(5).to_pylist()], dtype=object)[1:]]
+
+
+def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different classes of a part, one for each pair of classes that meet."""
+    for (_, _, node, root, elements, counts), at in _parts(batches, _bag_columns):
+        found = []
+        for s, e in zip(at[:-1], at[1:]):
+            label = np.unique(root[s:e], return_inverse=True)[1]
+            if label.max() == 0:
+                continue
+            near = part_similarities([(np.frombuffer(x, np.uint64), np.frombuffer(c, "<u4").astype(np.int64))
+                                      for x, c in zip(elements[s:e], counts[s:e])]) >= THRESHOLD
+            for k in range(e - s):
+                for other in np.flatnonzero(near[k] & (label != label[k])):
+                    if label[other] != label[k]:
+                        found.append((node[s + k], node[s + other]))
+                        label[label == label[other]] = label[k]
+        yield _pair_batch(found)
+
+
+def remaining_links(parts: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between classes that the candidates have missed.
+
+    Where nodes of different classes may still be similar, their whole multisets
+    meet in the part and are all compared there; only links come out."""
+    known = parts.join(roots, "node", "left").select("bucket", "salt", "node", "weight",
+                                                      F.coalesce("root", "node").alias("root"), "sketch")
+    open_ = cut_lineage(in_parts(known).mapInArrow(_open_parts, "bucket long, salt long, node long, root long"), "near_open")
+    whole = open_.join(bags(open_.select("node").distinct()), "node")
+    return (in_parts(whole.select("bucket", "salt", "node", "root", "elements", "counts"))
+            .mapInArrow(_compare_parts, "a long, b long").distinct())
 
 
 # ---------------------------------------------------------------------- classes
@@ -365,9 +472,15 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
                         "near_nodes")
     nodes = cut_lineage(names.join(signed.where("weight > 0").select(F.col("row").alias("node"), "weight", "sketch", "bands"),
                                    "node"), "near_signed_nodes")
-    pairs = cut_lineage(candidate_pairs(nodes), "near_pairs")
-    links = cut_lineage(verified_links(docs, nodes, pairs, text), "near_links")
+    parts = cut_lineage(bucket_parts(nodes), "near_parts")
+    pairs = cut_lineage(candidate_pairs(parts), "near_pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
+    links = cut_lineage(verified_links(node_bags(docs, nodes, ends, text), pairs), "near_links")
     roots = components(links)
+    more = cut_lineage(remaining_links(parts, lambda wanted: node_bags(docs, nodes, wanted, text), roots), "near_more")
+    if not more.isEmpty():
+        links = links.union(more).distinct()
+        roots = components(links)
     degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
               .agg(F.count(F.lit(1)).alias("links")))
     member = (names.join(roots, "node", "left").join(degree, "node", "left")
