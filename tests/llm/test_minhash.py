@@ -163,3 +163,30 @@ def test_part_candidates_span(n):
             if a in seen or b in seen:
                 seen |= {int(a), int(b)}
     assert len(seen) == n
+
+
+def test_part_similarities_equal_pairwise():
+    rng = random.Random(3)
+    texts = ["", "a b c d e"] + [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 400))) for _ in range(30)]
+    texts += ["rep eat this line now " * 30 + texts[5], "rep eat this line now " * 11 + texts[5]]
+    e, c, t = mh.shingle_bags(*arrays(texts))
+    bags = [(e[t == i], c[t == i]) for i in range(len(texts))]
+    got = mh.part_similarities(bags)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            if i != j and texts[i] and texts[j]:
+                assert got[i, j] == pytest.approx(mh.bag_similarity(*bags[i], *bags[j]))
+
+
+def test_links_near_the_threshold_among_many_nearer_looking(spark):
+    """Many variants just below 0.8 of each other and a few just above: estimates
+    cannot tell them apart, the classes still equal brute force."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        v = list(words)
+        for at in rng.sample(range(2, 148, 5), rng.choice([1, 1, 2, 2, 2, 3, 4])):
+            v[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(v)))
+    check(spark, rows)
