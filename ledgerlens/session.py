@@ -113,6 +113,8 @@ def release(spark: SparkSession, path: str) -> bool:
     """Remove a scratch table; paths outside the scratch folders are refused."""
     if "/ledgerlens/" not in path:
         raise ValueError(f"not a scratch path: {path}")
+    for key in [k for k, p in _written.items() if p == path]:
+        del _written[key]
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -161,7 +163,11 @@ def written_once(spark: SparkSession, name: str, paths: Sequence[str], build: Ca
     files; built again only when they change."""
     key = (spark.sparkContext.applicationId, name, tuple(paths), input_state(spark, paths))
     if key not in _written:
-        _written[key] = build()
+        kept, _scopes[:] = list(_scopes), []          # it outlives any scope
+        try:
+            _written[key] = build()
+        finally:
+            _scopes[:] = kept
         for other in [k for k in _written if k[:3] == key[:3] and k != key]:
             del _written[other]
     return _written[key]

@@ -44,8 +44,11 @@ def test_written_once_follows_the_files(spark, tmp_path):
     first = ss.written_once(spark, "copy", [data], build)
     assert ss.written_once(spark, "copy", [data], build) == first and len(built) == 1
     spark.range(7).write.mode("append").parquet(data)
-    second = ss.written_once(spark, "copy", [data], build)
-    assert second != first and spark.read.parquet(second).count() == 12
+    with ss.scratch_scope(spark):
+        second = ss.written_once(spark, "copy", [data], build)
+    assert second != first and spark.read.parquet(second).count() == 12      # not the scope's
+    ss.release(spark, second)
+    assert ss.written_once(spark, "copy", [data], build) not in (first, second)
 
 
 def test_library_leaves_the_session_settings_alone(spark):
