@@ -17,16 +17,19 @@ per document is about ``SLOTS * ln(SLOTS)`` points and one per shingle.
 
 *Bands.*  Documents of equal multisets collapse into one node first.  Nodes
 that agree in all slots of a band share a bucket.  A bucket is one sorted run
-of a task; large buckets are split by a salt, with a few pilot nodes in every
+of a task; for the candidates large buckets are split by a salt, with a few pilot nodes in every
 part that hold the parts together.  Inside a part, signatures give estimates
 for all pairs without emitting them: the part's maximum spanning forest and each
 node's nearest neighbours are the candidates, a few per node.
 
 *Verification* compares whole shingle multisets; a link needs a similarity
 of ``THRESHOLD`` or more.  Nodes of different classes that may still be similar, by estimate,
-then meet in their part with their whole multisets, and all pairs of classes are
+then meet with their whole multisets, and all pairs of classes are
 compared inside the task; so a link is not lost because other neighbours looked
-nearer.  Links are contracted to classes by rounds of
+nearer.  A large bucket is compared there as blocks, every part with every part, each
+block a run of its own; so no two nodes of a bucket are kept apart.  Parts of one class
+are not compared with each other.  The work on a bucket of n nodes of many classes grows with n squared.
+Links are contracted to classes by rounds of
 hooking to the least neighbour and pointer jumping, on written tables.
 
 Recall: a pair of similarity 0.8 misses all bands with probability
@@ -57,6 +60,7 @@ SLOTS = BANDS * BAND_SLOTS
 ESTIMATE_SLACK = 0.18     # candidates are estimated at THRESHOLD - slack or more: 4 standard errors
 COLUMN_BLOCK = 4096       # shingles multiplied at once when a part is compared whole
 PART_NODES = 2048         # nodes of a bucket's part, about
+BLOCK_NODES = PART_NODES // 2    # nodes of either side of a block, about
 PILOTS = 16               # nodes of a split bucket that are in all parts, about
 NEAREST = 2               # neighbours per node beside the spanning forest
 HOT_SHARE = 512           # classes above 1/512 of the rows are joined by broadcast: at most 511
@@ -240,7 +244,7 @@ def _bounded(cols):
 
 
 def _sketch_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """bucket, salt, node, weight, [root,] sketch"""
+    """bucket, salt, node, weight, [root, part,] sketch"""
     plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
     return [*plain, np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint8).reshape(-1, SLOTS)]
 
@@ -251,10 +255,10 @@ def _pair_batch(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
 
-def _comparable(sketch, weight, k: int) -> np.ndarray:
-    """Which nodes of a part may be similar to node k, by estimate and size."""
-    same = (sketch == sketch[k]).sum(axis=1)
-    sizes = np.minimum(weight, weight[k]) >= THRESHOLD * np.maximum(weight, weight[k])
+def _comparable(sketch, weight, own_sketch, own_weight) -> np.ndarray:
+    """Which nodes may be similar to a node, by estimate and size."""
+    same = (sketch == own_sketch).sum(axis=1)
+    sizes = np.minimum(weight, own_weight) >= THRESHOLD * np.maximum(weight, own_weight)
     return sizes & (same >= (THRESHOLD - ESTIMATE_SLACK) * SLOTS)
 
 
@@ -281,7 +285,7 @@ def bucket_parts(nodes: DataFrame) -> DataFrame:
                .where("size > 1"))
     parts = F.ceil(F.col("size") / F.lit(PART_NODES)).cast("long")
     pilot = (parts > 1) & ((turn == F.col("lead")) | (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < PILOTS))
-    salts = F.when(pilot, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(2)), parts)))
+    salts = F.when(pilot, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "bucket"), parts)))
     return (rows.join(buckets, "bucket").select("bucket", F.explode(salts).alias("salt"), "node")
             .join(nodes.select("node", "weight", "sketch"), "node")
             .select("bucket", "salt", "node", "weight", "sketch"))
@@ -350,14 +354,57 @@ def verified_links(bags: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- what is left open
+def class_blocks(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, salt, node, weight, root, part, sketch: the blocks in which all nodes of
+    different classes of a bucket meet.
+
+    A bucket of up to PART_NODES nodes is one block.  A larger one is cut into parts, a
+    class of more than BLOCK_NODES nodes into parts of its own (group: its root), the
+    rest by hash (group -1); a block is a pair of parts, not both of one such class."""
+    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = known.select("node", "root", F.explode("bands").alias("bucket"))
+    large = F.col("held") > BLOCK_NODES
+    n_parts = lambda n: F.ceil(n / F.lit(BLOCK_NODES)).cast("long")
+    own = lambda group, n: F.transform(
+        F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")),
+        lambda salt: F.struct(group.cast("long").alias("group"), salt.alias("salt")))
+    split = F.col("size") > PART_NODES
+    parts = F.when(split, F.concat(
+        own(F.lit(-1), n_parts(F.col("rest"))),
+        F.flatten(F.transform("large", lambda c: own(c["root"], n_parts(c["held"])))))).otherwise(own(F.lit(-1), F.lit(1).cast("long")))
+    buckets = (rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"))
+               .groupBy("bucket").agg(F.sum("held").alias("size"), F.count(F.lit(1)).alias("classes"),
+                                      F.sum(F.when(large, 0).otherwise(F.col("held"))).alias("rest"),
+                                      F.collect_list(F.when(large, F.struct("root", "held"))).alias("large"))
+               .where("classes > 1").select("bucket", parts.alias("parts")))
+    count_of = lambda group: F.size(F.filter("parts", lambda p: p["group"] == group))
+    group = F.when(F.exists("parts", lambda p: p["group"] == F.col("root")), F.col("root")).otherwise(F.lit(-1).cast("long"))
+    salt = F.pmod(F.xxhash64("node", "bucket"), count_of(F.col("group")).cast("long"))
+    met = (rows.join(buckets, "bucket").withColumn("group", group)
+           .withColumn("part", F.array_position("parts", F.struct("group", salt.alias("salt"))).cast("long") - 1))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.size("parts").cast("long") - 1),
+                      lambda k: (F.col("group") == -1) | (F.element_at("parts", (k + 1).cast("int"))["group"] != F.col("group")))
+    block = F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")
+    return (met.select("bucket", "node", "part", others.alias("others"))
+            .join(known.select("node", "weight", "root", "sketch"), "node")
+            .select("bucket", "node", "weight", "root", "part", "sketch", F.explode("others").alias("other"))
+            .select("bucket", block.alias("salt"), "node", "weight", "root", "part", "sketch"))
+
+
 def _open_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes that may be similar to a node of another class in their part."""
-    for (bucket, salt, node, weight, root, sketch), at in _parts(batches, _sketch_columns):
+    """Nodes that may be similar to a node of another class in the other part of their block."""
+    for (bucket, salt, node, weight, root, part, sketch), at in _parts(batches, _sketch_columns):
         keep = np.zeros(len(node), dtype=bool)
         for s, e in zip(at[:-1], at[1:]):
             if len(np.unique(root[s:e])) > 1:
-                for k in range(s, e):
-                    keep[k] = (_comparable(sketch[s:e], weight[s:e], k - s) & (root[s:e] != root[k])).any()
+                one = s + np.flatnonzero(part[s:e] == part[s])
+                other = s + np.flatnonzero(part[s:e] != part[s])
+                other = other if len(other) else one                     # a part with itself
+                far, far_weight, far_root = sketch[other], weight[other], root[other]
+                for k in one:
+                    hit = other[_comparable(far, far_weight, sketch[k], weight[k]) & (far_root != root[k])]
+                    if len(hit):
+                        keep[k] = keep[hit] = True
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, salt, node, root)],
                                          ["bucket", "salt", "node", "root"])
 
@@ -410,14 +457,12 @@ def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _pair_batch(found)
 
 
-def remaining_links(parts: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame:
+def remaining_links(nodes: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between classes that the candidates have missed.
 
     Where nodes of different classes may still be similar, their whole multisets
-    meet in the part and are all compared there; only links come out."""
-    known = parts.join(roots, "node", "left").select("bucket", "salt", "node", "weight",
-                                                      F.coalesce("root", "node").alias("root"), "sketch")
-    open_ = cut_lineage(in_parts(known).mapInArrow(_open_parts, "bucket long, salt long, node long, root long"), "near_open")
+    meet in the block and are all compared there; only links come out."""
+    open_ = cut_lineage(in_parts(class_blocks(nodes, roots)).mapInArrow(_open_parts, "bucket long, salt long, node long, root long"), "near_open")
     whole = open_.join(bags(open_.select("node").distinct()), "node")
     return (in_parts(whole.select("bucket", "salt", "node", "root", "elements", "counts"))
             .mapInArrow(_compare_parts, "a long, b long").distinct())
@@ -477,7 +522,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
     links = cut_lineage(verified_links(node_bags(docs, nodes, ends, text), pairs), "near_links")
     roots = components(links)
-    more = cut_lineage(remaining_links(parts, lambda wanted: node_bags(docs, nodes, wanted, text), roots), "near_more")
+    more = cut_lineage(remaining_links(nodes, lambda wanted: node_bags(docs, nodes, wanted, text), roots), "near_more")
     if not more.isEmpty():
         links = links.union(more).distinct()
         roots = components(links)

@@ -190,3 +190,43 @@ def test_links_near_the_threshold_among_many_nearer_looking(spark):
             v[at] = f"n{i}x{at}"
         rows.append((i, " ".join(v)))
     check(spark, rows)
+
+
+@pytest.mark.parametrize("pairs, part_nodes", [(1500, None), (300, 32)])
+def test_pairs_among_many_on_one_template(spark, monkeypatch, pairs, part_nodes):
+    """Over 2,048 nodes of many classes in one bucket: texts on one template just below
+    0.8 of each other, of which every two are just above; a pair may share hot buckets only."""
+    if part_nodes:
+        monkeypatch.setattr(mh, "PART_NODES", part_nodes)
+        monkeypatch.setattr(mh, "BLOCK_NODES", part_nodes // 2, raising=False)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(pairs):
+        shared = [f"s{i}x{k}" for k in range(2)]
+        rows += [(2 * i + side, " ".join(template + shared + [f"u{i}x{side}x{k}" for k in range(11)])) for side in range(2)]
+    bags = [bag(t) for _, t in rows[:4]]
+    assert similarity(bags[0], bags[1]) >= 0.8 > similarity(bags[0], bags[2])
+    out = mh.op1_query(docs_frame(spark, rows)).collect()
+    assert {r.doc_id: (r.class_id, r.class_size) for r in out} == {i: (i - i % 2, 2) for i, _ in rows}
+
+
+def test_blocks_let_all_classes_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(mh, "PART_NODES", 20)
+    monkeypatch.setattr(mh, "BLOCK_NODES", 10)
+    sketch = bytearray(mh.SLOTS)
+    root = {i: 0 if i < 35 else 40 if 40 <= i < 52 else i for i in range(90)}      # two large classes, many small
+    nodes = spark.createDataFrame([(i, 9, sketch, [7, 1000 + i // 9]) for i in range(90)],
+                                  "node long, weight long, sketch binary, bands array<long>")
+    roots = spark.createDataFrame([(i, r) for i, r in root.items() if r != i or i in (0, 40)], "node long, root long")
+    blocks = {}
+    for r in mh.class_blocks(nodes, roots).collect():
+        assert r.root == root[r.node]
+        blocks.setdefault((r.bucket, r.salt), []).append((r.node, r.part))
+    met = Counter()
+    for (bucket, salt), held in blocks.items():
+        diagonal = salt >> 31 == salt & (1 << 31) - 1
+        met.update((bucket, a, b) for a, pa_ in held for b, pb in held if a < b and (diagonal or pa_ != pb))
+    hot = {(a, b) for bucket, a, b in met if bucket == 7}
+    assert hot >= {(a, b) for a in range(90) for b in range(a + 1, 90) if root[a] != root[b]}
+    assert not any(root[a] == root[b] in (0, 40) for a, b in hot) and set(met.values()) == {1}
+    assert all(bucket == 7 or len({root[n] for n, _ in held}) > 1 for (bucket, _), held in blocks.items())
