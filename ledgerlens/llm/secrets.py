@@ -6,13 +6,14 @@ assignments of six or more characters to a secret-like name, access keys, long h
 *Novelty.*  A candidate is a token of ``MIN_TOKEN`` or more characters of the base-64
 alphabet with letters and digits, near a sensitive word.  Its novelty is what it adds to the
 size of its compressed surroundings: zstandard, primed with a dictionary of
-identifiers (fixed ones, and the most frequent words of a sample of the corpus),
+identifiers (fixed ones, and the most frequent words of all documents),
 compresses the text around it without and with the token.  Words, identifiers and repeats
 cost few bytes; a random token costs close to the entropy of its alphabet.  A token
 whose marginal bytes reach ``NOVELTY`` of that entropy is reported as ``novel``
 if it touches no base span.  Base spans always stay.
 
-The dictionary has at most ``DICTIONARY_BYTES``; finding spans shuffles nothing.
+The dictionary has at most ``DICTIONARY_BYTES``; finding spans shuffles nothing, counting words
+shuffles one count per word and task (or per ``COUNTED_WORDS`` words).
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive;
 repeated rows get equal results; an empty table gives no rows; other columns are ignored.
@@ -64,7 +65,7 @@ MIN_TOKEN = 16
 CONTEXT = 48             # characters before a token in which a sensitive word counts
 AROUND = 256             # characters on either side that the token is measured against
 NOVELTY = 0.8            # share of the alphabet's entropy
-SAMPLE_DOCS = 1000
+COUNTED_WORDS = 200_000  # words that a task counts before it hands the counts on
 DICTIONARY_WORDS, DICTIONARY_BYTES = 4000, 48_000
 LEVEL = 6
 
@@ -145,19 +146,22 @@ def span_string(spans) -> str:
 
 # ------------------------------------------------------------------- operator
 def learn_dictionary(docs: DataFrame, text: str = "text") -> bytes:
-    """Identifiers and the most frequent words of a sample, the commonest last."""
-    chosen = docs.where("doc_id is not null").select("doc_id").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    """Identifiers and the most frequent words of all documents, the commonest last."""
+    def counted(words):
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
+                                          ["word", "n"])
 
     def count(batches):
         words = Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 words.update(re.findall(r"[A-Za-z_]{3,24}", value or ""))
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
-                                         ["word", "n"])
+                if len(words) >= COUNTED_WORDS:
+                    yield counted(words)
+                    words = Counter()
+        yield counted(words)
 
-    top = (docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text")
+    top = (docs.select(F.col(text).alias("text"))
            .mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
            .where("n > 1").orderBy(F.col("n").desc(), "word").limit(DICTIONARY_WORDS).collect())
     learned = " ".join(r.word for r in reversed(top)).encode()[-DICTIONARY_BYTES + len(IDENTIFIERS) + 1:]

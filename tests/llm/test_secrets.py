@@ -82,3 +82,12 @@ def test_edges(spark):
     docs = docs_frame(spark, [(1, None), (1, None), (None, "token=abcdef"), (2, "x " * 50_000 + "token=abcdef")]) \
         .withColumnRenamed("lang", "spans").withColumnRenamed("source", "word")
     assert sorted(r.spans for r in sec.op8_query(docs).collect()) == ["", "", "assign:0:12", "assign:100000:100012"]
+
+
+def test_dictionary_counts_all_documents(spark, monkeypatch):
+    rows = [(i, "common words here") for i in range(3000)] + [(None, "nameless nameless")] + \
+        [(5000 + i, "quiteRareIdentifier") for i in range(2)]
+    words = sec.learn_dictionary(docs_frame(spark, rows)).decode().split()
+    assert {"quiteRareIdentifier", "nameless"} <= set(words)
+    monkeypatch.setattr(sec, "COUNTED_WORDS", 2)
+    assert sec.learn_dictionary(docs_frame(spark, rows)).decode().split() == words
