@@ -10,7 +10,9 @@ Training needs no hand labels: on at most ``SAMPLE_PAGES`` pages, blocks are mar
 says of itself (``article`` and ``main`` against ``nav``, ``footer``, ``aside``, forms, and hint words like ``ad`` or
 ``comments``).  Path or words are blanked at random, so that the labeller also reads form and
 context, and pages get blocks of other pages inserted in side containers, so that
-such containers are known even where the sample has none.
+such containers are known even where the sample has none.  The sample is drawn, in hash order, from all pages of the
+table that can be trained on: those of at most ``TRAIN_CHARS`` characters with a block marked main.  If there
+is none, nothing is learned: all blocks outside side markup (the same tags and hint words) are main text.
 
 Only training pages reach the driver.  Labelling is one pass that shuffles nothing; pages of a
 batch run through the network together, grouped by length.
@@ -65,6 +67,18 @@ def marked_main(path: tuple[str, ...]) -> bool:
     return inside
 
 
+def marked_side(path: tuple[str, ...]) -> bool:
+    """Whether a block lies in side markup, by tags or hint words."""
+    return any(part in SIDE_TAGS or part[0] == "." and part[1:] in SIDE_HINTS for part in path)
+
+
+class MarkupLabeller:
+    """All blocks outside side markup; for tables without a page to train on."""
+
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        return [np.array([not marked_side(b.path) for b in p], dtype=bool) for p in pages]
+
+
 # -------------------------------------------------------------------- vectors
 _path_slots: dict[tuple[str, ...], np.ndarray] = {}
 
@@ -254,18 +268,25 @@ def training_examples(pages: list[list[Block]], seed: int = SEED):
 
 
 # ------------------------------------------------------------------- operator
-def fit_labeller(pages: DataFrame, column: str = "html") -> BlockLabeller:
-    """Train on at most SAMPLE_PAGES pages, in hash order."""
-    ids = pages.where("page_id is not null").select("page_id").distinct() \
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    rows = (pages.select("page_id", F.col(column).alias("html")).join(F.broadcast(ids), "page_id").where("html is not null")
-            .select("page_id", "html", F.length("html").alias("n")).orderBy("page_id", "n", "html").limit(SAMPLE_PAGES))
-    sample = [blocks(r.html) for r in rows.where(f"n <= {TRAIN_CHARS}").collect()]
-    examples = training_examples(sample)
-    return BlockLabeller().fit(examples) if examples else BlockLabeller()
-
-
-def extract(pages: DataFrame, labeller: BlockLabeller, column: str = "html") -> DataFrame:
+def _trainable(batches):
+    """The prints of pages with a block marked main."""
+    for batch in text_slices(batches, column="html"):
+        keep = [any(marked_main(b.path) for b in blocks(v)) for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["print"])
+
+
+def fit_labeller(pages: DataFrame, column: str = "html") -> BlockLabeller | MarkupLabeller:
+    """Train on at most SAMPLE_PAGES of all pages that can be trained on, in hash order."""
+    tags = "|".join(sorted(MAIN_TAGS))
+    rows = (pages.select(F.xxhash64("page_id", column).alias("print"), F.col(column).alias("html"))
+            .where(F.col("html").rlike(f"(?i)<({tags})") & (F.length("html") <= TRAIN_CHARS)))
+    prints = rows.mapInArrow(_trainable, "print long").distinct().orderBy("print").limit(SAMPLE_PAGES)
+    sample = rows.join(F.broadcast(prints), "print").dropDuplicates(["print"]).orderBy("print").collect()
+    examples = training_examples([blocks(r.html) for r in sample])
+    return BlockLabeller().fit(examples) if examples else MarkupLabeller()
+
+
+def extract(pages: DataFrame, labeller: BlockLabeller | MarkupLabeller, column: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     def run(batches):
         for batch in text_slices(batches, column="html"):

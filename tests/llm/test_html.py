@@ -115,3 +115,24 @@ def test_edges(spark, labeller):
     assert len(out) == 5
     assert all(r.text == "" and r.n_chars == 0 for r in out if r.page_id in (1, None))
     assert [r.n_chars for r in out if r.page_id == 3][0] > 0
+
+
+PAGE_SCHEMA = "page_id long, url string, html string, text string, n_chars long"
+
+
+def test_pages_without_main_markup_keep_blocks_outside_side_markup(spark):
+    page = "<body><div class='top-nav'><p>menu</p></div><div><h1>T{0}</h1><p>Words of {0}.</p></div><footer>end</footer></body>"
+    long = "<article><p>Long {0}.</p></article><nav>menu</nav>" + "<!-- " + "x" * hx.TRAIN_CHARS + " -->"
+    rows = [(i, "u", (long if i % 2 else page).format(i), "t", 1) for i in range(40)]
+    out = hx.op9_query(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"Long {i}." if i % 2 else f"T{i}\nWords of {i}." for i in range(40)}
+
+
+def test_few_marked_pages_are_found_in_the_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(hx, "SAMPLE_PAGES", 5)
+    rows = [(i, "u", f"<div><p>plain {i}</p></div>", "t", 1) for i in range(300)]
+    rows += [(None, "u", f"<MAIN><p>Text {i}.</p></MAIN><nav>menu</nav>", "t", 1) for i in range(3)]
+    drawn = []
+    monkeypatch.setattr(hx, "training_examples", lambda pages: drawn.extend(pages) or [])
+    hx.fit_labeller(spark.createDataFrame(rows, PAGE_SCHEMA))
+    assert sorted(p[0].text for p in drawn) == ["Text 0.", "Text 1.", "Text 2."]
