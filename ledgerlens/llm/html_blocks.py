@@ -2,7 +2,8 @@
 
 One scan over the tags.  Block-level tags end a block, inline tags and ``br`` do
 not (``br`` reads as white space).  Comments, scripts, styles and other raw elements hold no
-blocks.  Unclosed paragraphs and list items are closed by the next one; an end tag
+blocks; one that closes itself (``<svg/>``) or has no end tag holds nothing, but an open script or
+style goes to the end of the page.  Formulas are inline text.  Unclosed paragraphs and list items are closed by the next one; an end tag
 without a start is ignored.
 """
 
@@ -15,10 +16,14 @@ from typing import NamedTuple
 from .common import SPACE_PATTERN
 
 # HTML element classes.
-RAW = frozenset("script style noscript template iframe object svg math title textarea select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg title textarea select canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
+                   "msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction mspace semantics "
+                   "annotation annotation-xml".split())
+OPEN_RAW = frozenset(("script", "style"))      # without an end tag they go to the end of the page
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -40,6 +45,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
+    endless: set[str] = set()                              # raw elements that no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -81,8 +87,14 @@ def blocks(page: str | None) -> list[Block]:
                     del stack[k:]
                     break
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name == "svg" and attributes.endswith("/"):
+                continue
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+                at = len(page) if name in OPEN_RAW else at
         elif name not in VOID:
             if name in SELF_CLOSING and stack and stack[-1][0] == name:
                 stack.pop()

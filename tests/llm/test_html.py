@@ -136,3 +136,11 @@ def test_few_marked_pages_are_found_in_the_whole_table(spark, monkeypatch):
     monkeypatch.setattr(hx, "training_examples", lambda pages: drawn.extend(pages) or [])
     hx.fit_labeller(spark.createDataFrame(rows, PAGE_SCHEMA))
     assert sorted(p[0].text for p in drawn) == ["Text 0.", "Text 1.", "Text 2."]
+
+
+def test_raw_elements_swallow_no_text():
+    assert texts("<p>a</p><svg width='1' /><p>b</p><svg><text>no</text></svg><p>c") == ["a", "b", "c"]
+    assert texts("<p>a <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> b</p><math/><p>c") == ["a x=1 b", "c"]
+    assert texts("<p>a</p><iframe src=x><p>b</p><canvas><p>c") == ["a", "b", "c"]
+    assert texts("<p>a</p><script>if (1) { <p>b") == ["a"]
+    assert len(texts("<iframe><p>x" * 20_000)) == 20_000
