@@ -164,14 +164,17 @@ def digest_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_index(rows: DataFrame, n_rows: int) -> DataFrame:
-    """The perfect-hash index of the distinct digests of ``rows``, one row per shard."""
+    """The perfect-hash index of the distinct digests of ``rows``, one row per shard.
+
+    ``n_rows`` sizes the shards: the larger of the rows of history and increment, and
+    the same number for ``resolve``."""
     shards = max(1, -(-n_rows // SHARD_KEYS))
     return cut_lineage(_groups(rows, shards).groupBy("shard").applyInPandas(_index_shard, INDEX_SCHEMA), "digest_index")
 
 
-def resolve(index: DataFrame, incoming: DataFrame, n_history: int) -> DataFrame:
+def resolve(index: DataFrame, incoming: DataFrame, n_rows: int) -> DataFrame:
     """Every group of history and increment: winner's locator and size."""
-    shards = max(1, -(-n_history // SHARD_KEYS))
+    shards = max(1, -(-n_rows // SHARD_KEYS))
     new = _groups(incoming, shards)
     return index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_resolve_shard, RESOLVED_SCHEMA)
 
@@ -185,7 +188,8 @@ def dedup_rows(rows: DataFrame) -> DataFrame:
     old = (F.col("no_id") == 0) & (F.col("doc_id") <= F.lit(bound if bound is not None else 0))
     history, incoming = rows.where(old), rows.where(~old)
     n_history = history.count()
-    groups = cut_lineage(resolve(build_index(history, n_history), incoming, n_history), "digest_groups")
+    larger = max(n_history, n - n_history)
+    groups = cut_lineage(resolve(build_index(history, larger), incoming, larger), "digest_groups")
     # Copies of a hot text stay where they are: few groups can be that large.
     is_hot = F.col("group_size") * HOT_SHARE > F.lit(n)
     marked = rows.join(F.broadcast(groups.where(is_hot)), "digest", "left")

@@ -73,3 +73,14 @@ def test_matches_sql(spark):
     from ledgerlens.llm.registry import QUERIES, SQL
     r = compare(spark, duck(SF_SMALL), "op10_exact_dedup", SF_SMALL, QUERIES, SQL)
     assert r["status"] == "exact", r
+
+
+def test_shards_fit_an_increment_larger_than_the_history(spark, monkeypatch):
+    import ledgerlens.llm.exact_dedup as ed
+    monkeypatch.setattr(ed, "SHARD_KEYS", 20)
+    shards, groups = [], ed._groups
+    monkeypatch.setattr(ed, "_groups", lambda rows, n: shards.append(n) or groups(rows, n))
+    rows = [(None, f"text {i % 100}") for i in range(200)] + [(1, "text 5")]
+    out = ed.exact_dedup(docs_frame(spark, rows)).collect()
+    assert shards == [10, 10]
+    assert sorted(r.group_size for r in out) == [2] * 198 + [3] * 3 and sum(r.kept for r in out) == 100
