@@ -9,7 +9,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets, token_files, toxicity
+from . import (exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets, token_files, topk_search,
+               toxicity)
 from .common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,10 @@ def op9_html_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.op9_query(table(spark, sf_dir, "pages"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.op11_query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_mix_sources": op2_mix_sources,
@@ -71,9 +76,11 @@ QUERIES: dict[str, Query] = {
     "op5_pii_spans": op5_pii_spans,
     "op8_secret_novelty": op8_secret_novelty,
     "op9_html_recurrent": op9_html_recurrent,
+    "op11_topk_search": op11_topk_search,
 }
 
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_topk_search": topk_search.OP11_SQL,
 }
