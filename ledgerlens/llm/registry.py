@@ -9,8 +9,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets, token_files, topk_search,
-               toxicity)
+from . import (conversation_repair, exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets,
+               token_files, topk_search, toxicity)
 from .common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op11_query(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op12_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_mix_sources": op2_mix_sources,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Query] = {
     "op8_secret_novelty": op8_secret_novelty,
     "op9_html_recurrent": op9_html_recurrent,
     "op11_topk_search": op11_topk_search,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_topk_search": topk_search.OP11_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
 }
