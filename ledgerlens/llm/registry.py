@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (conversation_repair, exact_dedup, html_extract, minhash, mixing, packing, pii, quality, secrets,
-               token_files, topk_search, toxicity)
+               token_alignment, token_files, topk_search, toxicity)
 from .common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.op12_query(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.op13_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_mix_sources": op2_mix_sources,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_html_recurrent": op9_html_recurrent,
     "op11_topk_search": op11_topk_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {

@@ -1,0 +1,127 @@
+import hashlib
+import random
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pytest
+from llm_cases import docs_frame, SF_SMALL, small_docs  # noqa: F401
+
+import ledgerlens.llm.token_alignment as ta
+from ledgerlens.llm.tokens import _byte_letters, default_tokenizer_path
+
+ODD = [None, "", " ", "  a", "a  b\n\n c", "a▁b", "▁", "<|endoftext|> hi <|endoftext|>", "<s>x</s> <0x41> <unk>",
+       "日本語 テキスト", "😀 😀😀  x", "é é ﻿　", "\x00\x01", "12 345\r\n67", "don't we'll", "\U0010ffff",
+       "word " * 3000, "z" * 20000, "\t" * 500 + "end", "the end the end the end"]
+
+
+@lru_cache(1)
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(default_tokenizer_path())
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=ta.default_piece_path())
+
+
+def tokens_of(text):
+    """[(id, end byte)] of A and B by the libraries, or two empty lists."""
+    if not text:
+        return [], []
+    a, b = libraries()
+    byte_of = {c: n for n, c in _byte_letters().items()}
+    a_tokens = [(i, bytes(byte_of[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+    b_tokens = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else
+                 b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
+    want = (" " + text).encode()
+    if b"".join(t for _, t in a_tokens) != want or b"".join(t for _, t in b_tokens) != want:
+        return [], []
+
+    def ended(tokens):
+        out, at = [], 0
+        for i, t in tokens:
+            at += len(t)
+            out.append((i, at))
+        return out
+    return ended(a_tokens), ended(b_tokens)
+
+
+def brute(rows):
+    sides = [tokens_of(t) for _, t in rows]
+    links = [[(a, b) for b, e in bs for a in [dict((end, i) for i, end in as_).get(e)] if a is not None] for as_, bs in sides]
+    count = Counter(p for found in links for p in found)
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    out = []
+    for (doc_id, _), (as_, bs), found in zip(rows, sides, links):
+        shared = sorted({e for _, e in as_} & {e for _, e in bs})
+        text, low = [], 0
+        for high in shared:
+            text.append("|".join(",".join(str(i) for i, e in side if low < e <= high) for side in (as_, bs)))
+            low = high
+        digest = hashlib.sha256(";".join(text).encode()).hexdigest() if as_ else ""
+        out.append((doc_id, len(as_), len(bs), len(shared), len(found), sum(count[p] == best[p[1]] for p in found),
+                    sum(count[p] for p in found), digest))
+    return sorted(out, key=str)
+
+
+def run(spark, rows, parts=3):
+    return sorted((tuple(r) for r in ta.op13_query(docs_frame(spark, rows).repartition(parts)).collect()), key=str)
+
+
+def test_ids_equal_library(small_docs):
+    tool, (a, _) = ta.aligner(default_tokenizer_path(), ta.default_piece_path()), libraries()
+    rng = random.Random(1)
+    fuzz = ["".join(rng.choice("ab zé  \n\t'’s日🙂1٣.-_<|endoftext|>") for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    for text in [*filter(None, ODD), *fuzz, *(r[1] for r in small_docs if r[1])]:
+        assert tool.a.encode_ordinary(" " + text) == a.encode(" " + text, add_special_tokens=False).ids, text[:60]
+
+
+def test_odd_texts(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (3, "twice"), (3, "twice")]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert run(spark, []) == []
+    assert run(spark, [(1, None), (2, "")]) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a text", 5, 6, "g")], "doc_id long, text string, chunk int, n int, groups string")
+    assert [tuple(r) for r in ta.op13_query(df).collect()] == brute([(1, "a text")])
+
+
+def test_many_chunks_shards_and_levels(spark, small_docs, monkeypatch):
+    """Chunks, shards and fan-in small: several tree levels; a third of the rows are copies."""
+    for name, value in (("CHUNK_BYTES", 2000), ("SHARD_KEYS", 100), ("FAN_IN", 2)):
+        monkeypatch.setattr(ta, name, value)
+    rows = [(i, "the same text again" if i % 3 == 0 else r[1][:1500]) for i, r in enumerate(small_docs[:60])]
+    assert run(spark, rows, 4) == brute(rows)
+
+
+def test_query_and_pair_table(spark, small_docs):
+    from ledgerlens.llm.registry import QUERIES, table
+    rows = [r[:2] for r in small_docs]
+    want = brute(rows)
+    got = QUERIES["op13_token_alignment"](spark, SF_SMALL)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    found = ta.Alignment(table(spark, SF_SMALL, "documents")).pair_table().collect()
+    assert sum(r.n for r in found) == sum(w[4] for w in want)
+    assert len({(r.a_id, r.b_id) for r in found}) == len(found)
+
+
+def test_listed_keys_and_strangers():
+    """Keys that no level of the hash parts are found too; keys outside are not."""
+    keys = np.arange(1000, dtype=np.int64) << 20
+    row = ta._index_shard((0,), pd.DataFrame({"pair": keys})).iloc[0]
+    shard = type("S", (), row.to_dict())
+    slots = ta.find_slots(shard, keys)
+    assert sorted(slots) == list(range(1000))
+    assert (ta.find_slots(shard, keys + 1) == -1).all()
+    # all keys in the list: no levels at all
+    bare = type("S", (), {"sizes": [], "bits": b"", "listed": 1000, "keys": keys.tobytes()})
+    assert (ta.find_slots(bare, keys) == np.arange(1000)).all() and (ta.find_slots(bare, keys + 1) == -1).all()
