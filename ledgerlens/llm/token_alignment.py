@@ -4,6 +4,8 @@ Tokenizer A (byte-level BPE) reads a space and the text, tokenizer B (pieces wit
 byte fallback) adds that space itself.  Byte offsets where tokens of both end cut the
 two sequences into groups; the A and B tokens that end together are linked.
 
+* **Words.** Tokens of neither side cross a single space, so a word is aligned once per
+  worker and its later occurrences are lookups (see ``Aligner``).
 * **Chunks.** Documents are written once, numbered in chunks of about
   ``CHUNK_BYTES``; a chunk is what both passes work on.
 * **First pass.** A chunk's links become (id pair, number of links).
@@ -33,6 +35,7 @@ name.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,6 +43,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +52,19 @@ from .common import mix64, random64, text_or_empty, text_slices, utf8_buffers
 from .exact_dedup import build_perfect_hash, perfect_slots
 from .tokens import _byte_letters, default_tokenizer_path
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+TABLE_WORDS = 200_000       # words kept by a Python worker,
+TABLE_LETTERS = 4 << 20     # and their letters in all
 SHARD_KEYS = 1 << 16        # distinct pairs of a shard, about
 FAN_IN = 16                 # chunks, then vectors, summed at once
 MAX_TASKS = 100_000
 PAIR_SHIFT = 32             # pair = B id << 32 | A id
 
 _KEY_SEEDS = random64(4, 13)
+# Cuts are single spaces between characters that are no white space.
+_WIDE = re.compile(r"\s\s")
+_CUTS = re.compile(r"(?<=\S) (?=\S)")
+_EDGE = re.compile(r"^\s|\s\Z")
 
 
 def default_piece_path() -> str:
@@ -70,32 +80,90 @@ def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length
 
 
-def _joined(ids: np.ndarray, table: tuple) -> np.ndarray:
-    """The tokens' bytes, one after the other."""
-    flat, start, length = table
-    n = length[ids]
-    end = np.cumsum(n)
-    return flat[np.repeat(start[ids] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for every run, one after the other."""
+    end = np.cumsum(length)
+    return np.repeat(start - (end - length), length) + np.arange(end[-1] if len(end) else 0)
 
 
-class Aligned:
-    """Tokens and links of a run of documents.
+def _bounds(n) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(n))).astype(np.int64)
+
 
-    ``a``, ``b``: ids of all documents in order; ``n_a``, ``n_b``, ``n_groups`` per
-    document; ``a_ends``, ``b_ends``: whether the token ends a group."""
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values between neighbouring bounds."""
+    return np.diff(_bounds(values)[bounds])
 
-    def __init__(self, a, b, n_a, n_b, a_ends, b_ends):
-        self.a, self.b, self.n_a, self.n_b, self.a_ends, self.b_ends = a, b, n_a, n_b, a_ends, b_ends
-        done = np.concatenate(([0], np.cumsum(a_ends)))
-        self.n_groups = np.diff(done[np.concatenate(([0], np.cumsum(n_a)))])
 
-    def pairs(self) -> np.ndarray:
-        """The linked id pairs, in order."""
-        return self.b[self.b_ends] << PAIR_SHIFT | self.a[self.a_ends]
+def split_words(texts: list[str]) -> pa.ListArray:
+    """The words of each text, without the space before each: texts are cut at
+    single spaces between characters that are no white space."""
+    wide = [i for i, t in enumerate(texts) if not t or _WIDE.search(" " + t + " ")]
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    if not wide:
+        return lists
+    apart = pa.array([_CUTS.split(texts[i]) if texts[i] else [] for i in wide], lists.type)
+    order = np.arange(len(texts))
+    order[wide] = len(texts) + np.arange(len(wide))
+    return pa.concat_arrays([lists, apart]).take(pa.array(order))
+
+
+class Aligned:
+    """A run of documents as the numbers of their words.
+
+    Sums over a document's words are exact, as no token crosses a word's end."""
+
+    def __init__(self, tool: "Aligner", texts: list[str]):
+        self.tool = tool
+        lists = split_words(texts)
+        n_words = np.asarray(lists.value_lengths()).astype(np.int64)
+        every = lists.flatten().dictionary_encode()
+        words = every.dictionary.to_pylist()
+        tool.learn(words)
+        numbers = np.fromiter(map(tool.words.__getitem__, words), np.int64, len(words))
+        self.word = numbers[every.indices.to_numpy()]
+        # a document with a word that does not round-trip has no tokens
+        good = _sums(tool.wrong[self.word], _bounds(n_words)) == 0
+        self.word = self.word[np.repeat(good, n_words)]
+        self.bounds = _bounds(np.where(good, n_words, 0))
+        self.distinct, self.place, self.times = np.unique(self.word, return_inverse=True, return_counts=True)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(A tokens, B tokens, groups) per document."""
+        return tuple(_sums(kept[self.word], self.bounds) for kept in (self.tool.n_a, self.tool.n_b, self.tool.n_groups))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(linked id pairs, the index of the distinct word that each is of)."""
+        n = self.tool.n_groups[self.distinct]
+        first = _bounds(self.tool.n_groups)[self.distinct]
+        return self.tool.pairs[_runs(first, n)], np.repeat(np.arange(len(n)), n)
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct linked pairs and how many links hold each."""
+        pairs, owner = self.pairs()
+        return _merge_counts([(pairs, self.times[owner])])
+
+    def link_sums(self, value: np.ndarray) -> np.ndarray:
+        """Sum per document of a value per entry of ``pairs``."""
+        per_word = _sums(value, _bounds(self.tool.n_groups[self.distinct]))
+        return _sums(per_word[self.place], self.bounds)
+
+    def groups(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` per document (the tool's words must be written)."""
+        written, numbers, at = self.tool.written.__getitem__, self.word.tolist(), self.bounds.tolist()
+        return [";".join(map(written, numbers[lo:hi])) for lo, hi in zip(at, at[1:])]
 
 
 class Aligner:
-    def __init__(self, path_a: str, path_b: str):
+    """Both tokenizers, and a table of the words aligned so far.
+
+    Neither tokenizer's tokens cross a single space between two other characters:
+    A's pre-tokens end before it, and no piece of B holds a space after
+    something else.  So a text is cut there, a word (with the space before it) is
+    aligned once, and its later occurrences are lookups.  The table is emptied when
+    it is full."""
+
+    def __init__(self, path_a: str, path_b: str, writing: bool = True):
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -108,65 +176,95 @@ class Aligner:
         for token, i in ranks.items():
             a_bytes[i] = token
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
-                   else self.b.id_to_piece(i).replace("▁", " ").encode("utf-8") for i in range(self.b.get_piece_size())]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError(f"{path_b}: pieces that run over a space cannot be aligned word by word")
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode("utf-8")
+                   for i, p in enumerate(pieces)]
         self.a_table, self.b_table = _flat(a_bytes), _flat(b_bytes)
-        width = max(len(a_bytes), len(b_bytes))
-        self.width = width
-        # text of an id inside and at the end of a group's A or B run
-        self.written = [f"{i}{mark}" for mark in (",", "|", ",", ";") for i in range(width)]
-
-    def align(self, texts: list[str]) -> Aligned:
-        a_lists = [self.a.encode_ordinary(" " + t) if t else [] for t in texts]
-        b_lists = self.b.encode(texts, num_threads=1) if texts else []
-        b_lists = [b if t else [] for b, t in zip(b_lists, texts)]
-        raw = [(" " + t).encode("utf-8") if t else b"" for t in texts]
-        size = np.array([len(r) for r in raw], dtype=np.int64)
-
+        self.width = max(len(a_bytes), len(b_bytes))
+        # an id in writing, inside and at the end of a group's A and B run
+        self.marked = [f"{i}{mark}" for mark in (",", "|", ",", ";") for i in range(self.width)] if writing else []
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words: dict[str, int] = {}
+        self.letters, self.written = 0, []
+        self.n_a, self.n_b, self.n_groups, self.wrong, self.pairs = (np.zeros(0, np.int64) for _ in range(5))
+
+    def learn(self, words) -> None:
+        """Have all of ``words`` in the table."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > TABLE_WORDS or self.letters > TABLE_LETTERS:
+            self._empty()
+            new = list(words)
+        if not new:
+            return
+        n_a, n_b, n_groups, wrong, pairs, written = self.align(new)
+        at = len(self.n_a)
+        self.words.update(zip(new, range(at, at + len(new))))
+        self.letters += sum(map(len, new))
+        self.written += written
+        self.n_a, self.n_b = np.concatenate((self.n_a, n_a)), np.concatenate((self.n_b, n_b))
+        self.n_groups, self.wrong = np.concatenate((self.n_groups, n_groups)), np.concatenate((self.wrong, wrong))
+        self.pairs = np.concatenate((self.pairs, pairs))
+
+    def _tokens(self, words: list[str], size: np.ndarray) -> tuple:
+        """(A ids, tokens per word, B ids, tokens per word).
+
+        A reads plain words as one text, whose tokens end where the words end; should
+        they not, or for words with other white space at an end, each on its own."""
         def packed(lists):
             n = np.array([len(x) for x in lists], dtype=np.int64)
             return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
 
-        (a, n_a), (b, n_b) = packed(a_lists), packed(b_lists)
-
-        def ends(ids, n, table):
-            return np.concatenate(([0], np.cumsum(table[2][ids])))[np.concatenate(([0], np.cumsum(n)))]
-
-        good = (np.diff(ends(a, n_a, self.a_table)) == size) & (np.diff(ends(b, n_b, self.b_table)) == size)
-        for _ in range(2):              # by length first, then byte by byte
-            if not good.all():
-                a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
-                n_a, n_b, size = (np.where(good, x, 0) for x in (n_a, n_b, size))
-                raw = [r if g else b"" for r, g in zip(raw, good)]
-            want = np.frombuffer(b"".join(raw), np.uint8)
-            wrong = (_joined(a, self.a_table) != want) | (_joined(b, self.b_table) != want)
-            if not wrong.any():
+        b = packed(self.b.encode(words, num_threads=1))
+        if not any(map(_EDGE.search, words)):
+            a = np.array(self.a.encode_ordinary(" " + " ".join(words)), np.int64)
+            end, word_end = _bounds(self.a_table[2][a]), _bounds(size)
+            last = np.minimum(np.searchsorted(end, word_end), len(a))
+            if (end[last] == word_end).all() and last[-1] == len(a):
+                return a, np.diff(last), *b
+        return *packed([self.a.encode_ordinary(" " + w) for w in words]), *b
+
+    def align(self, words: list[str]) -> tuple:
+        """(A tokens, B tokens, groups, wrong) per word, all pairs, the groups in writing."""
+        raw = [(" " + w).encode("utf-8") for w in words]
+        size = np.array([len(r) for r in raw], dtype=np.int64)
+        a, n_a, b, n_b = self._tokens(words, size)
+        length_a, length_b = self.a_table[2], self.b_table[2]
+        right = (_sums(length_a[a], _bounds(n_a)) == size) & (_sums(length_b[b], _bounds(n_b)) == size)
+        while True:                     # by length first, then byte by byte
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b, size = (np.where(right, x, 0) for x in (n_a, n_b, size))
+            want = np.frombuffer(b"".join(r for r, ok in zip(raw, right) if ok), np.uint8)
+            off = np.zeros(len(want), bool)
+            for ids, (flat, start, length) in ((a, self.a_table), (b, self.b_table)):
+                off |= flat[_runs(start[ids], length[ids])] != want
+            if not off.any():
                 break
-            faults = np.concatenate(([0], np.cumsum(wrong)))
-            good = np.diff(faults[np.concatenate(([0], np.cumsum(size)))]) == 0
-        a_end, b_end = np.cumsum(self.a_table[2][a]), np.cumsum(self.b_table[2][b])
-        total = int(size.sum()) + 1
-        at_a, at_b = np.zeros(total, bool), np.zeros(total, bool)
-        at_a[a_end], at_b[b_end] = True, True
-        return Aligned(a, b, n_a, n_b, at_b[a_end], at_a[b_end])
-
-    def groups(self, found: Aligned) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` per document."""
-        w = self.width
-        words = np.concatenate((found.a + w * found.a_ends, found.b + w * (2 + found.b_ends)))
-        group = np.concatenate((np.cumsum(found.a_ends) - found.a_ends, np.cumsum(found.b_ends) - found.b_ends))
-        words = words[np.argsort(group, kind="stable")].tolist()
-        written, out, at = self.written.__getitem__, [], 0
-        for n in (found.n_a + found.n_b).tolist():
-            out.append("".join(map(written, words[at: at + n]))[:-1])
-            at += n
-        return out
-
-
-@lru_cache(maxsize=2)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    """One aligner per Python worker and pair of files."""
-    return Aligner(path_a, path_b)
+            right = right & (_sums(off.astype(np.int64), _bounds(size)) == 0)
+        end_a, end_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
+        at_a, at_b = np.zeros(len(want) + 1, bool), np.zeros(len(want) + 1, bool)
+        at_a[end_a], at_b[end_b] = True, True
+        a_ends, b_ends = at_b[end_a], at_a[end_b]            # the token ends a group
+        n_groups = _sums(a_ends.astype(np.int64), _bounds(n_a))
+        pairs, wrong = b[b_ends] << PAIR_SHIFT | a[a_ends], (~right).astype(np.int64)
+        if not self.marked:
+            return n_a, n_b, n_groups, wrong, pairs, []
+        group = np.concatenate((np.cumsum(a_ends) - a_ends, np.cumsum(b_ends) - b_ends))
+        marks = np.concatenate((a + self.width * a_ends, b + self.width * (2 + b_ends)))
+        marks = marks[np.argsort(group, kind="stable")].tolist()
+        at, written = _bounds(n_a + n_b).tolist(), []
+        for lo, hi in zip(at, at[1:]):
+            written.append("".join(map(self.marked.__getitem__, marks[lo:hi]))[:-1])
+        return n_a, n_b, n_groups, wrong, pairs, written
+
+
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str, writing: bool = True) -> Aligner:
+    """One aligner per Python worker, pair of files and pass."""
+    return Aligner(path_a, path_b, writing)
 
 
 # ------------------------------------------------------------- first pass
@@ -206,9 +304,9 @@ def _chunk_pairs(path_a: str, path_b: str):
                     parts = []
                 now = ids[lo]
                 for part in text_slices([batch.slice(lo, hi - lo)]):
-                    found = aligner(path_a, path_b).align(part.column(1).to_pylist()).pairs()
-                    if len(found):
-                        parts.append(np.unique(found, return_counts=True))
+                    found = Aligned(aligner(path_a, path_b, False), part.column(1).to_pylist()).pair_counts()
+                    if len(found[0]):
+                        parts.append(found)
                     if sum(len(k) for k, _ in parts) > 1 << 21:
                         parts = [_merge_counts(parts)]
         if parts:
@@ -284,7 +382,7 @@ def _look_up(key: tuple, partial: pd.DataFrame, shard: pd.DataFrame) -> pd.DataF
 
 # ------------------------------------------------------------ second pass
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
-                    ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups", pa.large_string())])
+                    ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups", pa.string())])
 RESULT_DDL = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
@@ -297,22 +395,17 @@ def _score(path_a: str, path_b: str):
         keys, counts, best = keys[order], column("counts", np.int64)[order], column("best", bool)[order]
         out = []
         for part in text_slices(docs.to_batches()):
-            tool = aligner(path_a, path_b)
-            found = tool.align(part.column(1).to_pylist())
-            pairs = found.pairs()
+            found = Aligned(aligner(path_a, path_b), part.column(1).to_pylist())
+            pairs, _ = found.pairs()
             at = np.searchsorted(keys, pairs)
             if len(pairs) and not (keys[np.minimum(at, len(keys) - 1)] == pairs).all():
                 raise ValueError("a linked pair has no count")
-            ends = np.concatenate(([0], np.cumsum(found.n_groups)))
-
-            def per_doc(values):
-                return np.diff(np.concatenate(([0], np.cumsum(values)))[ends])
-            columns = [part.column(0), found.n_a, found.n_b, found.n_groups, found.n_groups,
-                       per_doc(best[at].astype(np.int64)), per_doc(counts[at]), tool.groups(found)]
+            n_a, n_b, n_groups = found.counts()
+            columns = [part.column(0), n_a, n_b, n_groups, n_groups, found.link_sums(best[at].astype(np.int64)),
+                       found.link_sums(counts[at]), found.groups()]
             out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type)
                                                    for c, f in zip(columns, RESULT)], schema=RESULT))
-        table = pa.Table.from_batches(out, schema=RESULT)
-        return table.set_column(7, "groups", table.column("groups").cast(pa.string()))
+        return pa.Table.from_batches(out, schema=RESULT)
     return work
 
 

@@ -49,7 +49,8 @@ def tokens_of(text):
 
 def brute(rows):
     sides = [tokens_of(t) for _, t in rows]
-    links = [[(a, b) for b, e in bs for a in [dict((end, i) for i, end in as_).get(e)] if a is not None] for as_, bs in sides]
+    at_end = [{e: i for i, e in as_} for as_, _ in sides]
+    links = [[(ends[e], b) for b, e in bs if e in ends] for ends, (_, bs) in zip(at_end, sides)]
     count = Counter(p for found in links for p in found)
     best = {}
     for (_, b), n in count.items():
@@ -79,6 +80,28 @@ def test_ids_equal_library(small_docs):
         assert tool.a.encode_ordinary(" " + text) == a.encode(" " + text, add_special_tokens=False).ids, text[:60]
 
 
+def test_words_equal_whole_texts(small_docs, monkeypatch):
+    """Aligned word by word or whole: the same groups; with a table that is emptied often too."""
+    rng = random.Random(2)
+    letters = "ab zé  \n\t'’s日🙂1٣.-_▁\x1c\x85\u3000"
+    fuzz = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts = [*filter(None, ODD), *fuzz, *(r[1] for r in small_docs if r[1])]
+    tool = ta.Aligner(default_tokenizer_path(), ta.default_piece_path())
+    want = []
+    for text in texts:
+        as_, bs = tokens_of(text)
+        shared = sorted({e for _, e in as_} & {e for _, e in bs})
+        spans = list(zip([0, *shared], shared))
+        want.append(";".join("|".join(",".join(str(i) for i, e in side if lo < e <= hi) for side in (as_, bs)) for lo, hi in spans)
+                    if len(as_) < 400 else None)
+    for room in (100_000, 50):
+        monkeypatch.setattr(ta, "TABLE_WORDS", room)
+        got = []
+        for at in range(0, len(texts), 500):
+            got += ta.Aligned(tool, texts[at: at + 500]).groups()
+        assert all(w is None or w == g for w, g in zip(want, got))
+
+
 def test_odd_texts(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (3, "twice"), (3, "twice")]
     assert run(spark, rows) == brute(rows)
