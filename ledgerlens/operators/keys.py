@@ -14,6 +14,7 @@ its users read a plain table.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -49,3 +50,24 @@ def surrogate_key(df: DataFrame, keys: Sequence[str], name: str,
              .select(*[col(k) for k in keys],
                      (F.col("__off") + F.col("__pos") + F.lit(1)).cast("bigint").alias(name)))
     return cut_lineage(keyed, f"sk_{name}")
+
+
+def extend_keys(known: DataFrame | None, df: DataFrame, keys: Sequence[str], name: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """Keys that stay the same across loads: the stored map ``known`` (``keys`` and
+    ``name``) with what is new in ``df``.
+
+    A natural key of the map keeps its number whether or not it occurs again; new ones
+    are numbered after the greatest, in key order, by the range-partitioned ranks of
+    :func:`surrogate_key`.  Null is a value of its own and matches null.  A load without
+    anything new gives the same map; ``known=None`` is the first load."""
+    if known is None:
+        return surrogate_key(df, keys, name, num_partitions)
+    held = known.select(*[col(k).alias(f"__held{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"__held{i}")) for i, k in enumerate(keys)])
+    fresh = surrogate_key(df.select(*[col(k) for k in keys]).distinct().join(held, same, "left_anti"),
+                          keys, name, num_partitions)
+    greatest = known.agg(F.coalesce(F.max(col(name)), F.lit(0)).alias("__greatest"))      # one row
+    numbered = fresh.crossJoin(F.broadcast(greatest)).select(
+        *[col(k) for k in keys], (col(name) + F.col("__greatest")).cast("bigint").alias(name))
+    return known.select(*[col(k) for k in keys], col(name).cast("bigint").alias(name)).unionByName(numbered)

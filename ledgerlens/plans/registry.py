@@ -20,6 +20,7 @@ from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards
 from ..sources.sinks import materialize, write_csv, write_date_shards, write_parquet
 from ..sources import testdata as td
 from . import cube as cb
+from . import cube_store as cs
 from . import star as st
 from . import warehouse as wh
 
@@ -125,6 +126,44 @@ def q_cube_preview(spark, sf_dir):
     return cb.preview(_cube(spark, sf_dir))
 
 
+# The first batch ends in the middle of a month, which the second one completes.
+FIRST_BATCH_ENDS = "1997-06-15"
+
+
+def _store(spark, sf_dir) -> cs.CubeStore:
+    """The stored cube after two loads, written once per state of the input tables."""
+    def write():
+        store = cs.CubeStore(spark, scratch_path(spark, "cube_store"))
+        clean = _clean(spark, sf_dir)
+        first = F.col("date") <= F.lit(FIRST_BATCH_ENDS).cast("date")
+        store.load(clean.where(first))
+        store.load(clean.where(~first))
+        return store.path
+    return cs.CubeStore(spark, written_once(spark, "cube_store", td.paths(sf_dir, td.TRANSACTION_TABLES), write))
+
+
+@query("cube_incremental")
+def q_cube_incremental(spark, sf_dir):
+    """The cube after two batches: only the second one's months were rebuilt."""
+    return _store(spark, sf_dir).cube()
+
+
+@query("cube_unique_users")
+def q_cube_unique_users(spark, sf_dir):
+    """Unique users by state, by year and overall, from the stored bitmaps alone."""
+    store = _store(spark, sf_dir)
+    part = lambda df, kind, value: df.select(F.lit(kind).alias("per"), value.alias("value"), "unique_users")
+    return (part(store.unique_users(["Merchant State"]), "state", F.col("`Merchant State`"))
+            .unionByName(part(store.unique_users(["Year"]), "year", F.col("Year").cast("string")))
+            .unionByName(part(store.unique_users(), "all", F.lit(None).cast("string"))))
+
+
+@query("cube_unique_users_selected")
+def q_cube_unique_users_selected(spark, sf_dir):
+    """Unique users by channel of a user's selection of years and states."""
+    return _store(spark, sf_dir).unique_users(["Use Chip"], SELECTED_YEARS, SELECTED_STATES)
+
+
 # ---------------------------------------------------------------- survey
 def _survey(spark, sf_dir):
     return td.sme_survey(spark, sf_dir)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, daily_hours, density_class, exact_avg, lenient_number
 from ..functions.hexgrid import DEFAULT_EDGE_M, hex_boundary, hex_centroid, with_hex_cell
 from ..operators.categories import CATEGORY_THRESHOLD, collapse_rare
-from ..operators.keys import surrogate_key
+from ..operators.keys import extend_keys, surrogate_key
 from ..operators.relational import drop_incomplete, join_on, null_safe_join, select_renamed
 from ..session import cut_lineage
 from ..sources.files import na_to_null
@@ -131,6 +131,15 @@ def dim_negocio(clean: DataFrame) -> DataFrame:
                           + [("id_negocio_dim", "id_negocio_dim")])
 
 
+def reload_dim_negocio(known: DataFrame | None, clean: DataFrame) -> DataFrame:
+    """The business dimension of a further load: known attributes keep their keys,
+    new ones are numbered after the greatest (``known``: the stored dimension, None at first)."""
+    if known is not None:
+        known = select_renamed(known, list(zip(NEGOCIO_NAMES, NEGOCIO_COLUMNS)) + [("id_negocio_dim", "id_negocio_dim")])
+    keys = extend_keys(known, clean, NEGOCIO_COLUMNS, "id_negocio_dim")
+    return select_renamed(keys, list(zip(NEGOCIO_COLUMNS, NEGOCIO_NAMES)) + [("id_negocio_dim", "id_negocio_dim")])
+
+
 def dim_deseo(clean: DataFrame) -> DataFrame:
     keys = surrogate_key(clean, DESEO_COLUMNS, "id_deseo_dim")
     return select_renamed(keys, list(zip(DESEO_COLUMNS, DESEO_NAMES))
@@ -248,13 +257,14 @@ def run_survey_etl(spark, raw: DataFrame, out_dir: str, jdbc_url: str | None = N
     star tables and the two summaries are then loaded into the database
     (tables replaced, the geography dimension named ``dim_geografia_h3``);
     without one, the star tables are exported as CSV and the summaries are
-    materialized as Parquet tables under ``out_dir``.  What depends on base
+    materialized as Parquet tables under ``out_dir``.  In a database, what depends on base
     tables is dropped before they are replaced (``execute_sql`` runs the
-    DROP statements in the database) and built after them.  Every table is
+    DROP statements there) and built after them; materialized tables are
+    replaced in one step each and stay readable.  Every table is
     written by the executors in parallel.  Returns the written locations by
     table name.
     """
-    from ..sources.sinks import drop_view, materialize, reload_steps, write_csv, write_jdbc
+    from ..sources.sinks import materialize, reload_steps, write_csv, write_jdbc
 
     star = build_star(raw, threshold)
     base = out_dir.rstrip("/")
@@ -273,7 +283,7 @@ def run_survey_etl(spark, raw: DataFrame, out_dir: str, jdbc_url: str | None = N
             write_jdbc(df, jdbc_url, name, **(jdbc_options or {}))
             out[name] = f"{jdbc_url}#{name}"
         elif step == "drop":
-            drop_view(spark, name)
+            continue
         elif step == "table":
             out[name] = write_csv(df, f"{base}/{name}")
         else:

@@ -7,6 +7,8 @@ from typing import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import drop_table, replace_table
+
 # The Parquet codecs the cube build accepts.
 PARQUET_CODECS = ("zstd", "snappy", "lz4")
 
@@ -75,27 +77,27 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **k
     df.write.format("jdbc").options(**jdbc_options(url, table, **kw)).mode(mode).save()
 
 
-def create_table_as(spark: SparkSession, df: DataFrame, name: str, path: str) -> DataFrame:
-    """``CREATE OR REPLACE TABLE name AS SELECT …``: overwrite the files at
-    ``path``, (re)register ``name`` over them and return the table."""
+def create_table_as(spark: SparkSession, df: DataFrame, name: str, path: str, compression: str = "zstd") -> DataFrame:
+    """``CREATE OR REPLACE TABLE name AS SELECT …``: a new version below ``path``, then
+    ``name`` points to it (see :mod:`ledgerlens.sources.versions`); returns the table.
+
+    Readers see the old or the new rows; a failed write leaves the old ones."""
     if "." in name:
         db = name.split(".")[0]
         # keep the database folder next to the table, not in the local cwd
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` LOCATION '{path.rstrip('/')}.db'")
-    df.write.mode("overwrite").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return replace_table(spark, df, name, path, check_codec(compression))
 
 
 def drop_view(spark: SparkSession, name: str) -> None:
     """Forget a materialized view (its files stay until they are rewritten)."""
-    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    drop_table(spark, name)
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str, path: str) -> DataFrame:
-    """Materialized view with full rebuild: drop the old one, write the result
-    to ``path`` and register ``name`` as a catalog table over the files, which
-    outlives the session wherever the catalog does."""
-    drop_view(spark, name)
+    """Materialized view with full rebuild: the result becomes a new version below
+    ``path`` and replaces the old one in the catalog in one step; the name outlives
+    the session wherever the catalog does."""
     return create_table_as(spark, df, name, path)
 
 
