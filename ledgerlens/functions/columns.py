@@ -95,7 +95,7 @@ def density_class(v, vmax) -> Column:
 def parse_yyyymmdd(c, strict: bool = True) -> Column:
     """``'20210131'`` -> date.  Strict raises on junk; lenient gives null."""
     fmt = "yyyyMMdd"
-    return F.to_date(col(c), fmt) if strict else F.try_to_date(col(c), F.lit(fmt))
+    return F.to_date(col(c), fmt) if strict else F.try_to_date(col(c), fmt)
 
 
 def month_of(c) -> Column:

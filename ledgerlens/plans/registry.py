@@ -16,9 +16,11 @@ from ..functions.hexgrid import hex_centroid, with_hex_cell
 from ..operators.aggregates import category_share
 from ..operators.categories import collapse_rare
 from ..session import scratch_path, written_once
-from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards
+from ..sources.csv_lines import CsvQuarantine, read_csv_inferred
+from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards, tolerant_types
 from ..sources.sinks import materialize, write_csv, write_date_shards, write_parquet
 from ..sources import testdata as td
+from ..sources.versions import replace_table
 from . import cube as cb
 from . import cube_store as cs
 from . import star as st
@@ -246,6 +248,16 @@ def q_dim_negocio(spark, sf_dir):
     return _star(spark, sf_dir).dim_negocio
 
 
+@query("dim_negocio_reload")
+def q_dim_negocio_reload(spark, sf_dir):
+    """The business dimension after two loads: the first sees every third business, the
+    second all of them, and keeps the first one's keys."""
+    clean = _star(spark, sf_dir).clean
+    store = scratch_path(spark, "dim_negocio_keys")
+    replace_table(spark, st.reload_dim_negocio(None, clean.where("id % 3 = 0")), "dim_negocio_keys", store)
+    return replace_table(spark, st.reload_dim_negocio(spark.table("dim_negocio_keys"), clean), "dim_negocio_keys", store)
+
+
 @query("dim_deseo")
 def q_dim_deseo(spark, sf_dir):
     return _star(spark, sf_dir).dim_deseo
@@ -274,6 +286,16 @@ def q_mv_goal_profitability(spark, sf_dir):
     return materialize(spark, df, "mv_deseos_rentabilidad", scratch_path(spark, "mv_deseos_rentabilidad"))
 
 
+@query("materialized_replace")
+def q_materialized_replace(spark, sf_dir):
+    """A materialized view of a few sectors, replaced by one that reads it and adds the others."""
+    sales = st.sales_by_sector_cell(_star(spark, sf_dir))
+    early = F.coalesce(F.col("giro_negocio") < "G", F.lit(False))
+    root = scratch_path(spark, "mv_ventas_ampliada")
+    first = materialize(spark, sales.where(early), "mv_ventas_ampliada", root)
+    return materialize(spark, first.unionByName(sales.where(~early)), "mv_ventas_ampliada", root)
+
+
 @query("sector_summary")
 def q_sector_summary(spark, sf_dir):
     return st.sector_summary(_star(spark, sf_dir))
@@ -389,3 +411,43 @@ def q_csv_tolerant_scan(spark, sf_dir):
     return read_csv_tolerant(spark, path, orders.columns,
                              {"o_orderkey": "bigint", "cust": "bigint", "price": "double"},
                              file_columns=orders.columns)
+
+
+def _order_lines(spark, sf_dir):
+    """Orders as CSV lines by hand: every 17th too short, 19th too long, 23rd with an open quote, 29th
+    with text after one; bare and doubled quotes among the good ones."""
+    key, head = "o_orderkey", "concat_ws(',', o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)))"
+    return td.table(spark, sf_dir, "orders").selectExpr(
+        f"CASE WHEN {key} % 17 = 0 THEN concat_ws(',', o_orderkey, o_custkey) "
+        f"WHEN {key} % 19 = 0 THEN concat({head}, ',x,\"y\"') "
+        f"WHEN {key} % 23 = 0 THEN concat({head}, ',\"open, ', o_orderstatus) "
+        f"WHEN {key} % 29 = 0 THEN concat({head}, ',\"', o_orderstatus, '\"b') "
+        f"WHEN {key} % 31 = 0 THEN concat({head}, ',5\" ', o_orderstatus) "
+        f"WHEN {key} % 37 = 0 THEN concat({head}, ',\"says \"\"', o_orderstatus, '\"\"\"') "
+        f"ELSE concat({head}, ',\"status, ', o_orderstatus, '\"') END AS `o_orderkey,cust,price,note`")
+
+
+@query("csv_quarantine")
+def q_csv_quarantine(spark, sf_dir):
+    """Kept and refused rows of a CSV with broken lines, from one text scan."""
+    path = scratch_path(spark, "broken_csv")
+    (_order_lines(spark, sf_dir).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path))
+    found = CsvQuarantine(spark, path, file_columns=["o_orderkey", "cust", "price", "note"])
+    kept = tolerant_types(found.kept, {"o_orderkey": "bigint", "cust": "bigint", "price": "double"})
+    refused = found.refused.select("reason", F.col("text").alias("refused"))
+    return kept.unionByName(refused, allowMissingColumns=True)
+
+
+@query("csv_inferred_types")
+def q_csv_inferred_types(spark, sf_dir):
+    """Customers written as CSV with NA tokens; every type is inferred on reading."""
+    k = "c_custkey"
+    rows = td.table(spark, sf_dir, "customer").selectExpr(
+        f"{k} AS id",
+        f"CASE WHEN {k} % 43 = 0 THEN 'NA' WHEN {k} % 47 = 0 THEN '-inf' ELSE CAST(c_acctbal AS STRING) END AS balance",
+        f"CASE WHEN {k} % 5 = 0 THEN 'n/a' ELSE concat('  ', {k} % 30) END AS padded",
+        f"CASE WHEN {k} % 7 = 0 THEN 'null' WHEN {k} % 2 = 0 THEN 'True' ELSE 'false' END AS flag",
+        f"CASE WHEN {k} % 11 = 0 THEN NULL ELSE CAST(date_add(DATE'2020-01-01', CAST({k} % 800 AS INT)) AS STRING) END AS since",
+        f"CASE WHEN {k} % 997 = 0 THEN '12a' ELSE CAST({k} % 100 AS STRING) END AS mixed",
+        "'None' AS nothing", "c_mktsegment AS sector")
+    return read_csv_inferred(spark, write_csv(rows, scratch_path(spark, "untyped_csv")), file_columns=rows.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from .csv_lines import kept_rows
 
 # The text tokens pandas.read_csv reads as missing by default
 # (matched exactly, without trimming).
@@ -73,10 +74,13 @@ def tolerant_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def read_csv_tolerant(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
                       types: Mapping[str, str],
-                      file_columns: Sequence[str] | None = None, **reading) -> DataFrame:
-    """Tolerant typed CSV scan: text read, projection by name, try-cast
-    (``reading``: ``multi_line`` and ``check_quotes`` of the text read)."""
-    return tolerant_types(read_csv_text(spark, path, columns, file_columns, **reading), types)
+                      file_columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Tolerant typed CSV scan: lines that are no record of the header's shape are
+    skipped (:mod:`ledgerlens.sources.csv_lines` lists them), values that do not parse are
+    null.  One scan of the text; ``multi_line`` reads quoted newlines, a file a task."""
+    text = (read_csv_text(spark, path, columns, file_columns, multi_line=True) if multi_line
+            else kept_rows(spark, path, columns, file_columns))
+    return tolerant_types(text, types)
 
 
 def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
@@ -88,10 +92,14 @@ def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
         for f in df.schema.fields])
 
 
-def read_csv_na(spark: SparkSession, path: str | Sequence[str], **reading) -> DataFrame:
+def read_csv_na(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
+                file_columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
     """CSV read with pandas' NA semantics (all columns text; see
-    :data:`NA_TOKENS`).  Numeric parsing is left to the cleaning step."""
-    return na_to_null(read_csv_text(spark, path, **reading))
+    :data:`NA_TOKENS`), one scan as :func:`read_csv_tolerant`.  Numeric parsing is left to the cleaning step;
+    :func:`ledgerlens.sources.csv_lines.read_csv_inferred` infers types."""
+    text = (read_csv_text(spark, path, columns, file_columns, multi_line=True) if multi_line
+            else kept_rows(spark, path, columns, file_columns))
+    return na_to_null(text)
 
 
 def load_parquet(spark: SparkSession, path: str, what: str = "table") -> DataFrame:

@@ -124,3 +124,10 @@ def test_lenient_number_matches_python_float(spark):
             assert have is not None and math.isnan(have), v
         else:
             assert have == want, (v, have, want)
+
+
+def test_lenient_date(spark):
+    from ledgerlens.functions.columns import parse_yyyymmdd
+    df = spark.createDataFrame([("20210131",), ("junk",), ("20210230",), (None,)], "d string")
+    got = [r[0] for r in df.select(parse_yyyymmdd("d", strict=False)).collect()]
+    assert [g and g.isoformat() for g in got] == ["2021-01-31", None, None, None]
