@@ -18,7 +18,9 @@ from ..operators.categories import collapse_rare
 from ..session import scratch_path, written_once
 from ..sources.csv_lines import CsvQuarantine, read_csv_inferred
 from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards, tolerant_types
-from ..sources.sinks import materialize, write_csv, write_date_shards, write_parquet
+from ..sources.clustered import read_selected, write_clustered
+from ..sources.shards import read_evolved_shards
+from ..sources.sinks import BY_SIZE, materialize, write_csv, write_date_shards, write_parquet
 from ..sources import testdata as td
 from ..sources.versions import replace_table
 from . import cube as cb
@@ -128,6 +130,21 @@ def q_cube_preview(spark, sf_dir):
     return cb.preview(_cube(spark, sf_dir))
 
 
+# The clustered cube's files and a selection on three keys of it.
+CUBE_ROWS_PER_FILE = 20_000
+SKIPPING = {"Year": [1996, 1998], "Merchant State": ["NATION_3", "NATION_12"], "MCC": [5001, 5004, 5999]}
+
+
+@query("cube_slice_skipping")
+def q_cube_slice_skipping(spark, sf_dir):
+    """A selection from the cube clustered by year and state: other files are not opened."""
+    def write():
+        return write_clustered(_cube(spark, sf_dir), scratch_path(spark, "clustered_cube"), ["Year", "Merchant State"],
+                               bloom=["Merchant State", "MCC"], rows_per_file=CUBE_ROWS_PER_FILE)
+    path = written_once(spark, "clustered_cube", td.paths(sf_dir, td.TRANSACTION_TABLES), write)
+    return read_selected(spark, path, **SKIPPING)
+
+
 # The first batch ends in the middle of a month, which the second one completes.
 FIRST_BATCH_ENDS = "1997-06-15"
 
@@ -334,11 +351,11 @@ def q_names_full_outer(spark, sf_dir):
 
 
 def _shards(spark, sf_dir) -> str:
-    """The load step: events laid out as one shard per day, few files each,
+    """The load step: events laid out as one shard per day, files by its size,
     once per state of the events table."""
     def write():
         events = td.ga_events(spark, sf_dir).drop("event_date")
-        return write_date_shards(events, scratch_path(spark, "events_shards"), "ts", files_per_shard=1)
+        return write_date_shards(events, scratch_path(spark, "events_shards"), "ts", files_per_shard=BY_SIZE)
     return written_once(spark, "events_shards", td.paths(sf_dir, ["events"]), write)
 
 
@@ -356,6 +373,32 @@ def q_glob_events(spark, sf_dir):
     return wh.shard_report(shards)
 
 
+# The day on which the events' layout changed.
+NEW_LAYOUT = "2024-01-15"
+
+
+def _evolved_shards(spark, sf_dir) -> str:
+    """Daily shards of two layouts: the older one has narrower ids, no ``geo`` and a column
+    that was given up."""
+    def write():
+        base = scratch_path(spark, "evolved_shards")
+        events = td.ga_events(spark, sf_dir).drop("event_date")
+        is_new = F.col("ts") >= F.lit(NEW_LAYOUT).cast("timestamp")
+        old = events.where(~is_new).select(F.col("event_id").cast("int").alias("event_id"), "ts", "event_name",
+                                           F.lit("web").alias("channel"))
+        new = events.where(is_new).withColumn("event_id", F.col("event_id").cast("bigint"))
+        write_date_shards(old, base, "ts", files_per_shard=BY_SIZE)
+        return write_date_shards(new, base, "ts", files_per_shard=BY_SIZE, mode="append")
+    return written_once(spark, "evolved_shards", td.paths(sf_dir, ["events"]), write)
+
+
+@query("wildcard_evolved")
+def q_wildcard_evolved(spark, sf_dir):
+    """A range over shards of both layouts, in the newest one's schema."""
+    shards = read_evolved_shards(spark, _evolved_shards(spark, sf_dir), SHARDS)
+    return wh.shard_report(shards, "event_id")
+
+
 def _taxis(spark, sf_dir):
     return wh.taxi_subset(spark, td.taxi_trips(spark, sf_dir), TAXI_ID, "prueba.taxis",
                           scratch_path(spark, "prueba_taxis"))

@@ -57,10 +57,11 @@ def compare_states(names: DataFrame, left: str = "TX", right: str = "PA",
     return full_outer_using(side(left, left_col), side(right, right_col), "name")
 
 
-def shard_report(shards: DataFrame) -> DataFrame:
+def shard_report(shards: DataFrame, *more: str) -> DataFrame:
     """The day, its month, the upper-cased event name, the country with a
-    default for missing ones (a nested-field projection)."""
+    default for missing ones (a nested-field projection), and ``more`` columns."""
     return shards.select(
+        *more,
         F.col("table_suffix").alias("event_date"),
         month_of(parse_yyyymmdd("table_suffix")).cast("bigint").alias("mes"),
         F.upper("event_name").alias("evento_gritando"),

@@ -20,10 +20,10 @@ def check_codec(codec: str) -> str:
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd",
-                  partition_by: tuple[str, ...] = ()) -> str:
-    """Overwrite ``path`` with ``df`` as Parquet (distributed write: one
-    file per task, no collect)."""
-    w = df.write.mode("overwrite").option("compression", check_codec(compression))
+                  partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> str:
+    """Write ``df`` to ``path`` as Parquet, overwriting unless ``mode`` says otherwise
+    (distributed write: one file per task, no collect)."""
+    w = df.write.mode(mode).option("compression", check_codec(compression))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -109,19 +109,26 @@ def reload_steps(tables: Mapping[str, DataFrame],
             + [("summary", n, df) for n, df in summaries.items()])
 
 
+BY_SIZE = "by size"
+
+
 def write_date_shards(df: DataFrame, base: str, date_col: str, fmt: str = "yyyyMMdd",
                       suffix_column: str = "table_suffix",
-                      files_per_shard: int | None = None) -> str:
+                      files_per_shard: int | str | None = None, mode: str = "overwrite") -> str:
     """Lay a table out as one shard per day: ``base/table_suffix=YYYYMMDD/``.
 
     Default: no shuffle - each task writes one file per day it holds, so a
     hot day is spread over many files instead of one task.  With
     ``files_per_shard`` one shuffle on (day, row-hash salt) first groups the
     rows, giving about that many files per day; the salt keeps a hot day
-    split over that many tasks.
+    split over that many tasks.  ``BY_SIZE`` leaves it to the size: days are
+    rebalanced at run time, a large one over many tasks and files, small ones
+    together in a task.  ``mode="append"`` adds shards to those there.
     """
     out = df.withColumn(suffix_column, F.date_format(F.col(date_col), fmt))
-    if files_per_shard:
+    if files_per_shard == BY_SIZE:
+        out = out.hint("rebalance", F.col(suffix_column))
+    elif files_per_shard:
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(int(files_per_shard)))
         out = out.repartition(F.col(suffix_column), salt)
-    return write_parquet(out, base, partition_by=(suffix_column,))
+    return write_parquet(out, base, partition_by=(suffix_column,), mode=mode)
