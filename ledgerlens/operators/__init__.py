@@ -8,4 +8,6 @@ from .categories import (  # noqa: F401
     collapse_rare, frequent_values, frequent_keys, fill_missing, map_rare, max_frequent,
     CATEGORY_THRESHOLD, OTHER, MISSING,
 )
-from .keys import surrogate_key  # noqa: F401
+from .heavy import frequent_values_bounded  # noqa: F401
+from .keys import extend_keys, surrogate_key  # noqa: F401
+from .distinct import distinct_bitmaps, merge_bitmaps, count_bitmaps  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .heavy import frequent_values_bounded
 
 # Fixed values of the survey cleaning step.
 CATEGORY_THRESHOLD = 0.05
@@ -52,10 +53,11 @@ def fill_missing(df: DataFrame, columns: Sequence[str], missing: str | None = MI
 
 
 def frequent_keys(filled: DataFrame, columns: Sequence[str],
-                  threshold: float = CATEGORY_THRESHOLD) -> DataFrame:
+                  threshold: float = CATEGORY_THRESHOLD, many_values: bool = False) -> DataFrame:
     """One-column frame of ``column<SEP>value`` keys that are frequent
     (at most ``len(columns)/threshold`` rows)."""
-    return frequent_values(filled, columns, threshold).select(
+    count = frequent_values_bounded if many_values else frequent_values
+    return count(filled, columns, threshold).select(
         F.concat(F.col("column"), F.lit(_SEP), F.col("value")).alias("__fkey"))
 
 
@@ -78,7 +80,7 @@ def map_rare(filled: DataFrame, keys: DataFrame, columns: Sequence[str],
 
 
 def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATEGORY_THRESHOLD,
-                  other: str = OTHER, missing: str | None = MISSING) -> DataFrame:
+                  other: str = OTHER, missing: str | None = MISSING, many_values: bool = False) -> DataFrame:
     """Replace values whose share of rows is below ``threshold`` by ``other``.
 
     Per column, independently: nulls first become ``missing`` (which may
@@ -87,7 +89,8 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     An existing ``other`` value merges with the collapsed ones.  Collapsed
     columns come out as text; absent columns are skipped.
 
-    Two passes over ``df`` (count, then map): pass a materialized frame when
+    Two passes over ``df`` (count, then map; three with ``many_values``, for columns of
+    millions of distinct values, which are then never shuffled): pass a materialized frame when
     its lineage is expensive.  At most ``1/threshold`` values per column can
     be frequent, so the key table holds at most ``len(columns)/threshold``
     rows whatever the data size (a proven bound) and is broadcast.  No window,
@@ -97,4 +100,4 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], threshold: float = CATE
     if not cols:
         return df
     filled = fill_missing(df, cols, missing)
-    return map_rare(filled, frequent_keys(filled, cols, threshold), cols, other)
+    return map_rare(filled, frequent_keys(filled, cols, threshold, many_values), cols, other)

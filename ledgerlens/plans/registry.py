@@ -210,6 +210,17 @@ def q_rare_category_collapse(spark, sf_dir):
     return collapse_rare(part, ["p_brand", "p_type"])
 
 
+@query("rare_category_frequent")
+def q_rare_category_frequent(spark, sf_dir):
+    """5 % collapse of a column with nearly as many values as rows (a few of them frequent)
+    beside one with few: rare values are never shuffled."""
+    lines = td.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber",
+        "CASE WHEN l_quantity <= 20 THEN concat('Q', CAST(l_quantity % 7 AS INT)) WHEN l_linenumber = 6 THEN NULL "
+        "ELSE concat(l_orderkey, '-', l_linenumber) END AS reference", "l_returnflag AS flag")
+    return collapse_rare(lines, ["reference", "flag"], many_values=True)
+
+
 @query("category_share")
 def q_category_share(spark, sf_dir):
     """Share of each document source (value_counts(normalize=True))."""
