@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import hex_centroid, with_hex_cell
+from ..functions.icogrid import with_ico_cell, with_ico_centre
 from ..operators.aggregates import category_share
 from ..operators.categories import collapse_rare
-from ..session import scratch_path, written_once
+from ..session import cut_lineage, scratch_path, written_once
+from ..sources.catalog import reused
 from ..sources.csv_lines import CsvQuarantine, read_csv_inferred
 from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards, tolerant_types
 from ..sources.clustered import read_selected, write_clustered
@@ -130,6 +132,17 @@ def q_cube_preview(spark, sf_dir):
     return cb.preview(_cube(spark, sf_dir))
 
 
+@query("slice_figures_reused")
+def q_slice_figures_reused(spark, sf_dir):
+    """Three figures of one selection that is kept while they are computed, then released."""
+    with reused(cb.slice_cube(_cube(spark, sf_dir), years=SELECTED_YEARS, states=SELECTED_STATES)) as s:
+        figure = lambda df, name, key: df.select(F.lit(name).alias("figure"), key.cast("string").alias("key"), "total_amount")
+        parts = (figure(cb.amount_by_channel(s), "channel", F.col("`Use Chip`"))
+                 .unionByName(figure(cb.monthly_amount(s), "month", F.col("period")))
+                 .unionByName(figure(cb.top_mcc(s), "category", F.col("MCC"))))
+        return cut_lineage(parts, "slice_figures")
+
+
 # The clustered cube's files and a selection on three keys of it.
 CUBE_ROWS_PER_FILE = 20_000
 SKIPPING = {"Year": [1996, 1998], "Merchant State": ["NATION_3", "NATION_12"], "MCC": [5001, 5004, 5999]}
@@ -260,6 +273,25 @@ def q_hex_boundary(spark, sf_dir):
     return st.cell_boundaries(cells)
 
 
+def _world_points(spark, sf_dir):
+    """One point of the globe per customer, all latitudes and longitudes."""
+    return td.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "-89.93D + (c_custkey * 37 % 1799) / 10.0D AS lat", "-179.97D + (c_custkey * 91 % 3599) / 10.0D AS lon")
+
+
+@query("hex_bin_global")
+def q_hex_bin_global(spark, sf_dir):
+    """Global hexagonal cells (near-equal areas at every latitude) of points all over the world."""
+    return with_ico_cell(_world_points(spark, sf_dir), "lat", "lon", "cell")
+
+
+@query("hex_centroid_global")
+def q_hex_centroid_global(spark, sf_dir):
+    """Centres of the distinct global cells, at a coarse grid where cells hold several points."""
+    cells = with_ico_cell(_world_points(spark, sf_dir), "lat", "lon", "cell", n=7).select("cell").distinct()
+    return with_ico_centre(cells, "cell")
+
+
 @query("dim_emprendedor")
 def q_dim_emprendedor(spark, sf_dir):
     """A projection of the clean rows (lazy: nothing is written)."""
@@ -356,6 +388,14 @@ def q_names_top50(spark, sf_dir):
     return wh.state_totals(spark, td.names(spark, sf_dir))
 
 
+@query("customers_top50")
+def q_customers_top50(spark, sf_dir):
+    """The 50 largest totals of a key with many more values."""
+    orders = td.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("customer"), F.col("o_totalprice").cast("decimal(18,2)").alias("number"))
+    return wh.state_totals(spark, orders, view="customer_orders", key="customer")
+
+
 @query("names_full_outer")
 def q_names_full_outer(spark, sf_dir):
     return wh.compare_states(td.names(spark, sf_dir), STATE_A, STATE_B, min_share=MIN_SHARE)

@@ -15,19 +15,19 @@ from ..sources.sinks import create_table_as
 
 # Q1 as SQL text over a registered view (the catalog path of the API).
 STATE_TOTALS_SQL = """
-SELECT state, CAST(SUM(number) AS DOUBLE) AS total_count
+SELECT {key}, CAST(SUM(number) AS DOUBLE) AS total_count
 FROM {view}
-GROUP BY state
-ORDER BY total_count DESC, state
+GROUP BY {key}
+ORDER BY total_count DESC, {key}
 LIMIT {k}
 """
 
 
 def state_totals(spark: SparkSession, names: DataFrame, k: int = 50,
-                 view: str = "usa_names") -> DataFrame:
-    """Sum of ``number`` per state, the ``k`` largest."""
+                 view: str = "usa_names", key: str = "state") -> DataFrame:
+    """Sum of ``number`` per state (or another ``key``), the ``k`` largest."""
     register(spark, {view: names})
-    return query(spark, STATE_TOTALS_SQL.format(view=view, k=int(k)))
+    return query(spark, STATE_TOTALS_SQL.format(view=view, k=int(k), key=f"`{key}`"))
 
 
 def popular_names(names: DataFrame, states: list[str], min_total: float = 0,
