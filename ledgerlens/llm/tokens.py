@@ -7,8 +7,9 @@ encode on their own, and a piece that was seen before is one dictionary lookup.
 A new piece is a pre-token if it is all letters; a mark after one is
 a pre-token of its own; other pieces are cut by the tokenizer's published pattern.
 Pre-tokens are encoded by the library's own model.  Stretches with adjacent white space go through the
-library whole.  The ids equal those of ``encode`` on the whole text, with
-special-token strings read as ordinary text (a test compares them).
+library whole.  The strings of added tokens are cut out of a text first, as the library does, and
+become their ids.  The ids equal those of ``encode(text, add_special_tokens=False)`` on
+the whole text (a test compares them).
 
 The cache lives in the Python worker, in two generations of at most
 ``CACHE_PIECES`` pieces: a full one becomes the old one, from which pieces still in
@@ -18,12 +19,11 @@ use are taken over.
 from __future__ import annotations
 
 import re
-import struct
 from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 # Fixed value: marks that make a pre-token of their own after letters.
 MARKS = frozenset(".,;:!?")
 END_ID = 0                       # closes every document
@@ -53,6 +53,7 @@ class _Pieces(dict):
     def __init__(self, encoder: "PieceEncoder", prefix: str):
         super().__init__()
         self.encoder, self.prefix, self.old = encoder, prefix, {}
+        self.letter = prefix.translate(encoder.letters)
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
@@ -63,7 +64,8 @@ class _Pieces(dict):
 
     def _encode(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self.encoder.token(self.prefix + piece)
+            # plain letters stand for themselves in the byte-level alphabet
+            return self.encoder.ids(self.letter + piece) if piece.isascii() else self.encoder.token(self.prefix + piece)
         word, mark = piece[:-1], piece[-1:]
         if mark in MARKS and word.isalpha():
             return self[word] + self.encoder.small[mark]
@@ -98,8 +100,12 @@ class PieceEncoder:
         import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # the longest first, should one begin another
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.added_ids = {text: i.to_bytes(ID_BYTES, "little") for text, i in added.items()}
         self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.small = _Tokens(self)
@@ -108,9 +114,14 @@ class PieceEncoder:
         self.newline = self.token("\n")
 
     def token(self, token: str) -> bytes:
-        plain = token.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(plain)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.ids(token.encode("utf-8").decode("latin-1").translate(self.letters))
+
+    def ids(self, plain: str) -> bytes:
+        """Packed ids of a pre-token in the byte-level alphabet."""
+        found = self.model.tokenize(plain)
+        if len(found) == 1:
+            return self.packed[found[0].id]
+        return b"".join([self.packed[t.id] for t in found])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -123,6 +134,17 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         self.bare.turn()
         self.spaced.turn()
+        if self.added is None or not self.added.search(text):
+            return self._without_added(text)
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += [self._without_added(text[at: m.start()]), self.added_ids[m.group()]]
+            at = m.end()
+        return b"".join([*out, self._without_added(text[at:])])
+
+    def _without_added(self, text: str) -> bytes:
+        if not text:
+            return b""
         if not _WIDE_SPACE.search(text):
             return self._plain(text)
         parts = _WIDE_PARTS.split(text)

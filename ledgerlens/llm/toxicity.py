@@ -1,6 +1,6 @@
 """Toxicity scores: boosted trees over dense features, isotonic calibration.
 
-*Lexicon.*  Terms are words and word stems (their first 3 to 7 letters-or-bytes) of
+*Lexicon.*  Terms are words and word stems (their first 3 to 8 letters-or-bytes) of
 the labelled training sample; those far more frequent in toxic than in clean
 documents form the learned lexicon, beside a short fixed list of insults.
 *Features* of a whole text, none of which uses language, source or id: densities of
@@ -9,7 +9,7 @@ second-person pronoun, capitals (letters, shouted words), punctuation, repeated
 marks, digits inside words, and words that are in the lexicon only after look-alike
 characters are read as letters.  *Model*: gradient-boosted regression trees on the
 logistic loss over binned features; *calibration*: isotonic regression on
-folds the trees have not seen.
+folds that neither the trees nor the lexicon have seen.
 
 Training uses at most ``SAMPLE_ROWS`` labelled rows, none of the held-out fold
 (crc32 of the doc_id's text, mod 4, equal to 2).  Term counts are summed by
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import text_slices, utf8_buffers
 from .quality import per_text
-from .words import find_words, word_hashes
+from .words import byte_sums, find_words, range_hashes
 
 SAMPLE_ROWS = 12_000
 LEXICON_TERMS = 600
@@ -78,17 +79,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 # ------------------------------------------------------------------ lexicon
-class _Fake:
-    """Words given by byte ranges of an array, for word_hashes."""
-
-    def __init__(self, data, starts, ends):
-        self.data, self.starts, self.ends = data, starts, ends
-
-
 def term_hashes(terms: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(terms), np.uint8)
+    if not terms:
+        return np.zeros(0, np.uint64)
     ends = np.cumsum([len(t) for t in terms]).astype(np.int64)
-    return word_hashes(_Fake(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)) if terms else np.zeros(0, np.uint64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    return range_hashes(byte_sums(np.frombuffer(b"".join(terms), np.uint8), starts), starts, ends)
 
 
 def text_terms(text: str | None) -> set[bytes]:
@@ -145,16 +141,21 @@ class Lexicon:
         self.stems = {k: np.sort(term_hashes([t[:-1] for t, _ in learned if t.endswith(b"*") and len(t) == k + 1]))
                       for k in STEM_BYTES}
 
-    def learned(self, data, starts, ends) -> np.ndarray:
-        """Which words are a learned word or begin with a learned stem."""
-        hit = _member(word_hashes(_Fake(data, starts, ends)), self.whole)
+    def learned(self, sums, starts, ends, hashes) -> np.ndarray:
+        """Which words are a learned word or begin with a learned stem; ``sums``: the
+        batch's ``byte_sums``, ``hashes``: the words' own."""
+        hit = _member(hashes, self.whole)
         for k, known in self.stems.items():
             long = np.flatnonzero((ends - starts > k) & ~hit) if len(known) else ()
             if len(long):
-                hit[long] |= _member(word_hashes(_Fake(data, starts[long], starts[long] + k)), known)
+                hit[long] |= _member(range_hashes(sums, starts[long], starts[long] + k), known)
         return hit
 
 
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), dtype=bool)
@@ -166,12 +167,13 @@ def text_features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np
     """(texts, FEATURES) rates."""
     n = len(offsets) - 1
     words = find_words(data, offsets, _SEPARATES)
-    lower, read = _LOWER[data], _READ[data]
     # marks at the end of a word belong to the sentence
     owner, total = words.text_of(), np.maximum(words.counts, 1)
     chars = np.maximum(np.diff(offsets), 1)
-    learned = lexicon.learned(lower, words.starts, words.ends)
-    plain = word_hashes(words, lower)
+    # words, stems and look-alikes all come from two passes over the bytes
+    lower = byte_sums(_LOWER[data], words.starts)
+    plain = range_hashes(lower, words.starts, words.ends)
+    learned = lexicon.learned(lower, words.starts, words.ends, plain)
     fixed = _member(plain, lexicon.fixed)
     odd = np.concatenate([[0], np.cumsum(_IS_ODD[data], dtype=np.int64)])
     letters = np.concatenate([[0], np.cumsum(_IS_LETTER[data], dtype=np.int64)])
@@ -179,8 +181,13 @@ def text_features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np
     hidden = np.zeros(len(plain), dtype=bool)
     at = np.flatnonzero(mixed & ~learned & ~fixed)
     if len(at):
-        seen = _member(word_hashes(_Fake(read, words.starts[at], words.ends[at])), lexicon.fixed)
-        hidden[at] = seen | lexicon.learned(read, words.starts[at], words.ends[at])
+        starts, ends = words.starts[at], words.ends[at]
+        # only the words in question, side by side
+        inner = _bounds(ends - starts)
+        part = _READ[data[np.repeat(starts - inner[:-1], ends - starts) + np.arange(inner[-1])]]
+        read = byte_sums(part, inner[:-1])
+        seen = range_hashes(read, inner[:-1], inner[1:])
+        hidden[at] = _member(seen, lexicon.fixed) | lexicon.learned(read, inner[:-1], inner[1:], seen)
     rude = learned | fixed | hidden
     # rude words within NEAR_WORDS of a second-person pronoun
     person = np.concatenate([[0], np.cumsum(_member(plain, lexicon.person), dtype=np.int64)])
@@ -194,6 +201,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np
     marks = _IS_MARK[data]
     doubled = np.zeros(len(marks), dtype=bool)
     doubled[1:] = marks[1:] & marks[:-1]
+    doubled[offsets[:-1][offsets[:-1] < len(marks)]] = False          # a text's first byte follows none
     count = lambda flags: np.bincount(owner[flags], minlength=n)
     rude_count = count(rude)
     return np.stack([
@@ -286,14 +294,19 @@ class Isotonic:
 
 
 class ToxicityModel:
-    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray):
+    """Trees on the lexicon of all sample rows, calibrated on margins of rows that
+    neither their fold's trees nor its lexicon have seen.
+
+    ``x``: features by that lexicon; ``by_fold[k]``: by the lexicon without fold k."""
+
+    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, by_fold: np.ndarray, fold: np.ndarray):
         self.lexicon, self.constant = lexicon, float(y.mean()) if len(y) else 0.0
         self.trees = self.calibrate = None
         if len(y) and 0 < y.sum() < len(y):
-            fold = np.arange(len(y)) % FOLDS
             unseen = np.zeros(len(y))
             for k in range(FOLDS):
-                unseen[fold == k] = BoostedTrees(x[fold != k], y[fold != k]).margin(x[fold == k])
+                mine, z = fold == k, by_fold[k]
+                unseen[mine] = BoostedTrees(z[~mine], y[~mine]).margin(z[mine]) if (~mine).any() else 0.0
             self.calibrate, self.trees = Isotonic(unseen, y), BoostedTrees(x, y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -309,19 +322,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> Toxi
     chosen = (labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
               .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    sample = (docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-              .select("text", "toxic", "doc_id"))
-    lexicon = Lexicon(learn_lexicon(sample.select("text", "toxic")))
+    sample = cut_lineage(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+                         .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")), "toxicity_sample")
+    lexicons = [Lexicon(learn_lexicon(sample.where(F.col("fold") != k).select("text", "toxic"))) for k in range(FOLDS)]
+    lexicons.append(Lexicon(learn_lexicon(sample.select("text", "toxic"))))
 
     def measure(batches):
         for batch in text_slices(batches):
-            x = text_features(*utf8_buffers(batch.column(0)), lexicon)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))],
-                                             ["toxic", "doc_id", "x"])
-
-    rows = sample.mapInArrow(measure, "toxic int, doc_id long, x array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.x))       # any task order gives the same folds
-    return ToxicityModel(lexicon, np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.toxic for r in rows]))
+            x = np.concatenate([text_features(*utf8_buffers(batch.column(0)), lexicon) for lexicon in lexicons], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x.tolist(), pa.list_(pa.float64()))],
+                                             ["toxic", "doc_id", "fold", "x"])
+
+    rows = (sample.select("text", "toxic", "doc_id", "fold")
+            .mapInArrow(measure, "toxic int, doc_id long, fold int, x array<double>").collect())
+    rows.sort(key=lambda r: (r.doc_id, r.x))            # any task order gives the same model
+    x = np.array([r.x for r in rows]).reshape(len(rows), FOLDS + 1, FEATURES).swapaxes(0, 1)
+    return ToxicityModel(lexicons[-1], x[FOLDS], np.array([r.toxic for r in rows]), x[:FOLDS], np.array([r.fold for r in rows]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:

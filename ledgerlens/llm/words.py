@@ -11,11 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import IS_SPACE, mix64, random64
+from .common import GOLDEN64, IS_SPACE, mix64, random64
 
-_BYTE_CODES = random64(256, 11)
-_BASE = np.uint64(int(random64(1, 12)[0]) | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PLACES = 64                                     # places of a word with a row of their own
+_PLACE_CODES = random64(256 * _PLACES, 11)       # place * 256 + byte -> code
 _STEP = np.uint64(int(random64(1, 13)[0]) | 1)
 
 
@@ -51,23 +50,43 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
-
+def byte_sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Prefix sums of the codes of all bytes; a code depends on the byte and on its
+    distance from the last of ``starts``.
 
-def word_hashes(words: Words, data: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash per word: its bytes as a polynomial, from prefix sums.
-
-    ``data`` may be a byte-wise folded form of the texts (same length)."""
-    data = words.data if data is None else data
+    One such array serves all words of a batch and all their beginnings.  Codes are
+    pseudo-random per (place, byte), so no two different strings collide for a reason
+    of arithmetic, as they do in a polynomial modulo 2^64."""
     n = len(data)
+    place = np.zeros(n, dtype=np.int64)
+    place[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(place)
+    code = _PLACE_CODES[(place & (_PLACES - 1)) << 8 | data]
+    far = np.flatnonzero(place >= _PLACES)
     with np.errstate(over="ignore"):
+        if len(far):
+            code[far] = mix64(code[far] + (place[far] // _PLACES).astype(np.uint64) * GOLDEN64)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[data] * _powers(_BASE, n), out=sums[1:])
-        value = (sums[words.ends] - sums[words.starts]) * _powers(_BASE_INVERSE, n + 1)[words.starts]
-        return mix64(value + (words.ends - words.starts).astype(np.uint64) * _STEP)
+        np.cumsum(code, out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range, which begins at one of the ``starts``
+    of ``byte_sums`` and does not reach the next."""
+    with np.errstate(over="ignore"):
+        return mix64(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """A 64-bit hash per word."""
+    return range_hashes(byte_sums(words.data, words.starts), words.starts, words.ends)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out) if n else out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -230,3 +230,11 @@ def test_blocks_let_all_classes_of_a_large_bucket_meet(spark, monkeypatch):
     assert hot >= {(a, b) for a in range(90) for b in range(a + 1, 90) if root[a] != root[b]}
     assert not any(root[a] == root[b] in (0, 40) for a, b in hot) and set(met.values()) == {1}
     assert all(bucket == 7 or len({root[n] for n, _ in held}) > 1 for (bucket, _), held in blocks.items())
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    """Documents whose only shingles differ, in words that linear hashes confuse, are no duplicates."""
+    letters = lambda a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(4096))
+    rows = [(1, " ".join([letters("a", "b")] * 5)), (2, " ".join([letters("b", "a")] * 5))]
+    got = {r.doc_id: r.class_id for r in mh.op1_query(docs_frame(spark, rows)).collect()}
+    assert got[1] != got[2]

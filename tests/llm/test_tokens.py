@@ -10,7 +10,7 @@ import ledgerlens.llm.token_files as tf
 from ledgerlens.llm.tokens import default_tokenizer_path, encoder
 
 ODD = [None, "", "  a", "a  b", "a\n\nb", "a \n b", "\n", "\n\n\n", " ", " a ", "x  ", "don't we'll  'tis",
-       "a\tb\t\tc", "é b  c", "<|endoftext|> hi", "foo.\n\n\nBar baz\n qux", "12 345\r\n67", "a b   c",
+       "a\tb\t\tc", "é b  c", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>  \n<|endoftext", "<|endoftext|>", "foo.\n\n\nBar baz\n qux", "12 345\r\n67", "a b   c",
        "a\x1cb \x1c c", "日本語 テキスト", "a" * 3000, "😀 😀😀  x", "''s it''s", "a\x85b \x85 c", "long " * 5000]
 
 
@@ -18,7 +18,6 @@ ODD = [None, "", "  a", "a  b", "a\n\nb", "a \n b", "\n", "\n\n\n", " ", " a ",
 def plain_ids():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(default_tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
