@@ -6,15 +6,21 @@ path (tags and class, id and role words of all open elements, hashed), its words
 LSTM reads the whole sequence, so every block is judged with the context of the
 document, and labels each block main text or not.
 
-Training needs no hand labels: on at most ``SAMPLE_PAGES`` pages, blocks are marked by what the markup
+Training needs no hand labels: blocks are marked by what the markup
 says of itself (``article`` and ``main`` against ``nav``, ``footer``, ``aside``, forms, and hint words like ``ad`` or
-``comments``).  Path or words are blanked at random, so that the labeller also reads form and
-context, and pages get blocks of other pages inserted in side containers, so that
-such containers are known even where the sample has none.  The sample is drawn, in hash order, from all pages of the
-table that can be trained on: those of at most ``TRAIN_CHARS`` characters with a block marked main.  If there
-is none, nothing is learned: all blocks outside side markup (the same tags and hint words) are main text.
-
-Only training pages reach the driver.  Labelling is one pass that shuffles nothing; pages of a
+``comments``; hints on an element that holds the article, or on ``html`` and ``body``, say nothing).  In most examples the
+giveaway is then taken away: ``article`` and ``main`` become a plain container, and side tags and hints too, each or only
+some, so that words, form, place and neighbours must decide.  Path or words are blanked at random, pages
+get blocks of other pages inserted in side containers, so that
+such containers are known even where the sample has none.
+
+The sample is at most ``SAMPLE_PAGES`` pages, in hash order, of all pages of the
+table that can be trained on: those with a block marked main.  A page of more than ``WINDOW_BLOCKS`` blocks
+gives a window from anywhere in it, with its true place in the page.  If there
+is none, nothing is learned: all blocks outside side markup (the same tags and hint words) are main text.  A hint on
+an element that holds nearly all of the page's text is a wrapper's and counts nowhere.
+
+Only training windows reach the driver (paths and vectors, no texts).  Labelling is one pass that shuffles nothing; pages of a
 batch run through the network together, grouped by length.
 
 Defined results: null html gives an empty text; character references are decoded, white
@@ -25,58 +31,106 @@ equal results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import text_slices
 from .html_blocks import Block, blocks
 from .words import find_words, word_hashes
 
-PATH_SIZE, WORD_SIZE, FORM_SIZE = 48, 16, 8
+PATH_SIZE, WORD_SIZE, FORM_SIZE = 96, 16, 8
 SIZE = PATH_SIZE + WORD_SIZE + FORM_SIZE
-HIDDEN = 12
+PLACE = 4                     # the form fact that is the block's place in the page
+HIDDEN = 16
 SAMPLE_PAGES = 400
-TRAIN_CHARS = 100_000         # longer pages are not trained on
-TRAIN_BLOCKS = 150            # blocks of a training page
-EPOCHS, BATCH, RATE = 8, 16, 0.01
-BLANKED = 0.15                # share of training pages without paths, and without words
-INSERTED = 0.7                # share of training pages with inserted side blocks
+WINDOW_BLOCKS = 150           # blocks of a training page's window
+EPOCHS, BATCH, RATE = 24, 16, 0.01
+WRAPPER_SHARE = 0.9           # an element with that share of a page's text wraps the page
+PLAIN_MAIN = 0.6              # share of training pages without article and main
+PLAIN_SIDE = 0.4              # share with some side tags and hints taken away
+BLANKED = 0.08                # share of training pages without paths, and without words
+INSERTED = 0.9                # share of training pages with inserted side blocks,
+INSERTS = 4, 12               # in so many places (the second excluded)
 SEED = 5
 
 # Markup that says what it holds.
 MAIN_TAGS = frozenset(("article", "main"))
-SIDE_TAGS = frozenset("nav footer aside form header menu dialog button fieldset figcaption".split())
+SIDE_TAGS = frozenset("nav footer aside form header menu dialog button fieldset".split())
 SIDE_HINTS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
                        "disqus footer header legal login masthead menu nav navbar navigation newsletter notice overlay pagination "
                        "popup promo related reply share sharing sidebar social sponsor sponsored subscribe tags toolbar widget".split())
 
 
+# containers and names that text stands in on pages without article and main
+PLAIN_TAGS = ("div", "div", "section", "td")
+PLAIN_HINTS = "article body content copy entry main page post story text".split()
+WRAPPERS = frozenset(("html", "body", "main", "article"))       # hints on them are about the page
+
+
 def marked_main(path: tuple[str, ...]) -> bool:
     """What the markup says of a block: inside main text and in nothing beside it.
 
-    A page header is furniture; a header inside an article belongs to it."""
-    inside = False
-    for part in path:
-        if part in MAIN_TAGS:
-            inside = True
-        elif (part in SIDE_TAGS and not (inside and part == "header")) or part[1:] in SIDE_HINTS and part[0] == ".":
+    A page header is furniture; a header inside an article belongs to it.  Hints on the article
+    or on what holds it are about the page."""
+    at = next((i for i, part in enumerate(path) if part in MAIN_TAGS), None)
+    if at is None or any(part in SIDE_TAGS for part in path[:at]):
+        return False
+    owner = ""
+    for part in path[at:]:
+        if part[0] != ".":
+            owner = part
+        if part in SIDE_TAGS and part != "header" or part[0] == "." and part[1:] in SIDE_HINTS and owner not in WRAPPERS:
             return False
-    return inside
+    return True
+
+
+def side_marks(path: tuple[str, ...]) -> list[int]:
+    """Lengths of the path's beginnings that end in a side tag or hint."""
+    out, owner = [], ""
+    for i, part in enumerate(path):
+        if part[0] != ".":
+            owner = part
+            if part in SIDE_TAGS:
+                out.append(i + 1)
+        elif part[1:] in SIDE_HINTS and owner not in WRAPPERS:
+            out.append(i + 1)
+    return out
 
 
-def marked_side(path: tuple[str, ...]) -> bool:
-    """Whether a block lies in side markup, by tags or hint words."""
-    return any(part in SIDE_TAGS or part[0] == "." and part[1:] in SIDE_HINTS for part in path)
+def telling_paths(page: list[Block]) -> list[tuple[str, ...]]:
+    """The blocks' paths without hints that say nothing: those on ``WRAPPERS``, and side hints on
+    elements that hold nearly all of the page's text."""
+    held: dict[tuple, int] = {}
+    marks = [side_marks(b.path) for b in page]
+    for b, ends in zip(page, marks):
+        for n in ends:
+            if b.path[n - 1][0] == ".":
+                held[b.path[:n]] = held.get(b.path[:n], 0) + len(b.text)
+    most = WRAPPER_SHARE * sum(len(b.text) for b in page)
+    wrapping = {path for path, n in held.items() if n >= most}
+    out = []
+    for b, ends in zip(page, marks):
+        drop = {n - 1 for n in ends if b.path[:n] in wrapping}
+        kept, owner = [], ""
+        for i, part in enumerate(b.path):
+            if part[0] != ".":
+                owner = part
+            if i not in drop and (part[0] != "." or owner not in WRAPPERS):
+                kept.append(part)
+        out.append(tuple(kept))
+    return out
 
 
 class MarkupLabeller:
     """All blocks outside side markup; for tables without a page to train on."""
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        return [np.array([not marked_side(b.path) for b in p], dtype=bool) for p in pages]
+        return [np.array([not side_marks(path) for path in telling_paths(p)], dtype=bool) for p in pages]
 
 
 # -------------------------------------------------------------------- vectors
@@ -99,7 +153,7 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
 
 
 def block_vectors(pages: list[list[Block]]) -> np.ndarray:
-    """(all blocks of all pages, SIZE)."""
+    """(all blocks of all pages, SIZE): path, words, form."""
     flat = [b for p in pages for b in p]
     out = np.zeros((len(flat), SIZE))
     if not flat:
@@ -109,7 +163,7 @@ def block_vectors(pages: list[list[Block]]) -> np.ndarray:
     words = find_words(data, np.cumsum([0] + [len(r) for r in raw]))
     slot = (word_hashes(words) >> np.uint64(60)).astype(np.int64) if len(words.starts) else np.zeros(0, np.int64)
     counts = np.bincount(words.text_of() * WORD_SIZE + slot, minlength=len(flat) * WORD_SIZE).reshape(-1, WORD_SIZE)
-    out[:, :PATH_SIZE] = [path_vector(b.path) for b in flat]
+    out[:, :PATH_SIZE] = [path_vector(path) for p in pages for path in telling_paths(p)]
     out[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] = counts / np.maximum(words.counts, 1)[:, None]
     chars = np.array([len(b.text) for b in flat], dtype=float)
     place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p])
@@ -118,7 +172,7 @@ def block_vectors(pages: list[list[Block]]) -> np.ndarray:
     form[:, 1] = np.array([b.linked for b in flat]) / chars
     form[:, 2] = [sum(b.text.count(c) for c in ".,;:!?") for b in flat] / chars * 10
     form[:, 3] = [b.text[-1] in ".!?:;\"”" for b in flat]
-    form[:, 4] = place
+    form[:, PLACE] = place
     form[:, 5] = np.log1p(words.counts) / 6
     form[:, 6] = [b.text[:1].isupper() for b in flat]
     form[:, 7] = 1.0
@@ -240,6 +294,24 @@ def _padded(examples):
 
 
 # -------------------------------------------------------------------- training
+class Window(NamedTuple):
+    """Blocks of a training page: their paths, words and form (``FORM_SIZE`` facts), labels."""
+    paths: list[tuple[str, ...]]
+    rest: np.ndarray
+    main: np.ndarray
+
+
+def training_window(page: list[Block], key: int = 0) -> Window | None:
+    """The page's window, from a place that the key decides; None without a block marked main in the
+    page.  A window of a long page holds a main block or not, as its place has it."""
+    main = np.array([marked_main(b.path) for b in page], dtype=bool)
+    if not main.any():
+        return None
+    low = key % max(1, len(page) - WINDOW_BLOCKS + 1)
+    pick = slice(low, low + WINDOW_BLOCKS)
+    return Window(telling_paths(page)[pick], block_vectors([page])[pick, PATH_SIZE:], main[pick])
+
+
 def _side_path(rng, path: tuple[str, ...]) -> tuple[str, ...]:
     """A path through a side container, below or beside the given one."""
     keep = path[: rng.integers(1, len(path) + 1)] if path else ()
@@ -250,20 +322,47 @@ def _side_path(rng, path: tuple[str, ...]) -> tuple[str, ...]:
     return (*keep, "div" if rng.random() < 0.7 else "section", hint, *(("p",) if rng.random() < 0.5 else ()))
 
 
-def training_examples(pages: list[list[Block]], seed: int = SEED):
-    """(vectors, labels) of marked pages; some with side blocks inserted."""
+def _without(path: tuple[str, ...], tags: frozenset, hints: bool, plain: tuple[str, ...]) -> tuple[str, ...]:
+    """The path with ``tags`` turned into div (``article`` and ``main`` into ``plain``), and without
+    their (or all side) hints."""
+    out, owner = [], ""
+    for part in path:
+        if part[0] != ".":
+            owner = part
+            out += plain if part in tags and part in MAIN_TAGS else ("div",) if part in tags else (part,)
+        elif owner not in tags and not (hints and part[1:] in SIDE_HINTS):
+            out.append(part)
+    return tuple(out)
+
+
+def training_examples(windows: list[Window], seed: int = SEED):
+    """(vectors, labels) of the windows; most without the markup that gave the labels, some with side
+    blocks inserted."""
     rng, out = np.random.default_rng(seed), []
-    pages = [p[:TRAIN_BLOCKS] for p in pages if any(marked_main(b.path) for b in p)]
-    for page in pages:
-        made = list(page)
+    place = PATH_SIZE + WORD_SIZE + PLACE
+    side_tags = sorted(SIDE_TAGS)
+    for window in windows:
+        paths, rest, main = list(window.paths), list(window.rest), list(window.main)
+        bounds = rest[0][WORD_SIZE + PLACE], rest[-1][WORD_SIZE + PLACE]
+        gone = MAIN_TAGS if rng.random() < PLAIN_MAIN else frozenset()
+        hints = False
+        if rng.random() < PLAIN_SIDE:
+            gone |= {t for t in side_tags if rng.random() < 0.5}
+            hints = rng.random() < 0.3
+        # what pages have in its place: a plain container, named or not
+        plain = (PLAIN_TAGS[rng.integers(len(PLAIN_TAGS))],
+                 *(("." + PLAIN_HINTS[rng.integers(len(PLAIN_HINTS))],) if rng.random() < 0.5 else ()))
+        paths = [_without(p, gone, hints, plain) for p in paths]
         if rng.random() < INSERTED:
-            for _ in range(rng.integers(1, 4)):
-                other = pages[rng.integers(len(pages))]
-                k, where = rng.integers(len(other)), rng.integers(len(made) + 1)
-                path = _side_path(rng, made[min(where, len(made) - 1)].path)
-                run = [b._replace(path=path) for b in other[k: k + rng.integers(1, 4)]]
-                made[where:where] = run
-        out.append((block_vectors([made]), np.array([marked_main(b.path) for b in made], dtype=float)))
+            for _ in range(rng.integers(*INSERTS)):
+                other = windows[rng.integers(len(windows))]
+                k, where = rng.integers(len(other.paths)), rng.integers(len(paths) + 1)
+                path = _side_path(rng, paths[min(where, len(paths) - 1)])
+                run = list(other.rest[k: k + rng.integers(1, 4)])
+                paths[where:where], rest[where:where], main[where:where] = [path] * len(run), run, [False] * len(run)
+        vectors = np.concatenate([np.array([path_vector(p) for p in paths]), np.array(rest)], axis=1)
+        vectors[:, place] = np.linspace(*bounds, len(paths))
+        out.append((vectors, np.array(main, dtype=float)))
     return out
 
 
@@ -275,15 +374,41 @@ def _trainable(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["print"])
 
 
+def _windows(batches):
+    """The training windows of chosen pages, packed."""
+    for batch in text_slices(batches, column="html"):
+        found = [training_window(blocks(v), k) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([[list(p) for p in w.paths] for w in found], pa.list_(pa.list_(pa.string()))),
+             pa.array([w.rest.tobytes() for w in found], pa.binary()), pa.array([w.main.tobytes() for w in found], pa.binary())],
+            ["print", "paths", "rest", "main"])
+
+
+def _lowest_prints(rows: DataFrame) -> DataFrame:
+    """The SAMPLE_PAGES lowest prints of trainable pages.
+
+    Pages below a bound on the print are parsed; the bound is raised until they are enough or it
+    takes in the whole table, so the result is that of parsing every page."""
+    share = min(1.0, 4 * SAMPLE_PAGES / max(1, rows.count()))
+    while True:
+        some = rows if share >= 1 else rows.where(F.col("print") < F.lit(int(-2**63 + share * 2**64)))
+        prints = cut_lineage(some.mapInArrow(_trainable, "print long").distinct().orderBy("print").limit(SAMPLE_PAGES), "page_prints")
+        if share >= 1 or prints.count() == SAMPLE_PAGES:
+            return prints
+        share = min(1.0, share * 8)
+
+
 def fit_labeller(pages: DataFrame, column: str = "html") -> BlockLabeller | MarkupLabeller:
     """Train on at most SAMPLE_PAGES of all pages that can be trained on, in hash order."""
     tags = "|".join(sorted(MAIN_TAGS))
     rows = (pages.select(F.xxhash64("page_id", column).alias("print"), F.col(column).alias("html"))
-            .where(F.col("html").rlike(f"(?i)<({tags})") & (F.length("html") <= TRAIN_CHARS)))
-    prints = rows.mapInArrow(_trainable, "print long").distinct().orderBy("print").limit(SAMPLE_PAGES)
-    sample = rows.join(F.broadcast(prints), "print").dropDuplicates(["print"]).orderBy("print").collect()
-    examples = training_examples([blocks(r.html) for r in sample])
-    return BlockLabeller().fit(examples) if examples else MarkupLabeller()
+            .where(F.col("html").rlike(f"(?i)<({tags})")))
+    chosen = rows.join(F.broadcast(_lowest_prints(rows)), "print").dropDuplicates(["print"])
+    found = (chosen.mapInArrow(_windows, "print long, paths array<array<string>>, rest binary, main binary")
+             .orderBy("print").collect())
+    windows = [Window([tuple(p) for p in r.paths], np.frombuffer(r.rest).reshape(len(r.paths), -1), np.frombuffer(r.main, bool))
+               for r in found]
+    return BlockLabeller().fit(training_examples(windows)) if windows else MarkupLabeller()
 
 
 def extract(pages: DataFrame, labeller: BlockLabeller | MarkupLabeller, column: str = "html") -> DataFrame:
