@@ -39,20 +39,59 @@ def test_prefilter_misses_nothing(small_docs):
     assert not all(maybe)
 
 
-def test_novelty_tells_random_from_regular():
-    meter = sec.NoveltyMeter(sec.IDENTIFIERS.encode())
-    rng = random.Random(4)
-    around = "the client sends its private signature header to the server with every request " * 3
-    for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
-        for n in (20, 32, 64):
-            token = "".join(rng.choice(alphabet) for _ in range(n))
-            assert meter.novelty(around, token) >= sec.NOVELTY
-            assert meter.novelty(around + " " + token + " ", token) < 0.6           # seen before
-    for plain in ("private_signature_header_1", "abcdefghijklmnopqrstuvwxyz0123456789",
-                  "aaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890_1234567890_a"):
+AROUND = {"short": "the login key is ", "tiny": "key = ", "medium": "the client sends its private signature header to the server ",
+          "long": "the client sends its private signature header to the server with every request " * 6}
+REGULAR = ("aaaaaaaaaaaaaaaa1111", "abcabcabcabcabcabc12", "hunter2hunter2hunter2", "getUserNameFromDatabase1", "private_signature_header_1",
+           "abcdefghijklmnopqrstuvwxyz0123456789", "aaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890_1234567890_a", "sha256_password_hash",
+           "connection_string_v2", "utf8_general_ci_2020")
+
+
+@pytest.fixture(scope="module")
+def meters():
+    """With the fixed identifiers alone, and with the words of a table before them."""
+    import duckdb
+    from collections import Counter
+    words = Counter(w for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL").fetchall()
+                    for w in sec._WORD.findall(t))
+    learned = " ".join(w for w, _ in reversed(words.most_common(sec.DICTIONARY_WORDS))).encode()[-sec.DICTIONARY_BYTES:]
+    return {"fixed": sec.NoveltyMeter(sec.IDENTIFIERS.encode()), "learned": sec.NoveltyMeter(learned + b" " + sec.IDENTIFIERS.encode())}
+
+
+@pytest.mark.parametrize("where", AROUND)
+@pytest.mark.parametrize("which", ["fixed", "learned"])
+def test_novelty_tells_random_from_regular(meters, which, where):
+    meter, around, rng = meters[which], AROUND[where], random.Random(4)
+    found = tried = 0
+    for letters in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789",
+                    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        for n in (16, 20, 32, 64):
+            for _ in range(10):
+                token = "".join(rng.choice(letters) for _ in range(n))
+                found, tried = found + (meter.novelty(around, token) >= sec.NOVELTY), tried + 1
+                assert meter.novelty(around + " " + token + " ", token) < 0.6           # seen before
+    assert found >= 0.9 * tried
+    for plain in REGULAR:
         assert meter.novelty(around, plain) < sec.NOVELTY, plain
 
 
+def test_planted_tokens_in_documents(meters, small_docs):
+    """Random tokens planted in real texts after sensitive words are found; regular ones are left alone."""
+    rng, texts = random.Random(9), [r[1] for r in small_docs if r[1] and len(r[1]) > 300][:60]
+    dictionary = sec.IDENTIFIERS.encode()
+    found = wrong = 0
+    for k, text in enumerate(texts):
+        cut = text.find(" ", 150)
+        token = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rng.randrange(20, 44)))
+        for planted, hit in ((token, True), (REGULAR[k % len(REGULAR)], False)):
+            if not any(c.isdigit() for c in planted):
+                continue
+            made = f"{text[:cut]} login {planted} {text[cut:]}"
+            at = len(text[:cut]) + 7
+            got = (3, at, at + len(planted)) in sec.find_spans(made, dictionary)[1]
+            found, wrong = found + (got and hit), wrong + (got and not hit)
+    assert found >= 0.9 * len(texts) and wrong <= 0.05 * len(texts)
+
+
 def test_novel_spans_need_context():
     token = "q7Zt3Lw9XbV2kR8mPf5HsJ"
     base, every = sec.find_spans(f"bearer {token} end", sec.IDENTIFIERS.encode())
@@ -89,5 +128,13 @@ def test_dictionary_counts_all_documents(spark, monkeypatch):
         [(5000 + i, "quiteRareIdentifier") for i in range(2)]
     words = sec.learn_dictionary(docs_frame(spark, rows)).decode().split()
     assert {"quiteRareIdentifier", "nameless"} <= set(words)
+    coded = [(i, "sha3 uses crc32c then 4f9aQ7Zt3Lw9XbV2kR8m now") for i in range(5)]
+    known = sec.learn_dictionary(docs_frame(spark, coded)).decode().split()
+    assert {"sha3", "crc32c"} <= set(known) and not any("Q7Zt3Lw9XbV2kR8m" in w for w in known)
+    # the first words by number of occurrences, whatever the classes of their counts
+    many = [(i, " ".join(f"w{j}x" for j in range(1, 60) if i % j == 0)) for i in range(120)]
+    monkeypatch.setattr(sec, "DICTIONARY_WORDS", 7)
+    assert sec.learn_dictionary(docs_frame(spark, many)).decode().split()[:7] == [f"w{j}x" for j in range(7, 0, -1)]
+    monkeypatch.undo()
     monkeypatch.setattr(sec, "COUNTED_WORDS", 2)
     assert sec.learn_dictionary(docs_frame(spark, rows)).decode().split() == words
