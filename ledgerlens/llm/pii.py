@@ -9,13 +9,17 @@ units (letters, digits, white space, single marks).  A segment is either one uni
 most ``MAX_UNITS`` units of one kind; a segment's score is the weight of features of the whole
 span (digit count and groups, separators, ends, checks, the word before) for its kind.
 A dynamic program over segment ends chooses boundaries and kinds jointly.  Weights
-maximise the likelihood of the base spans (forward-backward over all segmentations) on a bounded sample,
-with features left out at random and copies of phone numbers without their prefix, so that
-a span lacking one of its signs may still be found.  A model span counts if it beats leaving its units outside by ``MARGIN`` and
+maximise the likelihood of the base spans (forward-backward over all segmentations) on a bounded sample.  Each
+stretch is also learned with signs taken away that the patterns need and the model should not: phone numbers
+without prefix or in other groups and separators, cards in other groups, addresses with spaces
+around the ``@``; and features are left out at random.  Dates, versions, order and book numbers
+in the same surroundings are learned as outside.  A model span counts if it beats leaving its units outside by ``MARGIN``,
+passes its kind's own check (Luhn, parts to 255, a domain, 7 to 15 digits that are no date) and
 touches no base span.  Base spans always stay.
 
-The model is trained on at most ``SAMPLE_DOCS`` documents (their stretches only
-reach the driver); finding spans shuffles nothing.
+The model is trained on at most ``SAMPLE_STRETCHES`` stretches of each set of kinds found in them (none
+included), drawn in hash order from the stretches of all documents; only those reach the driver.  Finding spans
+shuffles nothing.
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive;
 repeated rows get equal results; an empty table gives no rows; other columns are ignored.
@@ -27,11 +31,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,12 +49,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-SAMPLE_DOCS = 3000
-SAMPLE_STRETCHES = 400
+SAMPLE_STRETCHES = 120    # per set of kinds in a stretch
+PIECE_CHARS = 200         # a longer stretch is learned in pieces
 MIN_DIGITS = 7
 MAX_UNITS = 18
-EPOCHS, RATE, RIDGE, LEFT_OUT = 6, 0.5, 1e-3, 0.25
-MARGIN = 4.0
+EPOCHS, RATE, RIDGE, LEFT_OUT = 8, 0.5, 1e-3, 0.25
+MARGIN = 1.5
 CONTEXT = 24
 
 
@@ -105,6 +110,9 @@ def stretches(text: str) -> list[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
         start, end = at, at + 1
+        # one space may stand beside the mark
+        start -= text[max(0, at - 1): at] == " " and text[max(0, at - 2): at - 1].isalnum()
+        end += text[at + 1: at + 2] == " " and text[at + 2: at + 3].isalnum()
         while start > 0 and at - start < 64 and not text[start - 1].isspace():
             start -= 1
         while end < len(text) and end - at < 64 and not text[end].isspace():
@@ -132,13 +140,13 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     marks = "".join(sorted(set(c for c in s if not c.isalnum())))
     word = _LAST_WORD.search(text, max(0, start - CONTEXT), start)
     near = text[max(0, start - CONTEXT): start].rstrip()[-1:]
-    out = [f"digits {_bucket(len(digits))}", f"groups {min(len(groups), 8)}", f"marks {marks[:8]}", f"first {_kind(s[0])}",
+    out = [f"digits {_bucket(len(digits))}", f"lengths {'-'.join(str(len(g)) for g in groups)[:14]}", f"groups {min(len(groups), 8)}", f"marks {marks[:8]}", f"first {_kind(s[0])}",
            f"last {_kind(s[-1])}", f"before {_kind(text[start - 1]) if start else 'edge'}",
            f"after {_kind(text[end]) if end < len(text) else 'edge'}", f"at {min(s.count('@'), 2)}", f"near {_kind(near) if near else 'edge'}",
            f"letters {any(c.isalpha() for c in s)}", f"word {word[1].lower()[:12] if word else ''}",
            "shape " + re.sub(r"[0-9]+", "0", re.sub(r"[A-Za-z]+", "a", s))[:24]]
     if "@" in s:
-        out.append(f"domain {bool(DOMAIN.fullmatch(s.rpartition('@')[2]))}")
+        out.append(f"domain {bool(DOMAIN.fullmatch(s.rpartition('@')[2].strip()))}")
     elif 13 <= len(digits) <= 19 and luhn(digits):
         out.append("luhn")
     if len(groups) == 4:
@@ -269,43 +277,123 @@ def training_example(text: str, start: int, end: int, spans):
 
 
 _PREFIX = re.compile(r"\+[0-9]{1,3}[\x20.-]*(?=[(0-9])")
+# Ways to write local phone numbers and cards (one 0 per digit), and numbers that are neither.
+PHONE_FORMS = ("000-000-0000", "(000) 000-0000", "000 000 0000", "000.000.0000", "(000) 0000 0000", "0000 000000", "000 0000 0000",
+               "0000-000-000", "00 00 00 00 00", "(00) 0000-0000", "0000000000")
+CARD_FORMS = ("0000.0000.0000.0000", "0000  0000  0000  0000", "000000 0000000000", "0000 000000 000000")
+OTHER_FORMS = ("2000-00-00", "00.00.2000", "00-00-2000", "2000-00-00 00", "2000.00.00", "0.00.0.0000", "00.0.000.00000", "1.0.00-2000",
+               "978-0-00-000000-0", "0000000 0000", "00000000", "000000000000", "1000-2000", "000 000 000", "0000-0000", "00000-00",
+               "0.000.000.00", "00000000-000", "2000 2000 2000", "20000000", "20000000-000000")
+
+
+def _filled(form: str, rng: random.Random) -> str:
+    """A form with its zeros replaced by digits; the first is not 0."""
+    return "".join(str(rng.randrange(1 if k == 0 else 0, 10)) if c == "0" else c for k, c in enumerate(form))
+
+
+def _variants(kind: int, span: str, rng: random.Random) -> list[str]:
+    """The span with signs taken away that its pattern needs."""
+    digits = _digits(span)
+    if kind == 0:
+        name, _, domain = span.rpartition("@")
+        bare = re.match("[A-Za-z]*", name)[0] or name
+        names = [name, bare, rng.choice((f"{bare}{rng.randrange(100)}", f"{bare}.{rng.choice('xyz')}")),
+                 rng.choice((f"{bare}_{rng.choice('xyz')}{rng.randrange(10)}", f"{rng.choice('xyz')}_{bare}"))]
+        return [f"{n}{rng.choice((' @ ', ' @', '@ '))}{domain}" for n in names]
+    if kind == 2:
+        forms = [f for f in CARD_FORMS if f.count("0") == len(digits)]
+        source = iter(digits)
+        return ["".join(next(source) if c == "0" else c for c in rng.choice(forms))] if forms else []
+    if kind == 3:
+        prefix = _PREFIX.match(span)
+        local = [span[prefix.end():]] if prefix and len(_digits(span[prefix.end():])) >= MIN_DIGITS else []
+        return [*local, *(_filled(f, rng) for f in rng.sample(PHONE_FORMS, 6))]
+    return []
 
 
 def training_examples(piece: str) -> list:
-    """Examples of a piece of text, and of its copies whose phone numbers
-    have lost their country prefix (a sign the pattern needs, the model should not)."""
-    spans = base_spans(piece)
+    """Examples of a piece of text, of copies in which a span lacks some of its signs, and of
+    copies with another kind of number in its place."""
+    spans, rng = base_spans(piece), random.Random(zlib.crc32(piece.encode("utf-8", "replace")))
     out = [e for s, t in stretches(piece) if (e := training_example(piece, s, t, spans))]
+
+    def instead(s: int, e: int, new: str, gold: list) -> None:
+        text = piece[:s] + new + piece[e:]
+        if not any(a < s + len(new) and s < b for _, a, b in base_spans(text)) or not gold:
+            out.extend(x for a, b in stretches(text) if a <= s < b and (x := training_example(text, a, b, gold)))
+
     for kind, s, e in spans:
-        prefix = _PREFIX.match(piece, s, e) if kind == 3 else None
-        if prefix and len(_digits(piece[prefix.end():e])) >= MIN_DIGITS:
-            text, cut = piece[:s] + piece[prefix.end():], prefix.end() - s
-            out += [x for a, b in stretches(text) if a <= s < b and (x := training_example(text, a, b, [(3, s, e - cut)]))]
+        for new in _variants(kind, piece[s:e], rng):
+            instead(s, e, new, [(kind, s, s + len(new))])
+    places = [(s, e) for _, s, e in spans] or stretches(piece)[:1]
+    for s, e in places:
+        for form in rng.sample(OTHER_FORMS, 2):
+            instead(s, e, _filled(form, rng), [])
     return out
 
 
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}[-./ ]?[01]?[0-9][-./ ]?[0-3]?[0-9](?:[-. ][0-9]{1,2})*|[0-3]?[0-9][-./ ][0-3]?[0-9][-./ ](?:1[89]|20)[0-9]{2}")
+
+
+def passes(kind: int, span: str) -> bool:
+    """A kind's own check, for spans of the model."""
+    digits = _digits(span)
+    if kind == 0:
+        name, _, domain = span.rpartition("@")
+        return bool(name.strip()) and "@" not in name and bool(DOMAIN.fullmatch(domain.strip()))
+    if kind == 1:
+        parts = re.findall("[0-9]+", span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not any(c.isalpha() for c in span)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in span)
+    return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in span) and not _DATE.fullmatch(span.strip("()+ "))
+
+
 # ------------------------------------------------------------------- operator
 def _maybe(column: pa.Array) -> list[bool]:
     """Texts with an ``@`` or a digit; the others hold nothing."""
     return pc.fill_null(pc.match_substring_regex(column, "[@0-9]"), False).to_pylist()
 
 
-def fit_pii(docs: DataFrame, text: str = "text") -> SemiMarkovCrf:
-    """Train on the stretches of at most SAMPLE_DOCS documents, in hash order."""
-    chosen = docs.where("doc_id is not null").select("doc_id").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+def _pieces(text: str) -> list[str]:
+    """The stretches of a text with what stands before and after, long ones cut at white space."""
+    out = []
+    for s, e in stretches(text):
+        while e - s > PIECE_CHARS:
+            cut = max((m.start() for m in re.finditer(r"\s", text[s + 1: s + PIECE_CHARS])), default=PIECE_CHARS - 2) + 1
+            out.append(text[max(0, s - CONTEXT): s + cut + 1])
+            s += cut
+        out.append(text[max(0, s - CONTEXT): e + 1])
+    return out
+
+
+def _found(piece: str) -> str:
+    """The kinds that a piece holds, in order."""
+    return " ".join(KINDS[k] for k in sorted({k for k, _, _ in base_spans(piece)}))
 
+
+def fit_pii(docs: DataFrame, text: str = "text") -> SemiMarkovCrf:
+    """Train on stretches drawn from all documents, so many of each set of kinds."""
     def collect(batches):
+        lowest: dict[str, dict[str, int]] = {}              # kinds -> piece -> hash
         for batch in batches:
-            out = []
             for value, maybe in zip(batch.column(0).to_pylist(), _maybe(batch.column(0))):
-                for s, e in stretches(value) if maybe else ():
-                    out.append(value[max(0, s - CONTEXT): e + 1] if e - s <= 200 else None)
-            yield pa.RecordBatch.from_arrays([pa.array([v for v in out if v], pa.string())], ["piece"])
-
-    pieces = (docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text")
-              .mapInArrow(collect, "piece string").distinct().orderBy(F.xxhash64("piece"), "piece")
-              .limit(SAMPLE_STRETCHES).collect())
+                for piece in _pieces(value) if maybe else ():
+                    mine = lowest.setdefault(_found(piece), {})
+                    mine[piece] = zlib.crc32(piece.encode("utf-8", "replace"))
+                    if len(mine) > 8 * SAMPLE_STRETCHES:
+                        keep = sorted(mine, key=lambda p: (mine[p], p))[:SAMPLE_STRETCHES]
+                        lowest[_found(piece)] = {p: mine[p] for p in keep}
+        rows = [(kinds, p, h) for kinds, mine in lowest.items()
+                for p, h in sorted(mine.items(), key=lambda v: (v[1], v[0]))[:SAMPLE_STRETCHES]]
+        columns = list(zip(*rows)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))],
+                                         ["kinds", "piece", "print"])
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(collect, "kinds string, piece string, print long").distinct()
+    # at most SAMPLE_STRETCHES rows a task and set of kinds come here; there are 16 sets
+    nth = F.row_number().over(Window.partitionBy("kinds").orderBy("print", "piece"))
+    pieces = found.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_STRETCHES).orderBy("kinds", "nth").collect()
     examples = []
     for r in pieces:
         examples += training_examples(r.piece)
@@ -321,7 +409,7 @@ def find_spans(text: str, model: SemiMarkovCrf) -> tuple[list, list]:
         if any(s <= start and e >= end for s, e in taken):
             continue                      # all of it is a base span
         for kind, s, e, gain in model.decode(Stretch(text, start, end)):
-            if gain >= MARGIN and not any(s < b and a < e for a, b in taken):
+            if gain >= MARGIN and passes(kind, text[s:e]) and not any(s < b and a < e for a, b in taken):
                 added.append((kind, s, e))
     return base, sorted(base + added)
 

@@ -100,3 +100,88 @@ def test_edges(spark):
         .withColumnRenamed("lang", "spans").withColumnRenamed("source", "n_ip")
     out = pii.op5_query(docs).collect()
     assert sorted(r.spans for r in out) == ["", "", "email:0:6", "email:100000:100006"]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """The model of the middle table, and texts it was not drawn from alone."""
+    import duckdb
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 300 ORDER BY doc_id").fetchall()
+    return pii.fit_pii(docs), [r[0] for r in rows][:150]
+
+
+def planted(trained, make, kind, n=60, seed=7):
+    """Share of planted numbers that get exactly their span (kind None: no span)."""
+    import random
+    model, texts = trained
+    rng, right = random.Random(seed), 0
+    for _ in range(n):
+        text, x = texts[rng.randrange(len(texts))], make(rng)
+        cut = text.find(" ", rng.randrange(20, 180))
+        word = rng.choice(["call", "tel", "contact", "the", "reach", "card", "mail", "on", "at", ""])
+        made = f"{text[:cut]} {word} {x} {text[cut + 1:]}"
+        at = made.find(x, cut)
+        base, every = pii.find_spans(made, model)
+        got = [v for v in every if v not in base and v[1] < at + len(x) and v[2] > at]
+        right += (kind, at, at + len(x)) in got if kind is not None else not got
+    return right / n
+
+
+@pytest.mark.parametrize("form", ["000-000-0000", "(000) 0000 0000", "(000) 000-0000", "0000 000000", "000 000 0000", "000.000.0000"])
+def test_planted_phones_without_prefix(trained, form):
+    assert planted(trained, lambda rng: pii._filled(form, rng), 3) >= 0.9
+
+
+@pytest.mark.parametrize("form", ["0000.0000.0000.0000", "0000  0000  0000  0000"])
+def test_planted_cards_in_other_groups(trained, form):
+    def make(rng):
+        while True:
+            x = pii._filled(form, rng)
+            if pii.luhn(pii._digits(x)):
+                return x
+    assert planted(trained, make, 2) >= 0.9
+    wrong = lambda rng: next(x for x in iter(lambda: pii._filled(form, rng), None) if not pii.luhn(pii._digits(x)))
+    assert planted(trained, wrong, None) >= 0.95
+
+
+def test_planted_addresses_with_spaces(trained):
+    make = lambda rng: f"{rng.choice(['ann', 'bob.lee', 'x_y9'])} @ {rng.choice(['mail', 'post'])}{rng.randrange(9)}.example.com"
+    assert planted(trained, make, 0) >= 0.9
+
+
+@pytest.mark.parametrize("form", ["2000-00-00", "00.00.2000", "0.0.0.0000", "00.2.3.4000", "978-0-00-000000-0", "1.00.000",
+                                  "2000-00-00 00", "0000000", "20000000", "1000-2000", "0,000,000.00"])
+def test_planted_lookalikes_are_left_alone(trained, form):
+    assert planted(trained, lambda rng: pii._filled(form, rng), None) >= 0.95
+
+
+def test_named_cases(trained):
+    model, _ = trained
+    spans = lambda t: [(pii.KINDS[k], t[s:e]) for k, s, e in pii.find_spans(t, model)[1]]
+    assert spans("call 555-123-4567 now") == [("phone", "555-123-4567")]
+    assert spans("call (030) 1234 5678 now") == [("phone", "(030) 1234 5678")]
+    assert spans("at 10.2.3.4567 x") == []                      # a part over 255
+    assert spans("on 2024-01-15 and 15.01.2024") == []
+
+
+def test_kinds_checks():
+    assert pii.passes(1, "10.2.3.4") and not pii.passes(1, "10.2.3.4567") and not pii.passes(1, "10.2.3")
+    assert pii.passes(2, "4111.1111.1111.1111") and not pii.passes(2, "4111.1111.1111.1112")
+    assert pii.passes(3, "555-123-4567") and not pii.passes(3, "2024-01-15") and not pii.passes(3, "123456")
+    assert pii.passes(0, "a @ b.cd") and not pii.passes(0, "a@b") and not pii.passes(0, "@b.cd")
+
+
+def test_rare_personal_data_is_drawn(spark):
+    """One document in two thousand holds any: its stretch is in the sample, beside others without."""
+    seen = []
+    rows = [(i, f"order {1_000_000 + i} of plain text") for i in range(2000)] + [(None, "call +1 (456) 555-2186 or " + "9" * 700)]
+    real = pii.training_examples
+    pii.training_examples = lambda piece: seen.append(piece) or real(piece)
+    try:
+        pii.fit_pii(docs_frame(spark, rows))
+    finally:
+        pii.training_examples = real
+    assert any("+1 (456) 555-2186" in p for p in seen)
+    assert pii.SAMPLE_STRETCHES - 8 <= sum(p.startswith("order") for p in seen) <= pii.SAMPLE_STRETCHES
+    assert all(len(p) <= pii.PIECE_CHARS + pii.CONTEXT + 2 for p in seen)
