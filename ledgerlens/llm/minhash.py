@@ -504,7 +504,8 @@ def components(links: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- operator
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the
-    class), class_size, links (of its text to different texts), kept."""
+    class), class_size, tree_links (links of its text that were found and verified: those that hold the
+    class together, not all links inside it), kept."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
                          F.xxhash64(F.col(text)).alias("print"))
     signed = cut_lineage(with_row_id(narrow.mapInArrow(_sign, SIGNATURE_SCHEMA), "row")
@@ -527,13 +528,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         links = links.union(more).distinct()
         roots = components(links)
     degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-              .agg(F.count(F.lit(1)).alias("links")))
+              .agg(F.count(F.lit(1)).alias("tree_links")))
     member = (names.join(roots, "node", "left").join(degree, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     heads = member.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "node")).alias("head"),
                                        F.sum("copies").alias("class_size"))
     classes = cut_lineage(member.join(heads, "root").select(
-        "bag", "copies", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        "bag", "copies", "class_size", F.coalesce("tree_links", F.lit(0)).cast("long").alias("tree_links"),
         F.when(F.col("head.no_id") == 0, F.col("head.doc_id")).alias("class_id"),
         F.col("head.node").alias("keep_row")), "near_classes")
     is_hot = F.col("copies") * HOT_SHARE > F.lit(n_rows)
@@ -541,7 +542,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = rows.join(F.broadcast(classes.where(is_hot)), "bag", "left")
     cold = marked.where("copies is null").select(rows.columns).join(classes.where(~is_hot), "bag")
     return marked.where("copies is not null").unionByName(cold).select(
-        F.when(F.col("no_id") == 0, F.col("doc_id")).alias("doc_id"), "class_id", "class_size", "links",
+        F.when(F.col("no_id") == 0, F.col("doc_id")).alias("doc_id"), "class_id", "class_size", "tree_links",
         (F.col("row") == F.col("keep_row")).alias("kept"), "print")
 
 

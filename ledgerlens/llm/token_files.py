@@ -156,6 +156,7 @@ class PlaneReader:
 
 
 # ------------------------------------------------------------------- operator
+ROWS_PER_FILE = 200_000      # documents of a file, at most about (more files on small tables)
 INDEX_SCHEMA = "doc_id long, part int, file string, file_start long, n_tokens long"
 
 
@@ -187,10 +188,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if out is not None:
             out.close()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col("doc_id").asc_nulls_last()
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .repartitionByRange(parts, order).sortWithinPartitions(order))
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_PER_FILE))
+    # equal (or no) ids are dealt on by their text, copies of a text by their row
+    order = [F.col("doc_id").asc_nulls_last(), F.col("print"), F.col("row")]
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
+                        F.xxhash64(F.col(text)).alias("print"), F.monotonically_increasing_id().alias("row"))
+            .repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text"))
     index = cut_lineage(rows.mapInArrow(write, INDEX_SCHEMA), "token_index")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = index.groupBy("part").agg(F.sum("n_tokens").alias("ids"))       # one row per file

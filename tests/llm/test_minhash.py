@@ -128,7 +128,7 @@ def test_large_group_of_near_copies(spark):
     out = mh.op1_query(docs_frame(spark, rows)).collect()
     classes = Counter(r.class_id for r in out)
     assert classes[0] == 1500 and len(classes) == 101
-    assert sum(r.links for r in out) < 20 * len(rows)      # a few per node, never all pairs
+    assert sum(r.tree_links for r in out) < 20 * len(rows)      # a few per node, never all pairs
 
 
 def test_matches_brute_force_on_table(spark, small_docs):

@@ -120,3 +120,21 @@ def test_assignment_balances_cost():
             naive[at // 1024] = naive.get(at // 1024, 0) + pk.piece_cost(end - at)
             at = end
     assert np.std(whole) < np.std(list(naive.values()))
+
+
+def test_equal_ids_are_dealt_over_files(spark):
+    """Half of the rows have no id, a third of those one text: no file holds much more than its share."""
+    rows = [(i if i % 2 else None, "the same text" if i % 6 == 0 else f"text {i}") for i in range(4000)]
+    from ledgerlens.session import scratch_path
+    index = tf.write_token_files(docs_frame(spark, rows).repartition(5), scratch_path(spark, "tied_files"))
+    sizes = [r["count"] for r in index.groupBy("file").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / len(sizes)
+    starts = sorted((r.start, r.n_tokens, r.doc_id is None) for r in index.collect())
+    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:])) and [s[2] for s in starts] == [False] * 2000 + [True] * 2000
+
+
+def test_files_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(tf, "ROWS_PER_FILE", 100)
+    from ledgerlens.session import scratch_path
+    index = tf.write_token_files(docs_frame(spark, [(i, "a") for i in range(2000)]), scratch_path(spark, "many_files"))
+    assert index.select("file").distinct().count() >= 15
