@@ -16,7 +16,7 @@ from ..functions.hexgrid import hex_centroid, with_hex_cell
 from ..functions.icogrid import with_ico_cell, with_ico_centre
 from ..operators.aggregates import category_share
 from ..operators.categories import collapse_rare
-from ..session import cut_lineage, scratch_path, written_once
+from ..session import cut_lineage, scratch_path, still_written, written_once
 from ..sources.catalog import reused
 from ..sources.csv_lines import CsvQuarantine, read_csv_inferred
 from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards, tolerant_types
@@ -211,6 +211,8 @@ def _star(spark, sf_dir) -> st.Star:
         path = scratch_path(spark, "sme_clean")
         return write_parquet(st.clean_sme(_survey(spark, sf_dir)), path)
     path = written_once(spark, "sme_clean", td.paths(sf_dir, td.SURVEY_TABLES), write)
+    for gone in [p for p in _stars if not still_written(p)]:
+        del _stars[gone]
     if path not in _stars:
         _stars[path] = st.Star(spark.read.parquet(path))
     return _stars[path]
@@ -294,8 +296,8 @@ def q_hex_centroid_global(spark, sf_dir):
 
 @query("dim_emprendedor")
 def q_dim_emprendedor(spark, sf_dir):
-    """A projection of the clean rows (lazy: nothing is written)."""
-    return st.dim_emprendedor(st.clean_sme(_survey(spark, sf_dir)))
+    """A projection of the written clean rows."""
+    return _star(spark, sf_dir).dim_emprendedor
 
 
 @query("dim_geografia")

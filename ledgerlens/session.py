@@ -171,3 +171,8 @@ def written_once(spark: SparkSession, name: str, paths: Sequence[str], build: Ca
         for other in [k for k in _written if k[:3] == key[:3] and k != key]:
             del _written[other]
     return _written[key]
+
+
+def still_written(path: str) -> bool:
+    """Whether a path of :func:`written_once` is still the one in use."""
+    return path in _written.values()
