@@ -33,7 +33,7 @@ from ..operators.distinct import bitmap_size, count_bitmaps, distinct_bitmaps, m
 from ..operators.relational import in_lists
 from ..session import cut_lineage
 from ..sources.sinks import check_codec
-from .cube import CELL_MONEY, CUBE_KEYS, STATE, YEAR
+from .cube import CELL_MONEY, CUBE_KEYS, STATE, YEAR, clean_transactions, cube_dashboard, read_transactions_csv
 
 MONTH_KEYS = ["Year", "Month"]
 CELLS, USERS = "cells", "users"
@@ -107,6 +107,10 @@ class CubeStore:
         self._overwrite_months(merged, CELLS)
         return months
 
+    def load_csv(self, path: str | Sequence[str], file_columns: Sequence[str] | None = None) -> list[tuple]:
+        """A further run of the ETL: only the new files are read."""
+        return self.load(clean_transactions(read_transactions_csv(self.spark, path, file_columns)))
+
     def _must(self, name: str) -> DataFrame:
         df = self._read(name)
         if df is None:
@@ -127,3 +131,7 @@ class CubeStore:
 
         Reads the stored bitmaps alone; years prune partitions."""
         return count_bitmaps(in_lists(self._must(USERS), **{YEAR: years, STATE: states}), by, name)
+
+    def dashboard(self, years: Sequence[int] | None = None, states: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """The card dashboard's figures on the stored cube, with the selection's unique users."""
+        return {**cube_dashboard(self.cube(), years, states), "unique_users": self.unique_users((), years, states)}

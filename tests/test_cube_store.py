@@ -125,3 +125,18 @@ def test_unique_users_read_only_the_stored_bitmaps(spark, tmp_path):
     scan = [line for line in plan.split("\n") if "FileScan" in line][0]
     assert "bitmap:binary" in scan and "Year" in scan.split("PartitionFilters: ")[1].split("]")[0]
     assert all(f"{store.path}/users/" in f for f in df.inputFiles())
+
+
+def test_csv_batches_and_dashboard(spark, tmp_path):
+    """Two CSV files loaded one after the other, the second with a broken line, equal one build."""
+    header = ",".join(cb.RAW_COLUMNS) + "\n"
+    line = lambda u, m, s: f'{u},1,2019,{m},3,"$1,000.50",Chip,X,{s},5411,,No\n'
+    (tmp_path / "a.csv").write_text(header + line(1, 1, "CA") + line(2, 1, "TX"))
+    (tmp_path / "b.csv").write_text(header + line(2, 1, "CA") + "7,broken\n" + line(3, 2, "CA"))
+    store = cs.CubeStore(spark, str(tmp_path / "cube"))
+    assert store.load_csv(str(tmp_path / "a.csv"), cb.RAW_COLUMNS) == [(2019, 1)]
+    assert sorted(store.load_csv(str(tmp_path / "b.csv"))) == [(2019, 1), (2019, 2)]
+    whole = cb.build_cube(cb.clean_transactions(cb.read_transactions_csv(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv")], cb.RAW_COLUMNS)))
+    assert counted(store.cube()) == counted(whole)
+    figures = store.dashboard(states=["CA"])
+    assert figures["unique_users"].first()[0] == 3 and figures["kpis"].first().total_transactions == 3
