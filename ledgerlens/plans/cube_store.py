@@ -31,7 +31,7 @@ from ..functions.columns import MONEY, col
 from ..operators.aggregates import count_true
 from ..operators.distinct import bitmap_size, count_bitmaps, distinct_bitmaps, merge_bitmaps
 from ..operators.relational import in_lists
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_scope
 from ..sources.sinks import check_codec
 from .cube import CELL_MONEY, CUBE_KEYS, STATE, YEAR, clean_transactions, cube_dashboard, read_transactions_csv
 
@@ -85,6 +85,10 @@ class CubeStore:
 
     def load(self, clean: DataFrame) -> list[tuple]:
         """Add a batch of clean transactions; returns the months that were rebuilt."""
+        with scratch_scope(self.spark):
+            return self._load(clean)
+
+    def _load(self, clean: DataFrame) -> list[tuple]:
         cells = cut_lineage(batch_cells(clean), "batch_cells")
         users = distinct_bitmaps(clean, CUBE_KEYS, "User")
         months = _months(cells)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 from typing import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,8 @@ def selected_files(spark: SparkSession, path: str, **allowed: Sequence | None) -
     index = spark.read.parquet(f"{path}/{INDEX}")
     clustered = [c[len("min "):] for c in index.columns if c.startswith("min ")]
     asked = [_meets(c, v) for c, v in allowed.items() if v is not None and c in clustered]
-    return [r["file"] for r in index.where(reduce(lambda a, b: a & b, asked, F.lit(True))).select("file").collect()]
+    rows = index.where(reduce(lambda a, b: a & b, asked, F.lit(True))).select("file").collect()
+    return [unquote(r["file"]) for r in rows]            # file paths of rows are written as URLs
 
 
 def read_selected(spark: SparkSession, path: str, **allowed: Sequence | None) -> DataFrame:

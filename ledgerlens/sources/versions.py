@@ -53,8 +53,8 @@ def point_to(spark: SparkSession, name: str, folder: str) -> DataFrame:
     """Make ``folder`` the version that ``name`` shows: the one atomic step."""
     if spark.catalog.tableExists(name) and current(spark, name) is None:
         spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")       # a plain table of older layout, once
-    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(name)} TBLPROPERTIES ('{VERSION}' = '{folder}') "
-              f"AS SELECT * FROM parquet.`{folder}`")
+    text, path = folder.replace("\\", "\\\\").replace("'", "\\'"), folder.replace("`", "``")
+    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(name)} TBLPROPERTIES ('{VERSION}' = '{text}') AS SELECT * FROM parquet.`{path}`")
     return spark.table(name)
 
 
@@ -70,9 +70,10 @@ def replace_table(spark: SparkSession, df: DataFrame, name: str, root: str,
     folder = f"{root.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").option("compression", compression).parquet(folder)
     table = point_to(spark, name, folder)
-    # what is older than the kept versions, and folders of writes that failed
-    whole = [v for v in before if v == shown or _committed(spark, v)]
-    kept = {folder, *whole[len(whole) - (keep - 1):]} if keep > 1 else {folder}
+    # what is older than the kept versions, and folders of writes that failed; the version shown until
+    # now counts as the latest before this one
+    whole = sorted((v for v in before if v == shown or _committed(spark, v)), key=lambda v: (v == shown, v))
+    kept = {folder, *whole[max(0, len(whole) - (keep - 1)):]} if keep > 1 else {folder}
     for old in before:
         if old not in kept and old < folder:
             fs, target = _folder(spark, old)

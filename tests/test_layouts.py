@@ -126,7 +126,7 @@ def test_row_groups_are_skipped_by_bloom_filters(spark, tmp_path):
 
 def test_hot_value_spans_files(spark, tmp_path):
     df = spark.range(0, 9000, 1, 5).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    path = cl.write_clustered(df, str(tmp_path / "h"), ["k"], rows_per_file=400)
+    path = cl.write_clustered(df, str(tmp_path / "h and 50%"), ["k"], rows_per_file=400)
     hot = cl.read_selected(spark, path, k=["hot"])
     assert hot.count() == 3000 and len(cl.selected_files(spark, path, k=["hot"])) >= 8
 

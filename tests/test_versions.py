@@ -58,9 +58,15 @@ def test_returning_to_an_old_version_keeps_it(spark, tmp_path):
     for n in (1, 2):
         vs.replace_table(spark, spark.range(n).toDF("n"), "swap_b", root)
     first = vs.versions(spark, root)[0]
-    vs.point_to(spark, "swap_b", first)
+    planned = vs.point_to(spark, "swap_b", first)
     vs.replace_table(spark, spark.table("swap_b").union(spark.range(10).toDF("n")), "swap_b", root)
-    assert spark.table("swap_b").count() == 11
+    assert spark.table("swap_b").count() == 11 and planned.count() == 1       # what was shown stays for its readers
+
+
+def test_paths_with_odd_characters(spark, tmp_path):
+    root = str(tmp_path / "it's a `table`")
+    assert vs.replace_table(spark, spark.range(3).toDF("n"), "swap_o", root).count() == 3
+    assert vs.current(spark, "swap_o") == vs.versions(spark, root)[0]
 
 
 def test_create_table_as_and_materialize_use_versions(spark, tmp_path):
