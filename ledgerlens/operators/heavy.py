@@ -8,7 +8,7 @@ frequent value is ever missed.  Only values in such buckets (candidates) are the
 counted exactly; the chance that a rare value is one is about
 (1 / (threshold * WIDTH)) ** HASHES, 1.5e-6 at 5 %.
 
-Two scans of the columns.  The first shuffles at most columns * HASHES * WIDTH counts a
+Two scans of the columns (and a count of rows).  The first shuffles at most columns * HASHES * WIDTH counts a
 task, the second the candidates' counts a task; a column of any number of distinct values
 costs the same.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..session import cut_lineage
 
 WIDTH = 16_384
 HASHES = 2
@@ -51,7 +52,8 @@ def heavy_buckets(df: DataFrame, columns: Sequence[str], threshold: float, width
 
 def candidates(df: DataFrame, columns: Sequence[str], threshold: float, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
     """(column, value) of the rows whose value lies in heavy buckets under every function."""
-    heavy = heavy_buckets(df, columns, threshold, width, hashes)
+    # a few rows, written: the functions' joins below read them instead of counting again
+    heavy = cut_lineage(heavy_buckets(df, columns, threshold, width, hashes), "heavy_buckets")
     rows = _pairs(df, columns)
     for i in range(hashes):
         mine = (heavy.where(F.col("function") == i)
@@ -68,5 +70,6 @@ def frequent_values_bounded(df: DataFrame, columns: Sequence[str], threshold: fl
     counts = (candidates(df, columns, threshold, width, hashes)
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return (counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total"))
-            .where(F.col("share") >= F.lit(float(threshold))).drop("__total"))
+    found = (counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total"))
+             .where(F.col("share") >= F.lit(float(threshold))).drop("__total"))
+    return cut_lineage(found, "frequent_values")         # at most columns / threshold rows
