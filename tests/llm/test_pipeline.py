@@ -109,3 +109,18 @@ def test_stages_on_odd_rows(spark, tmp_path, rows):
             docs = out
     if rows:
         assert out.count() > 0
+
+
+def test_special_token_strings_in_the_packed_mix(spark):
+    """The packing stage's ids are those of the library's plain call, strings of added tokens included."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+    from ledgerlens.llm.tokens import default_tokenizer_path
+    t = Tokenizer.from_file(default_tokenizer_path())
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "no such <|endoftext |> here"), (4, "tail<|endoftext|>")]
+    out = {r.doc_id: r for r in cp.stage_packing(spark, docs_frame(spark, rows), "").collect()}
+    for doc_id, text in rows:
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert (out[doc_id].doc_tokens, out[doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
