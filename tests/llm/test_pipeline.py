@@ -120,7 +120,9 @@ def test_special_token_strings_in_the_packed_mix(spark):
     from ledgerlens.llm.tokens import default_tokenizer_path
     t = Tokenizer.from_file(default_tokenizer_path())
     rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "no such <|endoftext |> here"), (4, "tail<|endoftext|>")]
-    out = {r.doc_id: r for r in cp.stage_packing(spark, docs_frame(spark, rows), "").collect()}
-    for doc_id, text in rows:
-        ids = np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4")
-        assert (out[doc_id].doc_tokens, out[doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    ids = {i: np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4") for i, text in rows}
+    out = cp.stage_packing(spark, docs_frame(spark, rows), "").collect()
+    for r in out:
+        part = ids[r.doc_id][r.start: r.start + r.length]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(part.tobytes()))
+    assert sum(r.length for r in out) == sum(map(len, ids.values()))
