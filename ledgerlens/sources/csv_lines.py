@@ -43,32 +43,27 @@ def _commas(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
 
 
-def line_fault(line: Column, n: int) -> Column:
-    """Why a line is refused: short, long, quote; null for a good one.
+def line_state(line: Column, names: Sequence[str]) -> Column:
+    """Null for a record; else header, blank, or why the line is refused: short, long, quote.
 
-    Most lines are settled by one pattern (``n`` fields, each without quotes or in a
-    pair of them); the rest by what is left when whole quoted fields are taken out."""
+    Nearly all lines are settled by the first branch, one pattern (a field per name, each without
+    quotes or in a pair of them); the others by what is left when whole quoted fields are taken out."""
+    n, bare = len(names), [c.replace('"', "") for c in names]
     field = r'(?:[^",]*+|"[^"]*+")'
     plain = line.rlike(rf"^{field}(?:,{field}){{{n - 1}}}$")
+    named = F.instr(line, max(bare, key=len)) > 0          # a header line holds its longest name
+    text = F.replace(line, F.lit('"'), F.lit(""))
+    moved = F.array_sort(F.split(text, ",")) == F.array_sort(F.array(*map(F.lit, bare)))
     rest = F.regexp_replace(line, _BEFORE + _QUOTED + _AFTER, "")
-    return (F.when(plain, F.lit(None).cast("string"))
+    return (F.when(~named & plain & (F.lit(True) if n > 1 else F.trim(line) != ""), F.lit(None).cast("string"))
+            .when(F.trim(line) == "", F.lit("blank"))
+            .when(named & (text == ",".join(bare)), F.lit("header"))
+            .when(named & moved, F.raise_error(F.concat(F.lit("a header with the columns in another order: "), line)).cast("string"))
             .when(rest.rlike(_BEFORE + '"'), F.lit("quote"))
             .when(_commas(rest) + 1 < n, F.lit("short"))
             .when(_commas(rest) + 1 > n, F.lit("long")))
 
 
-def _line_kind(line: Column, names: Sequence[str]) -> Column:
-    """header, blank, or null for a record."""
-    bare = [c.replace('"', "") for c in names]
-    text = F.replace(line, F.lit('"'), F.lit(""))
-    longest = max(bare, key=len)
-    fields = F.split(text, ",")
-    moved = (F.instr(line, longest) > 0) & (F.array_sort(fields) == F.array_sort(F.array(*map(F.lit, bare))))
-    return (F.when(F.trim(line) == "", F.lit("blank"))
-            .when(text == ",".join(bare), F.lit("header"))
-            .when(moved, F.raise_error(F.concat(F.lit("a header with the columns in another order: "), line)).cast("string")))
-
-
 def _parsed(line: Column, names: Sequence[str]) -> Column:
     ddl = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in names)
     return F.from_csv(line, ddl, {"escape": '"'})
@@ -81,7 +76,7 @@ def kept_rows(spark: SparkSession, path: str | Sequence[str], columns: Sequence[
     ``file_columns`` declares the header, so that nothing is read beforehand."""
     names = list(file_columns or header_of(spark, path))
     line = F.col("value")
-    good = spark.read.text(path).where(_line_kind(line, names).isNull() & line_fault(line, len(names)).isNull())
+    good = spark.read.text(path).where(line_state(line, names).isNull())
     rows = good.select(_parsed(line, names).alias("v"))
     return rows.select(*[F.col("v").getField(c).alias(c) for c in (columns or names)])
 
@@ -99,14 +94,12 @@ class CsvQuarantine:
         line = F.col("value")
         scan = spark.read.text(path).select(
             "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-            F.monotonically_increasing_id().alias("__at"), _line_kind(line, names).alias("__kind"))
-        scan = scan.withColumn("__reason", F.when(F.col("__kind").isNull(), line_fault(line, len(names))))
-        record = F.col("__kind").isNull() & F.col("__reason").isNull()
+            F.monotonically_increasing_id().alias("__at"), line_state(line, names).alias("__state"))
+        state, other = F.col("__state"), F.col("__state").isin("header", "blank")
         found = scan.select(
-            "__file", "__block", "__at", "__reason",
-            F.coalesce("__kind", F.when(F.col("__reason").isNotNull(), F.lit("refused")), F.lit("row")).alias("__kind"),
-            F.when(F.col("__reason").isNotNull(), line).alias("__line"),
-            F.when(record, _parsed(line, names)).alias("__v"))
+            "__file", "__block", "__at", F.when(~other, state).alias("__reason"),
+            F.when(state.isNull(), F.lit("row")).when(other, state).otherwise(F.lit("refused")).alias("__kind"),
+            F.when(~other, line).alias("__line"), F.when(state.isNull(), _parsed(line, names)).alias("__v"))
         self.table = cut_lineage(found.select(
             "__file", "__block", "__at", "__kind", "__reason", "__line",
             *[F.col("__v").getField(c).alias(c) for c in self.columns]), "csv_lines")
