@@ -16,7 +16,7 @@ from ..functions.hexgrid import hex_centroid, with_hex_cell
 from ..functions.icogrid import with_ico_cell, with_ico_centre
 from ..operators.aggregates import category_share
 from ..operators.categories import collapse_rare
-from ..session import cut_lineage, scratch_path, still_written, written_once
+from ..session import cut_lineage, scratch_path, scratch_scope, still_written, written_once
 from ..sources.catalog import reused
 from ..sources.csv_lines import CsvQuarantine, read_csv_inferred
 from ..sources.files import read_csv_text, read_csv_tolerant, read_glob_shards, tolerant_types
@@ -209,7 +209,9 @@ def _star(spark, sf_dir) -> st.Star:
     per state of the input tables."""
     def write():
         path = scratch_path(spark, "sme_clean")
-        return write_parquet(st.clean_sme(_survey(spark, sf_dir)), path)
+        with scratch_scope(spark):               # prepared once, read by both passes of the collapse
+            prepared = cut_lineage(st.prepare_sme(_survey(spark, sf_dir)), "sme_prepared")
+            return write_parquet(st.collapse_sme(prepared), path)
     path = written_once(spark, "sme_clean", td.paths(sf_dir, td.SURVEY_TABLES), write)
     for gone in [p for p in _stars if not still_written(p)]:
         del _stars[gone]

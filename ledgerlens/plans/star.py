@@ -82,11 +82,19 @@ TABLE_NAMES = {"dim_emprendedor": "dim_emprendedor", "dim_geografia": "dim_geogr
 
 
 # ------------------------------------------------------------------ clean
+def _read_numbers(df: DataFrame, numbers: dict) -> DataFrame:
+    """``df`` with columns of the numbers read from its text.  They pass through a one-row
+    ``inline``: conditions on them stay above it and every text is read once, where
+    the optimizer would otherwise repeat the reading in each condition down to the scan."""
+    read = F.inline(F.array(F.struct(*[c.alias(f"__n{i}") for i, c in enumerate(numbers.values())])))
+    got = {name: F.col(f"__n{i}").alias(name) for i, name in enumerate(numbers)}
+    return df.select("*", read).select(*[got.pop(c, col(c)) for c in df.columns], *got.values())
+
+
 def operating_hours(raw: DataFrame) -> DataFrame:
     """Parse opening / closing hours leniently, drop rows where either does
     not parse (or is NaN), add daily hours with overnight wrap."""
-    df = (raw.withColumn("horaAperturaNum", lenient_number("horaApertura"))
-          .withColumn("horaCierreNum", lenient_number("horaCierre")))
+    df = _read_numbers(raw, {"horaAperturaNum": lenient_number("horaApertura"), "horaCierreNum": lenient_number("horaCierre")})
     df = drop_incomplete(df, ["horaAperturaNum", "horaCierreNum"])
     return df.withColumn("horas_operacion_diarias", daily_hours("horaAperturaNum", "horaCierreNum"))
 
@@ -98,16 +106,22 @@ def prepare_sme(raw: DataFrame, edge_m: float = DEFAULT_EDGE_M) -> DataFrame:
     df = na_to_null(raw)
     text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     read = lambda c: lenient_number(c) if c in text else col(c).cast("double")
-    df = df.select(*[read(c).alias(c) if c in NUMERIC_COLUMNS else col(c) for c in df.columns])
+    df = _read_numbers(df, {c: read(c) for c in NUMERIC_COLUMNS})
     df = operating_hours(drop_incomplete(df, REQUIRED_COLUMNS))
-    return drop_incomplete(with_hex_cell(df, "latitud", "longitud", "h3_hex_id", edge_m), ["h3_hex_id"])
+    # known coordinates on the globe are what has a cell
+    df = df.where((F.abs("latitud") <= 90) & (F.abs("longitud") <= 180))
+    return with_hex_cell(df, "latitud", "longitud", "h3_hex_id", edge_m)
+
+
+def collapse_sme(prepared: DataFrame, threshold: float = CATEGORY_THRESHOLD) -> DataFrame:
+    """The 5 % rare-category collapse of eight columns (a counting pass over a pruned scan, and the rows)."""
+    return collapse_rare(prepared, COLLAPSE_COLUMNS, threshold)
 
 
 def clean_sme(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
               edge_m: float = DEFAULT_EDGE_M) -> DataFrame:
-    """Survey cleaning: :func:`prepare_sme`, then the 5 % rare-category
-    collapse of eight columns (a counting pass over a pruned scan, and the rows)."""
-    return collapse_rare(prepare_sme(raw, edge_m), COLLAPSE_COLUMNS, threshold)
+    """Survey cleaning: :func:`prepare_sme`, then :func:`collapse_sme` (lazy: both passes prepare)."""
+    return collapse_sme(prepare_sme(raw, edge_m), threshold)
 
 
 # ------------------------------------------------------------ dimensions
@@ -184,8 +198,9 @@ class Star:
 
 def build_star(raw: DataFrame, threshold: float = CATEGORY_THRESHOLD,
                edge_m: float = DEFAULT_EDGE_M) -> Star:
-    """Write the clean rows once; everything else follows on first use."""
-    return Star(cut_lineage(clean_sme(raw, threshold, edge_m), "sme_clean"))
+    """Write the prepared and the clean rows once; everything else follows on first use."""
+    prepared = cut_lineage(prepare_sme(raw, edge_m), "sme_prepared")
+    return Star(cut_lineage(collapse_sme(prepared, threshold), "sme_clean"))
 
 
 # ------------------------------------------------------- summaries (views)

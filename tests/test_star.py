@@ -292,3 +292,26 @@ def test_hex_cell_agrees_with_python(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pts)], "i int, lat double, lon double")
     for r in with_hex_cell(df, "lat", "lon", "a").collect():
         assert r.a == _py_cell(*pts[r.i]), pts[r.i]
+
+
+def test_survey_texts_are_read_once(spark):
+    """No condition repeats the reading of a text below the step that reads it."""
+    from conftest import optimized_text
+    raw = spark.range(0, 40, 1, 2).selectExpr(
+        "id", "20 + id AS edadEmprendedor", "CASE WHEN id % 5 = 1 THEN ' x' ELSE concat(' ', id) END AS ventasPromedioDiarias",
+        "CASE id WHEN 3 THEN 91D WHEN 4 THEN double('NaN') ELSE 19.4D END AS latitud",
+        "CASE id WHEN 5 THEN -180.5D WHEN 7 THEN NULL WHEN 8 THEN 180D ELSE -99.1D END AS longitud",
+        "CASE WHEN id % 10 = 2 THEN '08:30' ELSE '22' END AS horaApertura", "CAST(6 + id % 1 AS STRING) AS horaCierre",
+        "CASE WHEN id % 10 = 9 THEN 'NA' ELSE '2' END AS numEmpleados", "id % 7 AS antiguedadNegocio")
+    out = st.prepare_sme(raw)
+    assert optimized_text(out).count("RLIKE") == 4               # sales, employees, opening, closing
+    got = {r.id: r for r in out.collect()}
+    assert set(got) == {i for i in range(40) if i % 5 != 1 and i % 10 not in (2, 9) and i not in (3, 4, 5, 7)}
+    assert all(r.horas_operacion_diarias == 8 and r.ventasPromedioDiarias == i and r.h3_hex_id for i, r in got.items())
+    assert out.columns[:9] == raw.columns
+
+
+def test_collapse_reads_the_written_prepared_rows(spark):
+    star = st.build_star(td.sme_survey(spark, SF_MID))
+    assert sorted(r.id for r in star.clean.select("id").collect()) \
+        == sorted(r.id for r in st.clean_sme(td.sme_survey(spark, SF_MID)).select("id").collect())
