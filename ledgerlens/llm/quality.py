@@ -4,15 +4,15 @@ Every whole text gets the statistics of the usual rules (symbols, repeated lines
 eight-word windows, repeated and shouted words, ...).  Two fixed rules reject
 outright: fewer than ``MIN_WORDS`` words, or over ``MAX_REPEAT_PERCENT`` % of the
 words in repeated windows.  For the others an isolation forest is grown on the
-statistics of labelled good rows: each tree splits at random features and values
-(over the range of all sampled rows), and a document that is parted from the
-rest after few splits is anomalous.  The
+statistics of all labelled good rows: each tree splits at random features and values
+(over the range of all labelled rows), every good row is counted in every tree, and a
+document that is parted from the rest after few splits is anomalous.  The
 score is ``2 ** (-mean path / expected path)``; the threshold is the lowest
-one that rejects at most ``MAX_FALSE_SHARE`` of the labelled good rows.
+one that rejects at most ``MAX_FALSE_SHARE`` of all labelled good rows.
 
-Counts run over whole batches in numpy.  The forest is fitted on at most
-``SAMPLE_ROWS`` labelled rows (their statistics only reach the driver) and sent to
-the tasks; scoring shuffles nothing.
+Counts run over whole batches in numpy.  The texts are measured once and their statistics
+written; ranges, counts by tree and node and the threshold's counts by class of scores are
+added up by Spark, so only figures of fixed size reach the driver and the tasks.
 
 Defined results: null text counts as empty and fails the rules; without
 labelled good rows the threshold is ``DEFAULT_THRESHOLD``; repeated rows get
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import IS_SPACE, text_slices, utf8_buffers
 from .words import find_words, windows, word_hashes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-SAMPLE_ROWS = 8000
-TREES, TREE_ROWS, TREE_DEPTH = 200, 256, 10
+TREES, TREE_DEPTH = 200, 10
 MAX_FALSE_SHARE = 0.005
 DEFAULT_THRESHOLD = 0.65
 SEED = 7
@@ -153,43 +153,64 @@ class IsolationForest:
     usual: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, box: np.ndarray | None = None, seed: int = SEED) -> "IsolationForest":
-        """Trees over the rows ``x``; splits fall uniformly in ``box`` (low and
-        high of each feature, of ``x`` if not given), so ground that no row holds is
-        parted off early."""
+    def grown(cls, box: np.ndarray, seed: int = SEED) -> "IsolationForest":
+        """Trees without rows yet: splits fall uniformly in ``box`` (low and high of
+        each feature), so ground that no row holds is parted off early."""
         rng = np.random.default_rng(seed)
         nodes = (1 << (TREE_DEPTH + 1)) - 1
-        feature = np.full((TREES, nodes), -1)
-        value, path = np.zeros((TREES, nodes)), np.zeros((TREES, nodes))
-        rows = min(TREE_ROWS, len(x))
-        if box is None:
-            box = np.stack([x.min(0), x.max(0)]) if rows else np.zeros((2, x.shape[1]))
-        for t in range(TREES):
-            todo = [(0, 0, rng.choice(len(x), rows, replace=False) if rows else np.zeros(0, int), box)]
-            while todo:
-                k, depth, mine, (low, high) = todo.pop()
-                varied = np.flatnonzero(high > low)
-                if depth == TREE_DEPTH or len(mine) < 2 or not len(varied):
-                    path[t, k] = depth + expected_path(len(mine))
-                    continue
-                f = rng.choice(varied)
-                v = rng.uniform(low[f], high[f])
-                feature[t, k], value[t, k] = f, v
-                left = x[mine, f] < v
-                below, above = high.copy(), low.copy()
-                below[f] = above[f] = v
-                todo += [(2 * k + 1, depth + 1, mine[left], (low, below)),
-                         (2 * k + 2, depth + 1, mine[~left], (above, high))]
-        return cls(feature, value, path, float(expected_path(rows)))
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, value, path in zip(self.feature, self.value, self.path):
+        feature, value = np.full((TREES, nodes), -1), np.zeros((TREES, nodes))
+        varied = np.flatnonzero(box[1] > box[0])
+        low, high = (np.broadcast_to(edge, (TREES, 1, box.shape[1])).astype(float) for edge in box)
+        for depth in range(TREE_DEPTH if len(varied) else 0):
+            width = 1 << depth
+            f = rng.choice(varied, (TREES, width))
+            at = f[..., None]
+            v = rng.uniform(np.take_along_axis(low, at, 2), np.take_along_axis(high, at, 2))
+            feature[:, width - 1: 2 * width - 1], value[:, width - 1: 2 * width - 1] = f, v[..., 0]
+            below, above = high.copy(), low.copy()
+            np.put_along_axis(below, at, v, 2)
+            np.put_along_axis(above, at, v, 2)
+            low = np.stack([low, above], 2).reshape(TREES, 2 * width, -1)
+            high = np.stack([below, high], 2).reshape(TREES, 2 * width, -1)
+        return cls(feature, value, np.zeros((TREES, nodes)), 0.0)
+
+    def ends(self, x: np.ndarray):
+        """The node in which each row ends, tree by tree."""
+        rows = np.arange(len(x))
+        for feature, value in zip(self.feature, self.value):
             at = np.zeros(len(x), dtype=np.int64)
             for _ in range(TREE_DEPTH):
                 f = feature[at]
                 right = x[rows, np.maximum(f, 0)] >= value[at]
                 at = np.where(f < 0, at, 2 * at + 1 + right)
+            yield at
+
+    def ended(self, x: np.ndarray) -> np.ndarray:
+        """Rows by (tree, node) of their end; those of parts of a table add up."""
+        return np.stack([np.bincount(at, minlength=self.feature.shape[1]) for at in self.ends(x)])
+
+    def settled(self, ended: np.ndarray) -> "IsolationForest":
+        """The trees over the rows counted in ``ended``: nodes with fewer than two rows are leaves."""
+        rows, nodes = ended.astype(np.int64), ended.shape[1]
+        for depth in range(TREE_DEPTH - 1, -1, -1):
+            of = slice((1 << depth) - 1, (2 << depth) - 1)
+            under = rows[:, (2 << depth) - 1: (4 << depth) - 1]
+            rows[:, of] += under[:, ::2] + under[:, 1::2]
+        depths = np.floor(np.log2(np.arange(1, nodes + 1)))
+        feature = np.where(rows < 2, -1, self.feature)
+        return IsolationForest(feature, self.value, depths + expected_path(rows), float(expected_path(rows[0, 0])))
+
+    @classmethod
+    def fit(cls, x: np.ndarray, box: np.ndarray | None = None, seed: int = SEED) -> "IsolationForest":
+        """Trees over all rows ``x``, split in ``box`` (that of ``x`` if not given)."""
+        if box is None:
+            box = np.stack([x.min(0), x.max(0)]) if len(x) else np.zeros((2, x.shape[1]))
+        forest = cls.grown(box, seed)
+        return forest.settled(forest.ended(x))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for path, at in zip(self.path, self.ends(x)):
             total += path[at]
         return np.power(2.0, -total / (TREES * max(self.usual, 1e-9)))
 
@@ -202,47 +223,99 @@ def calibrated_threshold(score: np.ndarray, good: np.ndarray) -> float:
     return float(clean[len(clean) - 1 - int(MAX_FALSE_SHARE * len(clean))])
 
 
+def threshold_of(scores: DataFrame) -> float:
+    """:func:`calibrated_threshold` of the column ``score`` of all rows (good ones), by counts
+    in ever narrower classes of scores: the last class alone is looked at value by value."""
+    n = scores.count()
+    if not n:
+        return DEFAULT_THRESHOLD
+    over, inside = int(MAX_FALSE_SHARE * n), scores       # rows that may lie over it
+    for scale in (float(1 << 16), float(1 << 32), None):
+        key = F.floor(F.col("score") * scale) if scale else F.col("score")
+        classes = sorted(((r.key, r.n) for r in inside.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()),
+                         reverse=True)
+        for found, held in classes:
+            if held > over:
+                break
+            over -= held
+        inside = inside.where(key == F.lit(found))
+    return float(found)
+
+
 # ------------------------------------------------------------------- operator
-def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[IsolationForest, float]:
-    """Forest and threshold from at most SAMPLE_ROWS labelled rows, in hash order."""
-    chosen = (labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+FEATURES = 9
+
 
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Counts, base_failed and the forest's features (``x``) of every row."""
     def measure(batches):
         for batch in text_slices(batches):
             s = text_statistics(*utf8_buffers(batch.column(1)))
+            x = rule_features(s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array(base_failed(s)), pa.array(rule_features(s).tolist(), pa.list_(pa.float64()))],
-                ["quality", "failed", "x"])
+                [batch.column(0), *(pa.array(s[c].astype(np.int64)) for c in COUNTS), pa.array(base_failed(s)), _lists(x)],
+                ["doc_id", *COUNTS, "base_failed", "x"])
 
-    rows = sample.select("doc_id", "text", F.col("quality").cast("int")) \
-        .mapInArrow(measure, "quality int, failed boolean, x array<double>").collect()
-    rows.sort(key=lambda r: tuple(r.x))               # the same forest whatever the task order
-    x = np.array([r.x for r in rows if not r.failed]).reshape(-1, 9)
-    good = np.array([r.quality == 1 for r in rows if not r.failed], dtype=bool)
-    grown = x[good] if good.any() else x
-    forest = IsolationForest.fit(grown, np.stack([x.min(0), x.max(0)]) if len(x) else None)
-    return forest, calibrated_threshold(forest.score(x), good)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        measure, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, x array<double>")
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its counts, base_failed, anomaly (score), kept."""
-    forest, threshold = fit_quality(docs, labels, text)
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, FEATURES, dtype=np.int32), pa.array(x.ravel()))
 
-    def measure(batches):
-        for batch in text_slices(batches):
-            s = text_statistics(*utf8_buffers(batch.column(1)))
-            failed, score = base_failed(s), forest.score(rule_features(s))
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(s[c].astype(np.int64)) for c in names), pa.array(failed),
-                 pa.array(~failed & (score <= threshold)), pa.array(score)],
-                ["doc_id", *names, "base_failed", "kept", "anomaly"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        measure, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                 "n_repeat_words long, base_failed boolean, kept boolean, anomaly double")
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that have a label and do not fail the fixed rules, with ``quality``."""
+    known = labels.where("doc_id is not null and quality is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return rows.where("not base_failed").join(known, "doc_id")
+
+
+def fit_quality(rows: DataFrame, labels: DataFrame) -> IsolationForest:
+    """The forest over all labelled good rows of ``rows`` (measured ones): their feature ranges,
+    then their counts by tree and node; both are added up by Spark and of fixed size."""
+    known = cut_lineage(labelled(rows, labels).select("quality", "x"), "quality_labelled")
+    edges = known.agg(F.count_if(F.col("quality") == 1).alias("good"),
+                      *[f(F.col("x")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(FEATURES)]).first()
+    box = np.array([[edges[f"{name}{i}"] or 0.0 for i in range(FEATURES)] for name in ("low", "high")])
+    forest = IsolationForest.grown(box)
+
+    def count(batches):
+        total = np.zeros(forest.feature.shape, dtype=np.int64)
+        for batch in batches:
+            total += forest.ended(_rows(batch.column(0)))
+        tree, node = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(total[tree, node])],
+                                         ["tree", "node", "n"])
+
+    grown_on = known.where("quality = 1") if edges["good"] else known
+    counts = grown_on.select("x").mapInArrow(count, "tree int, node int, n long").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+    ended = np.zeros(forest.feature.shape, dtype=np.int64)
+    for r in counts.collect():                            # at most TREES * 2 ** TREE_DEPTH rows
+        ended[r.tree, r.node] = r.n
+    return forest.settled(ended)
+
+
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its counts, base_failed, anomaly (score), kept."""
+    rows = cut_lineage(measured(docs, text), "quality_measured")
+    forest = fit_quality(rows, labels)
+
+    def rate(batches):
+        for batch in batches:
+            *plain, x = batch.columns
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(forest.score(_rows(x)))], ["doc_id", *COUNTS, "base_failed", "anomaly"])
+
+    rated = cut_lineage(rows.select("doc_id", *COUNTS, "base_failed", "x").mapInArrow(
+        rate, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, anomaly double"), "quality_rated")
+    good = labelled(rated, labels).where("quality = 1")
+    threshold = threshold_of(good.select(F.col("anomaly").alias("score")))
+    return rated.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("anomaly") <= F.lit(threshold))).alias("kept"), "anomaly")
 
 
 def op7_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -125,3 +125,30 @@ def test_hashes_of_ranges_agree():
     assert len(set(whole)) == len(set(words)) and len({(w, h) for w, h in zip(words, whole)}) == len(set(words))
     half = range_hashes(sums, starts, starts + np.array([len(w) // 2 + 1 for w in words])).tolist()
     assert half[:400] == whole[400:]
+
+
+def test_every_labelled_row_counts(spark):
+    """Trees and threshold come from all labelled good rows, however many."""
+    rng = np.random.default_rng(5)
+    rows = [(i, good_text(rng, 21 + i % 15)) for i in range(8600)]
+    docs, labels = docs_frame(spark, rows), labels_frame(spark, [(i, 1, 0) for i in range(8600)])
+    out = ql.op7_query(docs, labels).collect()
+    judged = sorted(r.anomaly for r in out if not r.base_failed)
+    allowed = int(ql.MAX_FALSE_SHARE * len(judged))
+    assert len(judged) > 8300
+    bound = judged[len(judged) - 1 - allowed]
+    assert all(r.kept == (not r.base_failed and r.anomaly <= bound) for r in out)
+    forest = ql.fit_quality(ql.measured(docs), labels)
+    assert abs(forest.usual - ql.expected_path(len(judged))) < 1e-9
+
+
+def test_trees_of_parts_add_up(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, ql.FEATURES))
+    box = np.stack([x.min(0), x.max(0)])
+    forest = ql.IsolationForest.grown(box)
+    parts = forest.settled(forest.ended(x[:1000]) + forest.ended(x[1000:]))
+    whole = ql.IsolationForest.fit(x)
+    assert np.array_equal(parts.score(x), whole.score(x)) and whole.score(np.full((1, ql.FEATURES), 9.0))[0] > whole.score(x).mean()
+    scores = spark.createDataFrame([(float(s),) for s in whole.score(x)] * 2, "score double")
+    assert ql.threshold_of(scores) == ql.calibrated_threshold(np.repeat(whole.score(x), 2), np.ones(6000, bool))
