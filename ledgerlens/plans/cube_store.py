@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, col
 from ..operators.aggregates import count_true
-from ..operators.distinct import bitmap_size, count_bitmaps, distinct_bitmaps, merge_bitmaps
+from ..operators.distinct import BUCKET, bitmap_size, count_bitmaps, distinct_bitmaps
 from ..operators.relational import in_lists
 from ..session import cut_lineage, scratch_scope
 from ..sources.sinks import check_codec
 from .cube import CELL_MONEY, CUBE_KEYS, STATE, YEAR, clean_transactions, cube_dashboard, read_transactions_csv
 
 MONTH_KEYS = ["Year", "Month"]
+BATCH_COLUMNS = ["User", "amount_clean", "has_error"]        # what a load reads beside the keys
 CELLS, USERS = "cells", "users"
 # measures that add up over batches
 ADDED = {"total_transactions": "bigint", "amount": CELL_MONEY, "known_amounts": "bigint", "error_count": "bigint"}
@@ -78,27 +79,28 @@ class CubeStore:
         return df.select(*[col(k) for k in CUBE_KEYS], *[c for c in df.columns if c not in CUBE_KEYS])
 
     def _overwrite_months(self, df: DataFrame, name: str) -> None:
-        # rebalance: a large month is split by size, small ones share a task
-        (df.hint("rebalance", *[col(k) for k in MONTH_KEYS])
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        """``df``: its months lie together (a large one in several tasks, small ones share a task)."""
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .option("compression", self.compression).partitionBy(*MONTH_KEYS).parquet(f"{self.path}/{name}"))
 
     def load(self, clean: DataFrame) -> list[tuple]:
-        """Add a batch of clean transactions; returns the months that were rebuilt."""
+        """Add a batch of clean transactions; returns the months that were rebuilt.
+
+        The batch is read twice (cells, users): pass a written frame when its lineage is expensive."""
         with scratch_scope(self.spark):
             return self._load(clean)
 
     def _load(self, clean: DataFrame) -> list[tuple]:
         cells = cut_lineage(batch_cells(clean), "batch_cells")
-        users = distinct_bitmaps(clean, CUBE_KEYS, "User")
         months = _months(cells)
         if not months:
             return months
         old_cells, old_users = self._read(CELLS), self._read(USERS)
-        if old_users is not None:
-            users = old_users.where(_in_months(months)).unionByName(users)
-        # written before the old files are replaced; the counts read the same rows
-        users = cut_lineage(merge_bitmaps(users, CUBE_KEYS), "merged_users")
+        known = None if old_users is None else old_users.where(_in_months(months))
+        users = distinct_bitmaps(clean, CUBE_KEYS, "User", known, MONTH_KEYS)
+        # months lie together, in key order; the old files are replaced when all new ones are written
+        self._overwrite_months(users.sortWithinPartitions(*[col(k) for k in CUBE_KEYS], BUCKET), USERS)
+        users = self._must(USERS).where(_in_months(months))
         if old_cells is not None:
             cells = old_cells.where(_in_months(months)).select(cells.columns).unionByName(cells)
         none = {c: F.lit(0).cast(t).alias(c) for c, t in ADDED.items()}
@@ -107,8 +109,7 @@ class CubeStore:
         merged = counted.groupBy(*[col(k) for k in CUBE_KEYS]).agg(
             *[F.sum(c).cast(t).alias(c) for c, t in ADDED.items()], F.sum("unique_users").alias("unique_users"))
         merged = cut_lineage(merged, "merged_cells")
-        self._overwrite_months(users, USERS)
-        self._overwrite_months(merged, CELLS)
+        self._overwrite_months(merged.hint("rebalance", *[col(k) for k in MONTH_KEYS]), CELLS)
         return months
 
     def load_csv(self, path: str | Sequence[str], file_columns: Sequence[str] | None = None) -> list[tuple]:

@@ -166,10 +166,13 @@ def _store(spark, sf_dir) -> cs.CubeStore:
     """The stored cube after two loads, written once per state of the input tables."""
     def write():
         store = cs.CubeStore(spark, scratch_path(spark, "cube_store"))
-        clean = _clean(spark, sf_dir)
         first = F.col("date") <= F.lit(FIRST_BATCH_ENDS).cast("date")
-        store.load(clean.where(first))
-        store.load(clean.where(~first))
+        with scratch_scope(spark):
+            # the joins run once; both batches read the written rows
+            clean = cut_lineage(_clean(spark, sf_dir).select(
+                *[cb.col(k) for k in cb.CUBE_KEYS], *cs.BATCH_COLUMNS, "date"), "transactions")
+            store.load(clean.where(first))
+            store.load(clean.where(~first))
         return store.path
     return cs.CubeStore(spark, written_once(spark, "cube_store", td.paths(sf_dir, td.TRANSACTION_TABLES), write))
 

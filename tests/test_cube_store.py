@@ -140,3 +140,30 @@ def test_csv_batches_and_dashboard(spark, tmp_path):
     assert counted(store.cube()) == counted(whole)
     figures = store.dashboard(states=["CA"])
     assert figures["unique_users"].first()[0] == 3 and figures["kpis"].first().total_transactions == 3
+
+
+def test_sparse_values_take_few_bytes(spark):
+    """Bitmaps of values far apart grow with their number, whatever the range they lie in."""
+    far = spark.range(400).selectExpr("CAST(id % 2 AS STRING) AS state", "(id - 200) * 100003 AS user")
+    bitmaps = distinct_bitmaps(far, ["state"], "user")
+    assert bitmaps.agg(F.sum(F.octet_length("bitmap"))).first()[0] <= 16 * 400
+    assert counted(count_bitmaps(bitmaps, ["state"], "n")) == [("0", 200), ("1", 200)]
+
+
+def test_counts_neither_sort_nor_widen(spark, tmp_path):
+    """Selections are counted in hash aggregates of words."""
+    store = cs.CubeStore(spark, str(tmp_path / "cube"))
+    store.load(frame(spark, rows(1, 200, [(1995, 1), (1996, 2)])))
+    df = store.unique_users(["Use Chip"], [1995], ["CA"])
+    df.collect()
+    assert "SortAggregate" not in plan_text(df) and "bitmap_or_agg" not in plan_text(df)
+
+
+def test_known_bitmaps_are_merged_while_building(people):
+    halves = [people.where(F.pmod(F.hash("user", "state"), F.lit(2)) == i) for i in range(2)]
+    keys = ["state", "year"]
+    known = distinct_bitmaps(halves[0], keys, "user")
+    both = distinct_bitmaps(people.where("user > 0").unionByName(halves[1]), keys, "user", known, ["year"])
+    assert counted(both) == counted(distinct_bitmaps(people, keys, "user"))
+    plan = plan_text(both)
+    assert "SortAggregate" not in plan and plan.count("Exchange REBALANCE") + plan.count("REBALANCE_PARTITIONS_BY_COL") >= 1
